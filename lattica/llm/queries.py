@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secret_scan, simhash
-from .textkit import table
+from . import bpe, license_scan, quality, secret_scan, simhash
+from .textkit import crc_mod, table
 
 
 def sha256(column: str):
@@ -29,10 +29,23 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op6_quality": op6_quality,
+    "op7_licenses": op7_licenses,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
