@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, quality, secret_scan, simhash
+from . import bpe, license_scan, minhash, quality, secret_scan, simhash
 from .textkit import crc_mod, table
 
 
@@ -40,12 +40,17 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
+    "op8_minhash": op8_minhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
