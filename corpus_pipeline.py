@@ -1,14 +1,54 @@
-"""A training-corpus pipeline of the numbered operators over ``documents``."""
+"""A training-corpus pipeline of the numbered operators over ``documents``.
+
+Stages, in order: low-quality documents go; one document of each group of
+SimHash near-duplicates stays; documents that overlap the benchmark go; secrets
+are redacted in place; what is left is encoded.  Each stage reads all rows that
+its predecessor kept, and all but the last return the columns of ``documents``.
+
+Defined cases: null texts count as empty and are judged like empty ones; rows
+without a doc_id are never dropped as duplicates; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lattica.llm import secret_scan
+from lattica.llm import bpe, decontaminate, quality, secret_scan, simhash
 from lattica.llm.textkit import table
 
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its threshold or above."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group."""
+    return simhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a verified overlap with a benchmark item."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by their kind; n_chars follows the text."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
+
+
+def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the text decoded from them."""
+    return bpe.encode_decode(docs, bpe.default_tokenizer())
+
+
 STAGES = [
-    ("secret scans", lambda spark, docs, sf_dir: secret_scan.redact(docs)),
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("BPE encoding and decoding", bpe_coding),
 ]
 
 #: SQL cannot express the stages; tests/llm hold them against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, minhash, quality, secret_scan, simhash
+from . import bpe, decontaminate, license_scan, minhash, quality, secret_scan, simhash
 from .textkit import crc_mod, table
 
 
@@ -29,6 +29,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
     "op8_minhash": op8_minhash,
