@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, minhash, quality, secret_scan, simhash, suffix_dedup
+from . import bpe, decontaminate, html_text, license_scan, minhash, quality, secret_scan, simhash, suffix_dedup
 from .textkit import crc_mod, table
 
 
@@ -52,6 +52,11 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_with_next(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_licenses": op7_licenses,
     "op8_minhash": op8_minhash,
+    "op9_html": op9_html,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
