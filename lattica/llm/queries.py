@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, license_scan, minhash, quality, secret_scan, simhash, suffix_dedup
+from . import bpe, decontaminate, html_text, license_scan, lm_score, minhash, quality, secret_scan, simhash, suffix_dedup
 from .textkit import crc_mod, table
 
 
@@ -57,6 +57,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op8_minhash": op8_minhash,
     "op9_html": op9_html,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
