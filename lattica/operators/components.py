@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The star forest of an edge list: (node, smallest node of its component) for every node but the smallest."""
@@ -51,13 +53,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     edges are ignored; no edges give an empty table.  Raises if ``max_rounds``
     do not suffice (rounds grow with the logarithm of the longest path).
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-"))
     plain = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(F.col(a), F.col(b)).cast("long").alias("a"), F.least(F.col(a), F.col(b)).cast("long").alias("b"))
-    now = plain.mapInArrow(_contract, "a long, b long").distinct().checkpoint()
+    now = checkpointed(plain.mapInArrow(_contract, "a long, b long").distinct())
     mark = _mark(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -65,7 +62,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        now = checkpointed(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..session import checkpointed
+
 EVENT_SCHEMA = "event_id string, old_root_ids array<bigint>, new_root_ids array<bigint>, ts timestamp, table_id string"
 
 
@@ -41,15 +43,19 @@ def moves(df: DataFrame) -> DataFrame:
     return merges.select(F.explode("old_root_ids").alias("old_root"), F.element_at("new_root_ids", 1).alias("new_root"), "ts", "event_id").where("old_root <> new_root")
 
 
-def relabelled(labels: DataFrame, moved: DataFrame, max_chain: int = 64) -> DataFrame:
+def relabelled(labels: DataFrame, moved: DataFrame, max_rounds: int = 32) -> DataFrame:
     """labels (id, root) after the moves: the latest move of a root counts, and chains of moves are followed.
 
-    The chain is shortened by half in each round, so rounds grow with the logarithm of the longest chain.
+    Each round doubles the length that is followed, and ends when no chain is left; raises if moves run in a circle.
     """
-    step = moved.groupBy("old_root").agg(F.max_by("new_root", F.struct("ts", "event_id")).alias("new_root"))
-    for _ in range(max(1, max_chain.bit_length() - 1)):
+    step = checkpointed(moved.groupBy("old_root").agg(F.max_by("new_root", F.struct("ts", "event_id")).alias("new_root")))
+    for _ in range(max_rounds):
         nxt = step.select(F.col("old_root").alias("new_root"), F.col("new_root").alias("further"))
-        step = step.join(nxt, "new_root", "left").select("old_root", F.coalesce("further", "new_root").alias("new_root"))
+        if step.join(nxt, "new_root", "left_semi").isEmpty():
+            break
+        step = checkpointed(step.join(nxt, "new_root", "left").select("old_root", F.coalesce("further", "new_root").alias("new_root")))
+    else:
+        raise ValueError("moves run in a circle")
     return labels.join(step.withColumnRenamed("old_root", "root"), "root", "left").select("id", F.coalesce("new_root", "root").alias("root"))
 
 
