@@ -26,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import as_strings
+from .textkit import as_strings, text_rows
 
 #: Distinct pieces whose ids a worker keeps; beyond it the memory starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 _CONTRACTIONS = {"s": 1, "t": 1, "m": 1, "d": 1, "re": 2, "ve": 2, "ll": 2}
@@ -214,7 +214,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                 text_sha.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    out = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"))
     return out.mapInArrow(run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             ids = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *packed]))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    out = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"))
     return out.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
 
 
@@ -244,5 +244,5 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
             texts = [c.decode(np.asarray(x.as_py() or [], "<u4").tobytes()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    out = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
+    out = text_rows(encoded, encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))
     return out.mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)

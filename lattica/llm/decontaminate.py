@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_scan import SEPARATOR
-from .textkit import LOWER, byte_chunks, mix, span_hashes, word_spans
+from .textkit import LOWER, byte_chunks, mix, span_hashes, text_rows, word_spans
 
 MASKS = ("111101", "111011", "1101011")
 WINDOW = 13
@@ -125,7 +125,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[SeedIn
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, n_same): one row per document and item with a verified overlap, n_same its best window's agreeing words."""
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    rows = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {id_type}, item {item_type}, n_same int"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in _blocks(benchmark, item_col, item_text_col):
@@ -160,5 +160,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
                         keep[a + doc] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = text_rows(docs).mapInArrow(clean, docs.schema)
     return docs

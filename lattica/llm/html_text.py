@@ -20,7 +20,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import as_strings
+from .textkit import as_strings, text_rows
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -300,4 +300,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([render(x.as_py()) for x in as_strings(batch.column(1))], pa.string())], names=["id", "text"])
 
-    return pages.select(pages[id_col].alias("id"), pages[html_col].alias("html")).mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)
+    return text_rows(pages, pages[id_col].alias("id"), pages[html_col].alias("html")).mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)

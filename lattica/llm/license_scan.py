@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .textkit import LOWER, byte_chunks, as_strings, word_spans
+from .textkit import LOWER, as_strings, byte_chunks, text_rows, word_spans
 
 #: Everything but digits, lower-case letters and non-ASCII bytes separates words (after lower-casing).
 SEPARATOR = np.ones(256, bool)
@@ -160,5 +160,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     score[row] = max([0.5 * bool(names), *(_certainty(d[2]) for d in kept)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(base_n), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels, pa.string()), pa.array(labels, pa.string()), pa.array(score), pa.array(where, pa.string())], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    out = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"))
     return out.mapInArrow(run, f"id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string").withColumnRenamed("id", id_col)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, byte_chunks, checkpointed, crc_mod, mix, span_hashes, word_spans
+from .textkit import LOWER, byte_chunks, checkpointed, crc_mod, mix, span_hashes, text_rows, word_spans
 
 MU = 30.0
 CHUNK_TOKENS = 2 << 20
@@ -385,7 +385,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id_type = docs.schema[id_col].dataType.simpleString()
     carried = "string" if id_type == "string" else "bigint"
     held = F.coalesce(crc_mod(docs[id_col], 10) == 0, F.lit(False))
-    rows = docs.select(docs[id_col].cast(carried).alias("id"), docs[text_col].alias("text"), held.alias("held"))
+    rows = text_rows(docs, docs[id_col].cast(carried).alias("id"), docs[text_col].alias("text"), held.alias("held"))
     arrow_id = pa.string() if carried == "string" else pa.int64()
     chunks = checkpointed(rows.mapInArrow(_chunks, f"{_CHUNK}, ids array<{carried}>"))
     words = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, byte_chunks, crc_mod, segment_sums, span_hashes, word_spans
+from .textkit import LOWER, byte_chunks, crc_mod, segment_sums, span_hashes, text_rows, word_spans
 
 #: Labelled rows that are learnt from at most, chosen by a hash of their id; the model is a few MB whatever the corpus.
 SAMPLE_ROWS = 6000
@@ -154,7 +154,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
                 n = len(stats)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.ListArray.from_arrays(np.arange(0, n * _STATS + 1, _STATS, dtype=np.int32), stats.ravel()), pa.ListArray.from_arrays(ends, bucket), pa.ListArray.from_arrays(ends, share)], names=["label", "stats", "bucket", "share"])
 
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    texts = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"))
     return texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(run, "label int, stats array<float>, bucket array<int>, share array<float>")
 
 
@@ -180,7 +180,7 @@ def with_scores(docs: DataFrame, model: FactorisationMachine, text_col: str = "t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, score_col])
 
     schema = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + f",`{score_col}`:double>"
-    return docs.mapInArrow(run, schema[7:-1].replace("`:", "` "))
+    return text_rows(docs).mapInArrow(run, schema[7:-1].replace("`:", "` "))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

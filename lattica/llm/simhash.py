@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, forest
-from .textkit import LOWER, byte_chunks, checkpointed, word_spans
+from .textkit import LOWER, byte_chunks, checkpointed, text_rows, word_spans
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_batch(batch.column(1)).view(np.int64))], names=["id", "fp"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, fp long")
+    out = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {id_type}, fp long")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import _BASE, _BASE_INV, _BYTE, byte_chunks, checkpointed, mix, powers
+from .textkit import _BASE, _BASE_INV, _BYTE, byte_chunks, checkpointed, mix, powers, text_rows
 
 LENGTH = 200
 GRAM = 32
@@ -430,7 +430,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("tag"))
+    return text_rows(docs, docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("tag"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -102,6 +102,20 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPA
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of one Arrow batch of whole texts: the default of 64 MB needs several times that in each Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def text_rows(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` (or some of its columns), with the session's Arrow batches held to BATCH_BYTES for the functions that follow."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.select(*columns) if columns else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; set to a scratch one where unset, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
