@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .textkit import as_strings
+from .textkit import as_strings, text_rows
 
 KINDS = ("assign", "access", "hex")
 _RULES = (
@@ -77,7 +77,7 @@ def _text_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.
     """A byte layer as text: compressed layers are unpacked (all of their text maps to the whole
     packed span), the rest must be UTF-8 that is mostly printable."""
     while (inner := _unpack(raw)) is not None:
-        raw, a, b = inner, int(starts.min(initial=0)), int(ends.max(initial=0))
+        raw, a, b = inner, int(starts.min()), int(ends.max())
         starts, ends = np.full(len(raw), a), np.full(len(raw), b)
     try:
         text = raw.decode("utf-8")
@@ -155,7 +155,7 @@ def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
         inner = [x for x in (_percent(layer, starts, ends), _escapes(layer, starts, ends)) if x]
         inner += _base64s(layer, starts, ends)
         for t, s, e in inner:
-            key = hashlib.sha1(t.encode("utf-8", "surrogatepass")).digest() + f"{s.min(initial=0)}:{e.max(initial=0)}".encode()
+            key = hashlib.sha1(t.encode("utf-8", "surrogatepass")).digest() + f"{s[:1]}:{e[-1:]}".encode()
             if not t or key in seen:
                 continue
             seen.add(key)
@@ -187,7 +187,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 base_out[i], all_out[i] = joined(base), joined(every)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(base_out, pa.string()), pa.array(all_out, pa.string())], names=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    out = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"))
     return out.mapInArrow(scan, f"id {id_type}, n_assign long, n_access long, n_hex long, base_spans string, spans string").withColumnRenamed("id", id_col)
 
 
@@ -212,7 +212,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    return text_rows(docs).mapInArrow(clean, docs.schema)
 
 
 def replaced(text: str, spans: list[tuple[str, int, int]]) -> str:
