@@ -8,10 +8,10 @@ import pandas as pd
 import pytest
 
 from lattica.catalog import TABLES
-from lattica.plans import flows, relational, volume
+from lattica.plans import annotated, flows, relational, volume
 
-QUERIES = volume.QUERIES | relational.QUERIES | flows.QUERIES
-ORACLES = volume.ORACLES | relational.ORACLES | flows.ORACLES
+QUERIES = volume.QUERIES | relational.QUERIES | annotated.QUERIES | flows.QUERIES
+ORACLES = volume.ORACLES | relational.ORACLES | annotated.ORACLES | flows.ORACLES
 
 
 @pytest.fixture(scope="module")
