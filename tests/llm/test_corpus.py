@@ -204,8 +204,8 @@ def test_interactions_equal_the_pairwise_sum():
 def test_fingerprints_with_next(spark):
     df = documents(spark)
     rows = sorted(((d, t or "") for d, t in collected(df)), key=lambda r: (r[0] is None, -(r[0] or 0)))
-    got = {r.doc_id: r for r in minhash.fingerprint_with_next(df, blocks=5).collect()}
-    assert minhash.fingerprint_with_next(df, blocks=5).count() == len(rows)
+    got = {r.doc_id: r for r in minhash.fingerprint_with_next(df, block_bytes=9000).collect()}
+    assert minhash.fingerprint_with_next(df, block_bytes=9000).count() == len(rows)
     shingles = lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} or ({tuple(words(t))} if words(t) else set())
     by_text = {}
     for k, (d, t) in enumerate(rows):
