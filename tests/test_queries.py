@@ -32,14 +32,13 @@ def value(v):
 
 
 def rows(df):
-    df = df[sorted(df.columns)]
-    return sorted(repr(tuple(map(value, r))) for r in df.itertuples(index=False, name=None))
+    return sorted(repr(tuple(value(r[c]) for c in sorted(r))) for r in df.to_pylist())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, data, duck, name):
-    got, want = QUERIES[name](spark, data).toPandas(), duck.sql(ORACLES[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
+    got, want = QUERIES[name](spark, data).toArrow(), duck.sql(ORACLES[name]).to_arrow_table()
+    assert sorted(got.column_names) == sorted(want.column_names)
     assert rows(got) == rows(want)
 
 
