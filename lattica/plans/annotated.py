@@ -97,18 +97,18 @@ def _tasks(spark, d):
 _TASKS = "SELECT CAST(o_orderkey AS VARCHAR) AS task_id, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE '' END AS completion_status, CASE WHEN o_orderkey % 3 = 0 THEN 'u' || (o_custkey % 50) ELSE '' END AS active_user_id, CAST(o_custkey % 200 AS DOUBLE) AS last_leased_ts, o_orderkey % 4 <> 1 AS is_active FROM orders"
 
 
-@query(f"""WITH t AS ({_TASKS}), r AS (SELECT CAST(o_orderkey AS VARCHAR) AS task_id, 'u' || (o_orderkey % 50) AS u FROM orders WHERE o_orderkey % 2 = 0), j AS (SELECT t.*, u, u IS NOT NULL AND is_active AND completion_status = '' AND (active_user_id = '' OR active_user_id = u OR last_leased_ts <= 110) AS ok FROM t LEFT JOIN r USING (task_id))
+@query(f"""WITH t AS ({_TASKS}), r AS (SELECT CAST(o_orderkey AS VARCHAR) AS task_id, 'u' || (o_orderkey % 50) AS u FROM orders WHERE o_totalprice > 150000), j AS (SELECT t.*, u, u IS NOT NULL AND is_active AND completion_status = '' AND (active_user_id = '' OR active_user_id = u OR last_leased_ts <= 110) AS ok FROM t LEFT JOIN r USING (task_id))
 SELECT task_id, CASE WHEN ok THEN u ELSE active_user_id END AS active_user_id, CASE WHEN ok THEN 200.0 ELSE last_leased_ts END AS last_leased_ts, CASE WHEN u IS NOT NULL THEN ok END AS accepted FROM j""")
 def q84_task_leases(spark, d):
-    asked = table(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("task_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 50).alias("user_id"))
+    asked = table(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_orderkey").cast("string").alias("task_id"), F.concat(F.lit("u"), F.col("o_orderkey") % 50).alias("user_id"))
     return tasks.started(_tasks(spark, d), asked, F.lit(200.0)).select("task_id", "active_user_id", "last_leased_ts", "accepted")
 
 
-@query(f"""WITH t AS ({_TASKS}), d AS (SELECT CAST(l_orderkey AS VARCHAR) AS task_id, CAST(l_partkey AS VARCHAR) AS up FROM lineitem WHERE l_linenumber <= 3), s AS (SELECT d.task_id, coalesce(t.completion_status = 'done', false) AS ok FROM d LEFT JOIN t ON t.task_id = up), r AS (SELECT task_id, bool_and(ok) AS ready FROM s GROUP BY task_id)
+@query(f"""WITH t AS ({_TASKS}), d AS (SELECT CAST(l_orderkey AS VARCHAR) AS task_id, CAST(l_partkey AS VARCHAR) AS up FROM lineitem), s AS (SELECT d.task_id, coalesce(t.completion_status = 'done', false) AS ok FROM d LEFT JOIN t ON t.task_id = up), r AS (SELECT task_id, bool_and(ok) AS ready FROM s GROUP BY task_id)
 SELECT t.task_id, is_active OR coalesce(ready, false) AS is_active FROM t LEFT JOIN r USING (task_id)""")
 def q85_task_activation(spark, d):
     """Tasks whose dependencies are all met become active."""
-    deps = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").cast("string").alias("task_id"), F.col("l_partkey").cast("string").alias("dependent_on_task_id"), F.lit("done").alias("required_completion_status"), F.lit(False).alias("is_satisfied"))
+    deps = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("task_id"), F.col("l_partkey").cast("string").alias("dependent_on_task_id"), F.lit("done").alias("required_completion_status"), F.lit(False).alias("is_satisfied"))
     t = _tasks(spark, d)
     return tasks.activated(t, tasks.satisfied(deps, t)).select("task_id", "is_active")
 

@@ -68,10 +68,10 @@ def q73_edit_operations(spark, d):
 
 
 @query("""WITH u AS (SELECT user_id AS seed_id, max(ts) AS ts FROM events WHERE event_type = 'click' GROUP BY ALL)
-SELECT coalesce(c_custkey, seed_id) AS seed_id, CASE WHEN ts IS NOT NULL THEN 'pending' ELSE 'completed' END AS status, CASE WHEN ts IS NOT NULL THEN 0 ELSE 2 END AS retry_count FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 100) c FULL JOIN u ON seed_id = c_custkey""")
+SELECT coalesce(c_custkey, seed_id) AS seed_id, CASE WHEN ts IS NOT NULL THEN 'pending' ELSE 'completed' END AS status, CASE WHEN ts IS NOT NULL THEN 0 ELSE 2 END AS retry_count FROM customer c FULL JOIN u ON seed_id = c_custkey""")
 def q74_queue_upsert(spark, d):
     now = F.lit("2024-01-01").cast("timestamp")
-    queue = table(spark, d, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("seed_id"), F.col("c_custkey").alias("root"), F.lit("completed").alias("status"), F.lit(2).alias("retry_count"), now.alias("created_at"), now.alias("last_attempt"), F.lit("x").alias("error"))
+    queue = table(spark, d, "customer").select(F.col("c_custkey").alias("seed_id"), F.col("c_custkey").alias("root"), F.lit("completed").alias("status"), F.lit(2).alias("retry_count"), now.alias("created_at"), now.alias("last_attempt"), F.lit("x").alias("error"))
     updates = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("seed_id"), F.col("user_id").alias("root"), F.col("ts").cast("timestamp").alias("ts"))
     return edits.queue_latest(queue, updates).select("seed_id", "status", "retry_count")
 
