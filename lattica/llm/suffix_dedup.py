@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ GRAM = 32
 #: Windows have at least this many bytes on one side of their anchor.
 SIDE = (LENGTH - GRAM) // 2
 SHARD_BYTES = 3 << 19
+#: Repeated pieces that a task remembers; beyond it, it starts anew and sends some of them again.
+KNOWN_PIECES = 1 << 20
 
 
 def _prefix(buf: np.ndarray) -> np.ndarray:
@@ -76,14 +79,34 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[top], first, last, place[top], g[place[top]].view(np.int64), _span(sums, first, last + LENGTH).view(np.int64)
 
 
+def _beyond_two(h: np.ndarray, ph: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pieces have two equals before them here, or are among those known to; and the hashes known from now on."""
+    both = mix(h.view(np.uint64) ^ mix(ph.view(np.uint64)))
+    order = np.argsort(both, kind="stable")
+    sorted_ = both[order]
+    told = np.zeros(len(both), bool)
+    told[order[2:]] = sorted_[2:] == sorted_[:-2]
+    told |= known[np.minimum(np.searchsorted(known, both), len(known) - 1)] == both if len(known) else False
+    known = np.union1d(known, both[told])
+    return told, known if len(known) <= KNOWN_PIECES else np.unique(both[told])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, ph, id, pos): anchor's and piece's hash; pos packs the first window, windows - 1, the anchor's distance and the text's tag."""
+    """(h, ph, id, pos, spread): anchor's and piece's hash; pos packs the first window, windows - 1, the anchor's distance and the text's tag.
+
+    Of equal pieces a task sends about two to meet those of other tasks; the rest are known to be repeated
+    already, and have a number in ``spread`` that deals them out evenly.
+    """
+    known, seen = np.zeros(0, np.uint64), 0
     for batch in batches:
         tags = batch.column(2).to_numpy()
         for a, b, buf, offsets in byte_chunks(batch.column(1)):
             doc, first, last, place, h, ph = anchors(buf, offsets)
             pos = (first - offsets[doc]) << 32 | (last - first) << 24 | (place - first) << 16 | tags[a:b][doc]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(pos)], names=["h", "ph", "id", "pos"])
+            told, known = _beyond_two(h, ph, known)
+            spread = pa.array(h + np.arange(seen, seen + len(h)), mask=~told)
+            seen += len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(pos), spread], names=["h", "ph", "id", "pos", "spread"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +114,13 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     2: as 0, but only to be compared with (its own windows are known to be repeated)."""
     carry, before = None, None
     for batch in _with_end(batches):
+        if batch is not None and batch.column(4).null_count < batch.num_rows:
+            told_already = batch.column(4).is_valid()
+            known = batch.filter(told_already)
+            yield pa.RecordBatch.from_arrays([known.column(0), known.column(2), known.column(3), pa.array(np.ones(len(known), np.int8))], names=["h", "id", "pos", "kind"])
+            batch = batch.filter(pc.invert(told_already))
+            if not batch.num_rows:
+                continue
         rows = carry if batch is None else batch if carry is None else pa.concat_batches([carry, batch])
         if rows is None or not rows.num_rows:
             continue
@@ -417,8 +447,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, tag, start, stop): byte ranges, possibly overlapping, that repeated strings cover; tag tells rows of one id apart."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _rows(docs, id_col, text_col)
-    pieces = rows.mapInArrow(_pieces, f"h long, ph long, id {id_type}, pos long")
-    again = checkpointed(pieces.repartition("h").sortWithinPartitions("h", "ph").mapInArrow(_repeats, f"h long, id {id_type}, pos long, kind byte"))
+    pieces = rows.mapInArrow(_pieces, f"h long, ph long, id {id_type}, pos long, spread long")
+    again = checkpointed(pieces.repartition(F.coalesce("spread", "h")).sortWithinPartitions("h", "ph").mapInArrow(_repeats, f"h long, id {id_type}, pos long, kind byte"))
     first, tag = F.shiftrightunsigned("pos", 32), F.col("pos").bitwiseAND(0xFFFF)
     whole = again.where("kind = 1").select("id", tag.alias("tag"), first.alias("start"), (first + F.shiftright("pos", 24).bitwiseAND(255) + LENGTH).alias("stop"))
     wanted = again.where("kind <> 1").groupBy("id", tag.alias("tag")).agg(F.collect_list(F.struct("h", "pos", "kind")).alias("pieces"))
