@@ -321,19 +321,20 @@ def _deal_pairs(shards: int, n: int, v: int, id_type: pa.DataType):
             shard = _range_of(mix(words[context] + part * np.uint64(0x9E3779B97F4A7C15)), shards)
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            out_shard, blobs = [-1 - head["chunk"]], [[b""] * 6]
+            out_shard, blobs = [-1 - head["chunk"]], [[b""] * 7]
             code = quantised(log_p)
             for s in np.flatnonzero(np.diff(cut)):
                 own = order[cut[s] : cut[s + 1]]
                 ctx = context[own]
                 c_top = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
                 uses = np.diff(np.append(c_top, len(ctx)))
-                lists = (np.column_stack([words[ctx[c_top]], counts[ctx[c_top]], uses.astype(np.uint64)]).T.ravel().astype("<u8"), words[word[own]].astype("<u4"), code[word[own]], (doc[own] << 1 | train[doc[own]]).astype("<u4"), times[own].astype("<u4"))
+                successors, at = np.unique(word[own], return_inverse=True)
+                lists = (np.column_stack([words[ctx[c_top]], counts[ctx[c_top]], uses.astype(np.uint64)]).T.ravel().astype("<u8"), words[successors].astype("<u4"), code[successors], at.astype("<u4"), (doc[own] << 1 | train[doc[own]]).astype("<u4"), times[own].astype("<u4"))
                 out_shard.append(int(s))
                 blobs.append([*map(_pack, lists), b""])
-            blobs[0][5] = _pack(np.concatenate([base, known.astype(float), sizes.astype(float), train.astype(float)]))
+            blobs[0][6] = _pack(np.concatenate([base, known.astype(float), sizes.astype(float), train.astype(float)]))
             m = len(out_shard)
-            yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int64()), pa.array([head["chunk"]] * m, pa.int64()), pa.array([docs] * m, pa.int32()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(6)), pa.array([head["ids"]] + [None] * (m - 1), pa.list_(id_type))], names=["shard", "chunk", "n_docs", "contexts", "words", "codes", "docs", "times", "sums", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int64()), pa.array([head["chunk"]] * m, pa.int64()), pa.array([docs] * m, pa.int32()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(7)), pa.array([head["ids"]] + [None] * (m - 1), pa.list_(id_type))], names=["shard", "chunk", "n_docs", "contexts", "words", "codes", "at", "docs", "times", "sums", "ids"])
 
     return run
 
@@ -349,7 +350,8 @@ def _score_shards(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
         c_one = np.zeros(len(contexts))
         c_one[number] = np.concatenate([h[1] for h in heads])
         ctx = np.repeat(number, np.concatenate([h[2] for h in heads]).astype(np.int64)).astype(np.uint64)
-        word = np.concatenate([_unpack(r["words"], "<u4") for r in rows]).astype(np.uint64)
+        places = [_unpack(r["at"], "<u4") for r in rows]
+        word = np.concatenate([_unpack(r["words"], "<u4")[p] for r, p in zip(rows, places)]).astype(np.uint64)
         docs = [_unpack(r["docs"], "<u4") for r in rows]
         times = np.concatenate([_unpack(r["times"], "<u4") for r in rows]).astype(np.float64)
         learnt = (np.concatenate(docs) & 1).astype(np.float64)
@@ -361,7 +363,7 @@ def _score_shards(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> It
         buf = Trie.build(contexts[used], mine, (pairs[seen] & np.uint64(0xFFFFFFFF)).astype(np.uint64), np.log10(counts[seen] / (c_one[p_ctx[seen]] + MU)))
         share = Trie(buf).shares(contexts[p_ctx], pairs & np.uint64(0xFFFFFFFF))
         one = c_one[ctx.astype(np.int64)]
-        p_word = 10.0 ** restored(np.concatenate([_unpack(r["codes"], "<u2") for r in rows]))
+        p_word = 10.0 ** restored(np.concatenate([_unpack(r["codes"], "<u2")[p] for r, p in zip(rows, places)]))
         logs = times * np.log10(10.0 ** share[at] + MU / (one + MU) * p_word)
         ends = np.cumsum([0, *map(len, docs)])
         sums = [_pack(np.bincount(d >> 1, weights=logs[x:y], minlength=r["n_docs"]).astype("<f8")) for r, d, x, y in zip(rows, docs, ends, ends[1:])]
@@ -396,7 +398,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(words, -(-(n + total) // SHARD_TOKENS))
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("n_docs", "int"), ("sizes", "binary"), ("train", "binary"), ("words", "binary"), ("tokens", "binary"), ("ids", f"array<{carried}>"))]
     both = chunks.withColumn("counts", F.lit(None).cast("binary")).unionByName(counted.select("chunk", "part", "counts", *empty))
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_deal_pairs(shards, n, v, arrow_id), f"shard long, chunk long, n_docs int, contexts binary, words binary, codes binary, docs binary, times binary, sums binary, ids array<{carried}>")
+    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_deal_pairs(shards, n, v, arrow_id), f"shard long, chunk long, n_docs int, contexts binary, words binary, codes binary, at binary, docs binary, times binary, sums binary, ids array<{carried}>")
     scored = dealt.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(lambda b: _score_shards(b, arrow_id), f"chunk long, kind int, sums binary, ids array<{carried}>")
     out = scored.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_documents(n, arrow_id), f"id {carried}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").cast(id_type).alias(id_col), *out.columns[1:])
