@@ -206,6 +206,19 @@ def _unpack(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(item, -1).T).view(dtype).ravel()
 
 
+def _pack_tokens(numbers: np.ndarray, n_words: int) -> bytes:
+    """A stream of word numbers as the words' ranks by frequency, which take fewer bytes, behind the frequencies."""
+    uses = np.bincount(numbers, minlength=n_words)
+    rank = np.empty(n_words, "<u4")
+    rank[np.argsort(-uses, kind="stable")] = np.arange(n_words)
+    return _pack(np.concatenate([uses.astype("<u4"), rank[numbers]]))
+
+
+def _unpack_tokens(blob: bytes, n_words: int) -> np.ndarray:
+    both = _unpack(blob, "<u4").astype(np.int64)
+    return np.argsort(-both[:n_words], kind="stable")[both[n_words:]]
+
+
 def _range_of(h: np.ndarray, n: int) -> np.ndarray:
     """Number of the range of hashes (0..n-1) that each falls in; grows with the hash."""
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -225,7 +238,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = np.concatenate(hashes)
         words, numbers = np.unique(stream, return_inverse=True)
         id_list = pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids))
-        row = [pa.array([no]), pa.array([-1], pa.int32()), pa.array([len(id_list.values)], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in (np.concatenate(sizes).astype("<u4"), np.concatenate(train).astype(np.uint8), words, numbers.astype("<u4"))), id_list]
+        row = [pa.array([no]), pa.array([-1], pa.int32()), pa.array([len(id_list.values)], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in (np.concatenate(sizes).astype("<u4"), np.concatenate(train).astype(np.uint8), words)), pa.array([_pack_tokens(numbers, len(words))], pa.binary()), id_list]
         no += 1
         return pa.RecordBatch.from_arrays(row, names=["chunk", "part", "n_docs", "sizes", "train", "words", "tokens", "ids"])
 
@@ -253,7 +266,8 @@ def _word_parts(shards: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 chunk, _, _, sizes, train, words, tokens = (batch.column(i)[row].as_py() for i in range(7))
-                words, tokens = _unpack(words, "<u8"), _unpack(tokens, "<u4")
+                words = _unpack(words, "<u8")
+                tokens = _unpack_tokens(tokens, len(words))
                 learnt = np.repeat(_unpack(train, "u1"), _unpack(sizes, "<u4"))
                 counts = np.bincount(tokens, weights=learnt, minlength=len(words)).astype("<u4")
                 cut = np.searchsorted(_range_of(words, shards), np.arange(shards + 1))
@@ -296,7 +310,8 @@ def _deal_pairs(shards: int, n: int, v: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 0):
             head = rows[0]
-            words, tokens = _unpack(head["words"], "<u8"), _unpack(head["tokens"], "<u4").astype(np.int64)
+            words = _unpack(head["words"], "<u8")
+            tokens = _unpack_tokens(head["tokens"], len(words))
             sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
             counts = np.concatenate([_unpack(r["counts"], "<u8") for r in rows[1:]])
             log_p = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
