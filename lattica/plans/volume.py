@@ -218,9 +218,15 @@ def _blend_sql(kind):
     return f"{_CHUNKED} SELECT pos, round(sum(({side('tl', 0)}) * ({side('th', 19)}) * (value * (1 + chunk % 2))) + 1e-9, 6) AS value FROM j GROUP BY pos"
 
 
+#: The line's least extent, which the SQL has as its only one.
+_LEAST_STOP = 10000
+
+
 def _blended(spark, d, kind):
-    e = table(spark, d, "events").where("event_id < 10000").select(F.col("event_id").alias("pos"), "value")
-    rows = grids.overlapped(e, "pos", 500, 25, 0, 10000)
+    """All events, over chunks up to the last event's (20 at least)."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("pos"), "value")
+    last = e.agg(F.max("pos")).first()[0]
+    rows = grids.overlapped(e, "pos", 500, 25, 0, max(_LEAST_STOP, -1 if last is None else last + 1))
     return grids.blend(rows, "pos", F.col("value") * (1 + F.col("chunk") % 2), kind, 25)
 
 
