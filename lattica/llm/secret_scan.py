@@ -19,8 +19,10 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,20 @@ _RULES = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
 #: RE2 forms that every text with a finding or a layer matches; they spare the rest the Python scan.
-_GATE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|&#[xX]?[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
+_GATE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[uU]\{?[0-9A-Fa-f]|&#[xX]?[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: Escapes that stand for one byte, those of byte literals included.
+_BYTE_ESCAPE = re.compile(_ESCAPE.pattern + r"""|\\([nrtabfv0'"\\])""")
+_BYTE_OF = dict(zip("nrtabfv0'\"\\", b"\n\r\t\a\b\f\v\0'\"\\"))
+_ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64 under each other; possessive and from a run's first symbol on, so that the search stays linear.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_SEPARATOR = re.compile(r"[/_+-]")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 _PLAIN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9a-f]+|[0-9]+")
 #: Upper bound of one unpacked layer, against decompression bombs.
 MAX_LAYER = 1 << 28
@@ -90,23 +101,96 @@ def _text_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.
     return text, starts[first], ends[last]
 
 
+def _stream(raw: bytes | memoryview) -> tuple[bytes, int] | None:
+    """The content of a compressed stream that begins and ends in ``raw``, and the bytes it takes."""
+    out, at = [], 0
+    try:
+        while True:
+            head = bytes(raw[at : at + 1])
+            unpack = zlib.decompressobj(31) if head == b"\x1f" else zlib.decompressobj() if head == b"\x78" else bz2.BZ2Decompressor() if head == b"B" else lzma.LZMADecompressor()
+            out.append(unpack.decompress(raw[at:], MAX_LAYER))
+            if not unpack.eof:
+                return (b"".join(out), len(raw)) if len(out[-1]) >= MAX_LAYER else None
+            at = len(raw) - len(unpack.unused_data)
+            if bytes(raw[at : at + 3]) != b"\x1f\x8b\x08" or head != b"\x1f":
+                return b"".join(out), at
+    except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+        return (b"".join(out), at) if out else None
+
+
+def _streams(raw: bytes, starts: np.ndarray, ends: np.ndarray, plus: bool = False):
+    """A layer for every compressed stream inside a byte string, prose around it or not; ``plus`` also tries + as a space."""
+    at = 0
+    while m := _MAGIC.search(raw, at):
+        a = m.start()
+        got = _stream(memoryview(raw)[a:])
+        if got is None and plus and b"+" in raw[a:]:
+            got = _stream(raw[a:].replace(b"+", b" "))
+        if got is None:
+            at = a + 1
+            continue
+        inner, used = got
+        at = a + used
+        if (layer := _text_of(inner, np.full(len(inner), starts[a]), np.full(len(inner), ends[at - 1]))) is not None:
+            yield layer
+
+
+def _as_bytes(text: str, tokens: list[tuple[int, int, int]]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text's UTF-8 with each token (start, end, byte) as one byte; the first and last character of each byte."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    width = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+    last, parts, at = np.arange(len(text)), [], 0
+    for a, b, byte in tokens:
+        width[a], width[a + 1 : b], last[a] = 1, 0, b - 1
+        parts += [text[at:a].encode("utf-8", "surrogatepass"), bytes((byte,))]
+        at = b
+    parts.append(text[at:].encode("utf-8", "surrogatepass"))
+    return b"".join(parts), np.repeat(np.arange(len(text)), width), np.repeat(last, width)
+
+
+def _packed(text: str, starts: np.ndarray, ends: np.ndarray):
+    r"""A layer for every compressed stream whose bytes are percent-encoded or escaped (\xXX and the like)."""
+    if "%" in text and _MAGIC.search(unquote_to_bytes(text.encode("utf-8", "surrogatepass"))):
+        raw, first, last = _as_bytes(text, [(*m.span(), int(m[1], 16)) for m in _ONE_PERCENT.finditer(text)])
+        yield from _streams(raw, starts[first], ends[last], True)
+    if _ESCAPE.search(text):
+        tokens = []
+        for m in _BYTE_ESCAPE.finditer(text):
+            byte = _BYTE_OF[m[7]] if m[7] else int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
+            if byte < 256:
+                tokens.append((*m.span(), byte))
+        raw, first, last = _as_bytes(text, tokens)
+        if _MAGIC.search(raw):
+            yield from _streams(raw, starts[first], ends[last])
+
+
 def _percent(text: str, starts: np.ndarray, ends: np.ndarray):
-    """The text with its percent escapes decoded; None without any."""
+    """The text with its percent escapes decoded run by run, those that are not UTF-8 kept as they are; None without any other."""
     parts, s, e, at = [], [], [], 0
     for m in _PERCENT.finditer(text):
         a, b = m.span()
-        raw = text[at:a].encode("utf-8", "surrogatepass")
-        owner = np.repeat(np.arange(at, a), [len(c.encode("utf-8", "surrogatepass")) for c in text[at:a]]) if a > at else np.zeros(0, int)
+        run = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
         own = np.arange(a, b, 3)
-        parts += [raw, bytes.fromhex(m[0].replace("%", ""))]
-        s += [starts[owner], starts[own]]
-        e += [ends[owner], ends[own + 2]]
+        last = own + 2
+        if not run.isascii():
+            codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), "<u4")
+            bad = (codes >= 0xDC80) & (codes <= 0xDCFF)
+            if bad.all():
+                continue
+            width = np.where(bad, 1, 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF))
+            own, last = a + 3 * (np.cumsum(width) - width), a + 3 * np.cumsum(width) - 1
+            if bad.any():
+                run = "".join(text[i : i + 3] if x else c for c, i, x in zip(run, own.tolist(), bad.tolist()))
+                times = np.where(bad, 3, 1)
+                inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                own, last = np.repeat(own, times) + inside, np.repeat(np.where(bad, own, last), times) + inside
+        parts += [text[at:a], run]
+        s += [starts[at:a], starts[own]]
+        e += [ends[at:a], ends[last]]
         at = b
     if not parts:
         return None
-    rest = text[at:]
-    owner = np.repeat(np.arange(at, len(text)), [len(c.encode("utf-8", "surrogatepass")) for c in rest]) if rest else np.zeros(0, int)
-    return _text_of(b"".join([*parts, rest.encode("utf-8", "surrogatepass")]), np.concatenate([*s, starts[owner]]), np.concatenate([*e, ends[owner]]))
+    return "".join([*parts, text[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]])
 
 
 def _escapes(text: str, starts: np.ndarray, ends: np.ndarray):
@@ -126,21 +210,104 @@ def _escapes(text: str, starts: np.ndarray, ends: np.ndarray):
     return "".join([*parts, text[at:]]), np.concatenate([*s, starts[at:]]), np.concatenate([*e, ends[at:]])
 
 
+def _bytes_of(run: str) -> bytes | None:
+    if len(run) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _decoded(raw: bytes, places: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """The layer of bytes whose base64 symbols stand at ``places``."""
+    i = np.arange(len(raw))
+    return _text_of(raw, starts[places[i * 8 // 6]], ends[places[((i + 1) * 8 + 5) // 6 - 1]])
+
+
+def _likely(raw: bytes | None) -> bool:
+    """Whether bytes begin a compressed layer or a text."""
+    if raw is None or _MAGIC.match(raw):
+        return raw is not None
+    try:
+        return raw.decode("utf-8").isprintable()
+    except UnicodeDecodeError as x:
+        return x.start >= len(raw) - 3 and x.reason == "unexpected end of data"
+
+
+def _realigned(run: str, at: int, starts: np.ndarray, ends: np.ndarray):
+    """Layers of the parts of a run that begin at its start or after a separator, and end at its end or before one."""
+    cuts = [m.start() for m in _SEPARATOR.finditer(run)]
+    done = 0
+    for first in [0, *(c + 1 for c in cuts)]:
+        if first < done or len(run) - first < 16 or not _likely(_bytes_of(run[first : first + 16])):
+            continue
+        stop = len(run)
+        while stop - first >= 16:
+            part, limit = run[first:stop], stop
+            if (raw := _bytes_of(part)) is not None and not _PLAIN_WORD.fullmatch(part):
+                places = np.arange(at + first, at + stop)
+                if _MAGIC.match(raw) and (got := _stream(raw)):
+                    raw_, used = got
+                    layer = _text_of(raw_, np.full(len(raw_), starts[places[0]]), np.full(len(raw_), ends[places[(used * 8 + 5) // 6 - 1]]))
+                else:
+                    layer = _decoded(raw, places, starts, ends)
+                if layer is not None:
+                    yield layer
+                    done = stop
+                    break
+                try:
+                    raw.decode("utf-8")
+                except UnicodeDecodeError as x:
+                    limit = min(stop, first + x.start * 8 // 6 + 2)
+            k = bisect_left(cuts, limit) - 1
+            if k < 0 or cuts[k] <= first:
+                break
+            stop = cuts[k]
+
+
+def _blocks(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Lines of base64 that were wrapped: of one width, but for a shorter last one."""
+    for m in _WRAPPED.finditer(text):
+        block: list[tuple[int, int]] = []
+        for line in (*_LINE.finditer(m[0]), None):
+            a, b = (line.start() + m.start(), line.end() + m.start()) if line else (0, 0)
+            width = block[0][1] - block[0][0] if block else 0
+            if line and (not block or b - a <= width):
+                block.append((a, b))
+                if b - a == width or len(block) == 1:
+                    continue
+                a = b = 0
+            if len(block) > 1 and width >= 16:
+                yield block
+            block = [(a, b)] if b > a else []
+
+
 def _base64s(text: str, starts: np.ndarray, ends: np.ndarray):
-    """A layer for every base64 run that decodes to text or to a compressed layer."""
+    """A layer for every base64 run that decodes to text or to a compressed layer; wrapped lines are one run."""
+    joined_up: list[tuple[int, int]] = []
+    for block in _blocks(text):
+        for lines in (block, block[:-1]):  # the last line may be a word below the block
+            raw = _bytes_of("".join(text[a:b] for a, b in lines)) if len(lines) > 1 else None
+            layer = raw and _decoded(raw, np.concatenate([np.arange(a, b) for a, b in lines]), starts, ends)
+            if layer:
+                yield layer
+                joined_up.append((lines[0][0], lines[-1][1]))
+                break
+    k = 0
     for m in _BASE64.finditer(text):
+        while k < len(joined_up) and joined_up[k][1] <= m.start():
+            k += 1
+        if k < len(joined_up) and joined_up[k][0] <= m.start():
+            continue
         run = m[0].rstrip("=")
         if _PLAIN_WORD.fullmatch(run):
             continue
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        i, a = np.arange(len(raw)), m.start()
-        if (layer := _text_of(raw, starts[a + i * 8 // 6], ends[a + ((i + 1) * 8 + 5) // 6 - 1])) is not None:
+        raw, a = _bytes_of(run), m.start()
+        if raw is not None and (layer := _decoded(raw, np.arange(a, a + len(run)), starts, ends)) is not None:
             yield layer
+        else:
+            yield from _realigned(run, a, starts, ends)
 
 
 def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -154,6 +321,7 @@ def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
         layer, starts, ends = work.popleft()
         inner = [x for x in (_percent(layer, starts, ends), _escapes(layer, starts, ends)) if x]
         inner += _base64s(layer, starts, ends)
+        inner += _packed(layer, starts, ends)
         for t, s, e in inner:
             key = hashlib.sha1(t.encode("utf-8", "surrogatepass")).digest() + f"{s[:1]}:{e[-1:]}".encode()
             if not t or key in seen:

@@ -5,7 +5,11 @@ import gzip
 import hashlib
 import re
 import struct
+import urllib.parse
+import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,6 +33,47 @@ def brute_secrets(text):
     return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
 
 
+_HIDDEN = "password=Sup3rS3cretValue"
+_B64 = base64.b64encode(_HIDDEN.encode()).decode()
+_GZIP = gzip.compress(_HIDDEN.encode(), mtime=0)
+_WRAPPED_B64 = base64.encodebytes(("some words before it, then " * 2 + _HIDDEN + " and words behind it " * 4).encode()).decode().strip()
+_HEX = "".join(f"%{b:02X}" for b in _HIDDEN.encode())
+
+
+@pytest.mark.parametrize(
+    ("layer", "inside"),
+    [
+        (f"caf%E9 at 50%de, {_HEX} end", _HEX),
+        (f"see %E9{_HEX}%ff end", _HEX),
+        ("x " + "".join(f"\\u{{{ord(c):x}}}" for c in _HIDDEN), None),
+        ("x " + "".join(f"\\U{ord(c):08x}" for c in _HIDDEN), None),
+        ("look: " + urllib.parse.quote(_GZIP, safe="") + " end.", urllib.parse.quote(_GZIP, safe="")),
+        ("look: " + urllib.parse.quote_plus(_GZIP) + " end.", urllib.parse.quote_plus(_GZIP)),
+        ("look: " + repr(_GZIP)[2:-1] + " end.", repr(_GZIP)[2:-1]),
+        ("look: " + "".join(f"\\x{b:02x}" for b in zlib.compress(_HIDDEN.encode())) + " end.", "".join(f"\\x{b:02x}" for b in zlib.compress(_HIDDEN.encode()))),
+        (f"at path/to/{_B64.rstrip('=')} end", _B64.rstrip("=")),
+        (f"key_{_B64.rstrip('=')}/more/of-it end", _B64.rstrip("=")),
+        ("id-" + base64.b64encode(_GZIP).decode().rstrip("=") + " end", base64.b64encode(_GZIP).decode().rstrip("=")),
+    ],
+)
+def test_layers_beside_other_text(layer, inside):
+    base, every = secret_scan.scan_text(layer)
+    at = layer.index(inside) if inside else 2
+    stop = at + len(inside or layer[2:])
+    assert base == [] and ("assign", at, stop) in every
+    assert pc.match_substring_regex(pa.array([layer]), secret_scan._GATE)[0].as_py()
+    assert secret_scan.replaced(layer, every) == layer[:at] + "[assign]" + layer[stop:]
+
+
+@pytest.mark.parametrize("text", [f"mail:\n{_WRAPPED_B64}\nRegards", "mail:\r\n  " + _WRAPPED_B64.replace("\n", "\r\n  ")])
+def test_wrapped_base64(text):
+    """The secret crosses a line end; it is found whole, and no part of it besides."""
+    plain = base64.b64decode(_WRAPPED_B64).decode()
+    a = plain.index(_HIDDEN)
+    body = [i for i, c in enumerate(text) if i >= 5 and not c.isspace()]
+    assert secret_scan.scan_text(text)[1] == [("assign", body[a * 8 // 6], body[((a + len(_HIDDEN)) * 8 + 5) // 6 - 1] + 1)]
+
+
 def test_secret_base(spark):
     got = secret_scan.find_secrets(documents(spark)).collect()
     assert len(got) == documents(spark).count()
