@@ -7,11 +7,13 @@ that of the unigrams at most, and unseen words keep a share.
 
 How it runs.  Documents are packed into chunks of word numbers; the chunks'
 words are counted in shards by word; the counts return to the chunks, which then
-deal their word pairs to shards by context (contexts that hold a large share of
-the tokens are split further by successor).  Each shard builds a trie of the
-training pairs and scores all pairs sent to it; sums per document return to the
-chunks.  Only binary blobs are shuffled, nothing passes through the driver but
-N and V, and a shard holds about SHARD_TOKENS tokens whatever the corpus.
+deal their distinct word pairs, each with its training count in the chunk, to
+shards by context (contexts that hold a large share of the tokens are split
+further by successor).  Each shard adds up the counts, builds a trie of the
+training pairs and returns its quantised share for each pair of a chunk; the
+chunks turn them into probabilities and sum these over their documents.  Only binary blobs are shuffled, nothing passes
+through the driver but N and V.  A shard holds the pairs of about SHARD_TOKENS
+tokens; one pair, however common, takes one entry in it for each chunk.
 
 A trie's levels are flat buffers: contexts, successor vocabulary, pointers into
 the successors and the successors themselves (made monotone by their context's
@@ -153,11 +155,11 @@ class Trie:
 
     @staticmethod
     def build(contexts: np.ndarray, context: np.ndarray, successor: np.ndarray, log_share: np.ndarray) -> np.ndarray:
-        """The buffer for pairs sorted by (context number, successor); ``contexts`` are sorted hashes, successors 32-bit hashes."""
+        """The buffer for pairs sorted by (context number, successor); ``contexts`` are sorted hashes, successors hashes."""
         words, ids = np.unique(successor, return_inverse=True)
         width = max(len(words), 1)
         pointers = np.searchsorted(context, np.arange(len(contexts) + 1))
-        levels = [EliasFano.encode(contexts, 1 << 64), EliasFano.encode(words, 1 << 32), EliasFano.encode(pointers, len(context) + 1), EliasFano.encode(context.astype(np.uint64) * np.uint64(width) + ids.astype(np.uint64), max(len(contexts) * width, 1))]
+        levels = [EliasFano.encode(contexts, 1 << 64), EliasFano.encode(words, 1 << 64), EliasFano.encode(pointers, len(context) + 1), EliasFano.encode(context.astype(np.uint64) * np.uint64(width) + ids.astype(np.uint64), max(len(contexts) * width, 1))]
         return np.concatenate([p for level in levels for p in level.parts()] + [quantised(log_share).view(np.uint8)])
 
     def shares(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
@@ -206,6 +208,11 @@ def _unpack(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(item, -1).T).view(dtype).ravel()
 
 
+def _steps_of(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending hashes, which take fewer bytes."""
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
 def _pack_tokens(numbers: np.ndarray, n_words: int) -> bytes:
     """A stream of word numbers as the words' ranks by frequency, which take fewer bytes, behind the frequencies."""
     uses = np.bincount(numbers, minlength=n_words)
@@ -304,7 +311,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([_pack(total[at[x:y]]) for x, y in zip(ends, ends[1:])], pa.binary()), pa.array(np.where(first, int(total.sum()), 0)), pa.array(np.where(first, int((total > 0).sum()), 0))], names=["chunk", "part", "counts", "n", "v"])
 
 
-def _deal_pairs(shards: int, n: int, v: int, id_type: pa.DataType):
+def _pairs(words: np.ndarray, tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (context << 32 | word, as word numbers) of a token stream, sorted, and the pair of each token."""
+    # the context of a document's first token is the end of text
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[firsts] = int(np.searchsorted(words, END))
+    return np.unique(before << 32 | tokens, return_inverse=True)
+
+
+def _shard_of(words: np.ndarray, pair: np.ndarray, counts: np.ndarray, shards: int, n: int) -> np.ndarray:
+    """The shard of each pair; contexts with a large share of all tokens are split by successor."""
+    split = np.maximum(counts * (4 * shards) // max(n, 1), 1)
+    context, word = pair >> 32, pair & 0xFFFFFFFF
+    part = np.where(split[context] > 1, (mix(words[word]) % split[context]).astype(np.uint64), np.uint64(0))
+    return _range_of(mix(words[context] + part * np.uint64(0x9E3779B97F4A7C15)), shards)
+
+
+def _deal_pairs(shards: int, n: int, v: int):
     """Chunks with their words' total counts -> a row of sums for each chunk, and blobs of word pairs for the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,83 +339,83 @@ def _deal_pairs(shards: int, n: int, v: int, id_type: pa.DataType):
             sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
             counts = np.concatenate([_unpack(r["counts"], "<u8") for r in rows[1:]])
             log_p = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-            docs = len(sizes)
-            doc = np.repeat(np.arange(docs), sizes)
             firsts = np.cumsum(sizes) - sizes
             base = np.add.reduceat(log_p[tokens], firsts)
             known = np.add.reduceat((counts[tokens] > 0).astype(np.int64), firsts)
-            # the context of a document's first token is the end of text
-            before = np.empty_like(tokens)
-            before[1:] = tokens[:-1]
-            before[firsts] = int(np.searchsorted(words, END))
-            order = np.lexsort((doc, before << 32 | tokens))
-            pair, doc = (before << 32 | tokens)[order], doc[order]
-            top = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])))
-            times = np.diff(np.append(top, len(pair)))
-            pair, doc = pair[top], doc[top]
+            pair, at = _pairs(words, tokens, firsts)
+            learnt = np.bincount(at, weights=np.repeat(train, sizes), minlength=len(pair)).astype("<u4")
+            shard = _shard_of(words, pair, counts, shards, n)
             context, word = pair >> 32, pair & 0xFFFFFFFF
-            # contexts with a large share of all tokens are split by successor
-            split = np.maximum(counts * (4 * shards) // max(n, 1), 1)
-            part = np.where(split[context] > 1, (mix(words[word]) % split[context]).astype(np.uint64), np.uint64(0))
-            shard = _range_of(mix(words[context] + part * np.uint64(0x9E3779B97F4A7C15)), shards)
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            out_shard, blobs = [-1 - head["chunk"]], [[b""] * 7]
-            code = quantised(log_p)
+            out_shard, blobs = [-1 - head["chunk"]], [[b""] * 5]
             for s in np.flatnonzero(np.diff(cut)):
                 own = order[cut[s] : cut[s + 1]]
                 ctx = context[own]
                 c_top = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
                 uses = np.diff(np.append(c_top, len(ctx)))
-                successors, at = np.unique(word[own], return_inverse=True)
-                lists = (np.column_stack([words[ctx[c_top]], counts[ctx[c_top]], uses.astype(np.uint64)]).T.ravel().astype("<u8"), words[successors].astype("<u4"), code[successors], at.astype("<u4"), (doc[own] << 1 | train[doc[own]]).astype("<u4"), times[own].astype("<u4"))
+                successors, place = np.unique(word[own], return_inverse=True)
+                lists = (np.column_stack([_steps_of(words[ctx[c_top]]), counts[ctx[c_top]], uses.astype(np.uint64)]).T.ravel().astype("<u8"), _steps_of(words[successors]), place.astype("<u4"), learnt[own])
                 out_shard.append(int(s))
                 blobs.append([*map(_pack, lists), b""])
-            blobs[0][6] = _pack(np.concatenate([base, known.astype(float), sizes.astype(float), train.astype(float)]))
+            blobs[0][4] = _pack(np.concatenate([base, known.astype(float), counts.astype(float)]))
             m = len(out_shard)
-            yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int64()), pa.array([head["chunk"]] * m, pa.int64()), pa.array([docs] * m, pa.int32()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(7)), pa.array([head["ids"]] + [None] * (m - 1), pa.list_(id_type))], names=["shard", "chunk", "n_docs", "contexts", "words", "codes", "at", "docs", "times", "sums", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int64()), pa.array([head["chunk"]] * m, pa.int64()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(5))], names=["shard", "chunk", "contexts", "words", "at", "learnt", "sums"])
 
     return run
 
 
-def _score_shards(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """All pairs of one shard -> for each chunk the sums of its documents' log10 probabilities; the chunks' own rows pass."""
+def _score_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of one shard -> for each chunk the shares of its pairs (the lowest for unseen ones); the chunks' own rows pass."""
     for rows in _grouped(batches, 0):
-        if rows[0]["shard"] < 0:
-            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([r["sums"] for r in rows], pa.binary()), pa.array([r["ids"] for r in rows], pa.list_(id_type))], names=["chunk", "kind", "sums", "ids"])
-            continue
-        heads = [_unpack(r["contexts"], "<u8").reshape(3, -1) for r in rows]
-        contexts, number = np.unique(np.concatenate([h[0] for h in heads]), return_inverse=True)
-        c_one = np.zeros(len(contexts))
-        c_one[number] = np.concatenate([h[1] for h in heads])
-        ctx = np.repeat(number, np.concatenate([h[2] for h in heads]).astype(np.int64)).astype(np.uint64)
-        places = [_unpack(r["at"], "<u4") for r in rows]
-        word = np.concatenate([_unpack(r["words"], "<u4")[p] for r, p in zip(rows, places)]).astype(np.uint64)
-        docs = [_unpack(r["docs"], "<u4") for r in rows]
-        times = np.concatenate([_unpack(r["times"], "<u4") for r in rows]).astype(np.float64)
-        learnt = (np.concatenate(docs) & 1).astype(np.float64)
-        pairs, at = np.unique(ctx << np.uint64(32) | word, return_inverse=True)
-        counts = np.bincount(at, weights=times * learnt, minlength=len(pairs))
-        p_ctx = (pairs >> np.uint64(32)).astype(np.int64)
-        seen = np.flatnonzero(counts > 0)
-        used, mine = np.unique(p_ctx[seen], return_inverse=True)
-        buf = Trie.build(contexts[used], mine, (pairs[seen] & np.uint64(0xFFFFFFFF)).astype(np.uint64), np.log10(counts[seen] / (c_one[p_ctx[seen]] + MU)))
-        share = Trie(buf).shares(contexts[p_ctx], pairs & np.uint64(0xFFFFFFFF))
-        one = c_one[ctx.astype(np.int64)]
-        p_word = 10.0 ** restored(np.concatenate([_unpack(r["codes"], "<u2")[p] for r, p in zip(rows, places)]))
-        logs = times * np.log10(10.0 ** share[at] + MU / (one + MU) * p_word)
-        ends = np.cumsum([0, *map(len, docs)])
-        sums = [_pack(np.bincount(d >> 1, weights=logs[x:y], minlength=r["n_docs"]).astype("<f8")) for r, d, x, y in zip(rows, docs, ends, ends[1:])]
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([1] * n, pa.int32()), pa.array(sums, pa.binary()), pa.array([None] * n, pa.list_(id_type))], names=["chunk", "kind", "sums", "ids"])
-
+        n, shard = len(rows), rows[0]["shard"]
+        if shard < 0:
+            sums = [r["sums"] for r in rows]
+        else:
+            heads = [_unpack(r["contexts"], "<u8").reshape(3, -1) for r in rows]
+            contexts, number = np.unique(np.concatenate([np.cumsum(h[0], dtype=np.uint64) for h in heads]), return_inverse=True)
+            c_one = np.zeros(len(contexts))
+            c_one[number] = np.concatenate([h[1] for h in heads])
+            ctx = np.repeat(number, np.concatenate([h[2] for h in heads]).astype(np.int64)).astype(np.uint64)
+            places = [_unpack(r["at"], "<u4") for r in rows]
+            lists = [np.cumsum(_unpack(r["words"], "<u8"), dtype=np.uint64) for r in rows]
+            successors, number = np.unique(np.concatenate(lists), return_inverse=True)
+            firsts = np.cumsum([0, *map(len, lists)])
+            word = number[np.concatenate([p + f for p, f in zip(places, firsts.tolist())])].astype(np.uint64)
+            learnt = np.concatenate([_unpack(r["learnt"], "<u4") for r in rows])
+            pairs, at = np.unique(ctx << np.uint64(32) | word, return_inverse=True)
+            counts = np.bincount(at, weights=learnt, minlength=len(pairs))
+            p_ctx, p_word = (pairs >> np.uint64(32)).astype(np.int64), successors[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            seen = np.flatnonzero(counts > 0)
+            used, mine = np.unique(p_ctx[seen], return_inverse=True)
+            buf = Trie.build(contexts[used], mine, p_word[seen], np.log10(counts[seen] / (c_one[p_ctx[seen]] + MU)))
+            share = quantised(np.maximum(Trie(buf).shares(contexts[p_ctx], p_word), _LOWEST))[at]
+            ends = np.cumsum([0, *map(len, places)])
+            sums = [_pack(share[x:y]) for x, y in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([int(shard >= 0)] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(sums, pa.binary())], names=["chunk", "kind", "shard", "sums"])
+
+
+def _documents(shards: int, n: int, v: int, id_type: pa.DataType):
+    """A chunk, its sums and the shares of its pairs, in the order of their shards -> its documents."""
 
-def _documents(n: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 0):
-            base, known, sizes, train = _unpack(rows[0]["sums"], "<f8").reshape(4, -1)
-            score = sum((_unpack(r["sums"], "<f8") for r in rows[1:]), np.zeros(len(base)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0]["ids"], id_type), pa.array(train == 0), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(base), n)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            head = rows[0]
+            words = _unpack(head["words"], "<u8")
+            tokens = _unpack_tokens(head["tokens"], len(words))
+            sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
+            docs = len(sizes)
+            sums = _unpack(rows[1]["sums"], "<f8")
+            base, known = sums[: 2 * docs].reshape(2, -1)
+            counts = sums[2 * docs :].astype(np.uint64)
+            pair, at = _pairs(words, tokens, np.cumsum(sizes) - sizes)
+            share = np.empty(len(pair), "<u2")
+            share[np.argsort(_shard_of(words, pair, counts, shards, n), kind="stable")] = np.concatenate([_unpack(r["sums"], "<u2") for r in rows[2:]])
+            one, p_word = counts[pair >> 32].astype(float), (counts + 0.1) / (n + 0.1 * (v + 1))
+            seen = np.where(share < _STEPS, 10.0 ** restored(share), 0)
+            logs = np.log10(seen + MU / (one + MU) * p_word[pair & 0xFFFFFFFF])
+            score = np.bincount(np.repeat(np.arange(docs), sizes), weights=logs[at], minlength=docs)
+            yield pa.RecordBatch.from_arrays([pa.array(head["ids"], id_type), pa.array(train == 0), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(docs, n)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -413,7 +437,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(words, -(-(n + total) // SHARD_TOKENS))
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("n_docs", "int"), ("sizes", "binary"), ("train", "binary"), ("words", "binary"), ("tokens", "binary"), ("ids", f"array<{carried}>"))]
     both = chunks.withColumn("counts", F.lit(None).cast("binary")).unionByName(counted.select("chunk", "part", "counts", *empty))
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_deal_pairs(shards, n, v, arrow_id), f"shard long, chunk long, n_docs int, contexts binary, words binary, codes binary, at binary, docs binary, times binary, sums binary, ids array<{carried}>")
-    scored = dealt.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(lambda b: _score_shards(b, arrow_id), f"chunk long, kind int, sums binary, ids array<{carried}>")
-    out = scored.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_documents(n, arrow_id), f"id {carried}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_deal_pairs(shards, n, v), "shard long, chunk long, contexts binary, words binary, at binary, learnt binary, sums binary")
+    scored = dealt.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(_score_shards, "chunk long, kind int, shard long, sums binary")
+    whole = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("sums"), "sizes", "train", "words", "tokens", "ids")
+    parts = whole.unionByName(scored, allowMissingColumns=True)
+    out = parts.repartition("chunk").sortWithinPartitions("chunk", "kind", "shard").mapInArrow(_documents(shards, n, v, arrow_id), f"id {carried}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").cast(id_type).alias(id_col), *out.columns[1:])

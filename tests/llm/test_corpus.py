@@ -259,6 +259,22 @@ def test_lm_scores(spark):
     assert lm_score.score_documents(empty(spark)).count() == 0
 
 
+def test_lm_pairs_go_to_shards_once_a_chunk():
+    """500 documents with the same three pairs send three entries, not one for each document."""
+    texts_ = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(["alpha beta"] * 500), pa.array([i % 5 == 0 for i in range(500)])], names=["id", "text", "held"])
+    chunk = next(lm_score._chunks(iter([texts_]))).to_pylist()[0]
+    rows = [chunk | {"counts": None}, dict.fromkeys(chunk) | {"chunk": chunk["chunk"], "part": 0, "counts": lm_score._pack(np.full(3, 400, "<u8"))}]
+    sent = [r for b in lm_score._deal_pairs(7, 1200, 3)(iter(pa.Table.from_pylist(rows).to_batches())) for r in b.to_pylist() if r["shard"] >= 0]
+    assert sum(len(lm_score._unpack(r["at"], "<u4")) for r in sent) == 3
+    assert np.concatenate([lm_score._unpack(r["learnt"], "<u4") for r in sent]).tolist() == [400] * 3
+
+
+def test_lm_successors_apart_in_the_upper_half_of_their_hash():
+    low, high = np.uint64(5), np.uint64(5 + (1 << 40))
+    trie = lm_score.Trie(lm_score.Trie.build(np.array([9], np.uint64), np.zeros(2, np.int64), np.array([low, high]), np.array([-1.0, -2.0])))
+    assert trie.shares(np.array([9, 9], np.uint64), np.array([low, high])) == pytest.approx([-1, -2], abs=1e-3)
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for n, universe in ((0, 10), (1, 5), (1000, 10**6), (500, 500), (700, 1 << 63)):
