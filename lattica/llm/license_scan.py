@@ -1,9 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule is (priority, label, keyword, regex).  The rules are written as families;
-each family's template is filled with its versions.  Detections are resolved by
-priority: one that lies inside an accepted detection of the same or a higher
-priority is suppressed.
+A rule is (priority, label, keyword, regex).  One pass finds all keywords; a rule
+runs only around its own.  Detections are resolved by priority: one that lies
+inside an accepted detection of the same or a higher priority is suppressed.
 
 Defined cases: a null text counts as empty (no words, no labels, score 0);
 repeated rows give equal results; an empty table gives an empty result; texts
@@ -15,11 +14,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .license_rules import REACH, rules
 from .textkit import LOWER, as_strings, byte_chunks, text_rows, word_spans
 
 #: Everything but digits, lower-case letters and non-ASCII bytes separates words (after lower-casing).
@@ -30,94 +30,104 @@ _IN, _GAP = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]+"
 
 # Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-_PHRASES = [(label, re.compile(rb"(?<!" + _IN + rb")" + _GAP.join(w.encode() for w in phrase.split()) + rb"(?!" + _IN + rb")")) for phrase, label in PHRASES]
-
-_V = r"(?:,? (?:version|v\.?) ?|[ -]v?)"
-_LATER = {"only": r"(?: only|-only)", "or-later": r"(?: or (?:\(at your option\) )?(?:any )?later(?: version)?|-or-later|\+)"}
-
-
-def _families() -> list[tuple[int, str, str, str]]:
-    rules: list[tuple[int, str, str, str]] = []
-    add = lambda priority, label, keyword, pattern: rules.append((priority, label, keyword, pattern))
-    gnu = {"gpl": r"(?:gnu )?general public licen[sc]e", "lgpl": r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "agpl": r"(?:gnu )?affero general public licen[sc]e", "gfdl": r"(?:gnu )?free documentation licen[sc]e"}
-    versions = {"gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3"}
-    for name, long in gnu.items():
-        key = {"gpl": "general public", "lgpl": "general public", "agpl": "affero", "gfdl": "documentation"}[name]
-        rank = 40 if name == "gpl" else 50
-        add(rank, name, key, long)
-        add(rank, name, name, rf"\b{name}\b")
-        for version in versions[name].split():
-            number = re.escape(version).replace(r"\.0", r"(?:\.0)?")
-            for form, word in ((long, key), (rf"\b{name}", name)):
-                add(rank + 20, f"{name}-{version}", word, rf"{form}{_V}{number}\b")
-                for suffix, tail in _LATER.items():
-                    add(rank + 30, f"{name}-{version}-{suffix}", word, rf"{form}{_V}{number}{tail}")
-    parts = {"by": "attribution", "by-sa": "attribution[- ]share ?alike", "by-nc": "attribution[- ]non ?commercial", "by-nd": "attribution[- ]no ?deriv(?:ative)?s?", "by-nc-sa": "attribution[- ]non ?commercial[- ]share ?alike", "by-nc-nd": "attribution[- ]non ?commercial[- ]no ?deriv(?:ative)?s?"}
-    for part, words in parts.items():
-        rank = 40 + 10 * part.count("-")
-        short = part.replace("-", "[- ]")
-        add(rank, f"cc-{part}", "cc", rf"\bcc[- ]{short}\b")
-        add(rank, f"cc-{part}", "creative commons", rf"creative commons {words}")
-        add(rank, f"cc-{part}", "creativecommons", rf"creativecommons\.org/licenses/{part}/")
-        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
-            number = re.escape(version)
-            add(rank + 5, f"cc-{part}-{version}", "cc", rf"\bcc[- ]{short}[- ]{number}\b")
-            add(rank + 5, f"cc-{part}-{version}", "creative commons", rf"creative commons {words} {number}\b")
-            add(rank + 5, f"cc-{part}-{version}", "creativecommons", rf"creativecommons\.org/licenses/{part}/{number}")
-    add(40, "cc0", "cc0", r"\bcc0(?:[- ]1\.0)?\b")
-    add(40, "cc0", "creativecommons", r"creativecommons\.org/publicdomain/zero")
-    add(10, "cc", "creative commons", r"creative commons licen[sc]e")
-    numbered = {
-        "apache": (r"apache (?:software )?licen[sc]e", "1.0 1.1 2.0"), "mpl": (r"mozilla public licen[sc]e", "1.0 1.1 2.0"), "epl": (r"eclipse public licen[sc]e", "1.0 2.0"), "cddl": (r"common development and distribution licen[sc]e", "1.0 1.1"),
-        "eupl": (r"european union public licen[sc]e", "1.0 1.1 1.2"), "osl": (r"open software licen[sc]e", "1.0 2.0 2.1 3.0"), "afl": (r"academic free licen[sc]e", "1.1 1.2 2.0 2.1 3.0"), "artistic": (r"artistic licen[sc]e", "1.0 2.0"), "cpl": (r"common public licen[sc]e", "1.0"),
-        "lppl": (r"latex project public licen[sc]e", "1.0 1.1 1.2 1.3"), "ofl": (r"(?:sil )?open font licen[sc]e", "1.0 1.1"), "bsl": (r"boost software licen[sc]e", "1.0"), "zpl": (r"zope public licen[sc]e", "1.1 2.0 2.1"), "ms-pl": (r"microsoft public licen[sc]e", ""), "ms-rl": (r"microsoft reciprocal licen[sc]e", ""),
-        "odbl": (r"open (?:data ?commons open )?database licen[sc]e", "1.0"), "odc-by": (r"open data commons attribution licen[sc]e", "1.0"), "pddl": (r"public domain dedication and licen[sc]e", "1.0"), "npl": (r"netscape public licen[sc]e", "1.0 1.1"), "ecl": (r"educational community licen[sc]e", "1.0 2.0"), "cecill": (r"cecill(?: free software)? licen[sc]e", "1.0 2.0 2.1"),
-        "busl": (r"business source licen[sc]e", "1.1"), "sspl": (r"server side public licen[sc]e", "1.0"), "elastic": (r"elastic licen[sc]e", "1.0 2.0"), "python": (r"python software foundation licen[sc]e", "2.0"), "php": (r"php licen[sc]e", "3.0 3.01"), "openldap": (r"openldap public licen[sc]e", "2.7 2.8"), "w3c": (r"w3c software (?:notice and )?licen[sc]e", ""), "unicode": (r"unicode licen[sc]e", ""),
-    }
-    for name, (long, each) in numbered.items():
-        add(40, name, "licen", long)
-        for version in each.split():
-            number = re.escape(version).replace(r"\.0", r"(?:\.0)?")
-            add(60, f"{name}-{version}", "licen", rf"{long}{_V}{number}\b")
-            add(60, f"{name}-{version}", name, rf"\b{name}-{number}\b")
-    plain = {
-        "mit": ("mit", r"\bmit licen[sc]e\b"), "isc": ("isc", r"\bisc licen[sc]e\b"), "bsd": ("bsd", r"\bbsd(?:[- ]style)? licen[sc]e\b"), "bsd-2-clause": ("bsd", r"(?:2|two)[- ]clause bsd|bsd[- ](?:2|two)[- ]clause|simplified bsd"), "bsd-3-clause": ("bsd", r"(?:3|three)[- ]clause bsd|bsd[- ](?:3|three)[- ]clause|(?:new|modified|revised) bsd"), "bsd-4-clause": ("bsd", r"(?:4|four)[- ]clause bsd|bsd[- ](?:4|four)[- ]clause|original bsd"),
-        "zlib": ("zlib", r"\bzlib licen[sc]e\b"), "unlicense": ("unlicense", r"\bunlicense\b"), "wtfpl": ("wtfpl", r"\bwtfpl\b"), "public-domain": ("public domain", r"(?:in|into|to) the public domain|public domain dedication"), "proprietary": ("confidential", r"proprietary and confidential|confidential and proprietary"), "no-redistribution": ("redistribut", r"(?:may not|must not|do not) (?:be )?redistribute"),
-        "mit-text": ("permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy"), "isc-text": ("permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose"), "bsd-text": ("redistribution and use", r"redistribution and use in source and binary forms"), "apache-notice": ("apache.org", r"apache\.org/licenses/license-2\.0"),
-        "gpl-notice": ("free software", r"this program is free software[:;,] you can redistribute it"), "licensed": ("licen", r"(?:licen[sc]ed|released|distributed|available) under (?:the )?[a-z0-9]"), "spdx": ("spdx", r"spdx-license-identifier: ?[a-z0-9.+-]+"), "copyright": ("copyright", r"copyright (?:\(c\) |© )?(?:19|20)[0-9]{2}"), "copyright-sign": ("©", r"© ?(?:19|20)[0-9]{2}"),
-    }
-    for name, (keyword, pattern) in plain.items():
-        add({"spdx": 90, "licensed": 5, "copyright": 5, "copyright-sign": 5}.get(name, 40), name, keyword, pattern)
-    return sorted(rules, key=lambda r: (-r[0], r[1], r[3]))
-
-
-def _any_space(pattern: str) -> str:
-    """A blank of a rule stands for any run of white space."""
-    for written, meant in (("[- ]", r"(?:-|\s+)"), ("[ -]", r"(?:-|\s+)"), (" ?", r"\s*"), (" ", r"\s+")):
-        pattern = pattern.replace(written, meant)
-    return pattern
-
-
-RULES = [(priority, label, keyword, re.compile(_any_space(pattern))) for priority, label, keyword, pattern in _families()]
-KEYWORDS = sorted({keyword for _, _, keyword, _ in RULES})
-#: Single-line RE2 gate: a text without a keyword and without a base phrase's first word is not looked at further.
-_GATE = "(?i)" + "|".join([*(re.escape(k).replace(r"\ ", r"\s+") if len(k) > 4 or not k.isascii() else rf"\b{re.escape(k)}" for k in KEYWORDS if k not in ("cc", "licen")), "licen", r"cc[^0-9a-z]+by|cc[- ]by", r"general[^0-9a-z]+public", r"all[^0-9a-z]+rights[^0-9a-z]+reserved"])
+_PHRASES = [(label, phrase.split()[-1].encode(), re.compile(rb"(?<!" + _IN + rb")" + _GAP.join(w.encode() for w in phrase.split()) + rb"(?!" + _IN + rb")")) for phrase, label in PHRASES]
 
+def _begins_with(pattern: str, keyword: str) -> bool:
+    """Whether every match of the pattern starts with the keyword."""
+    bare = pattern
+    while (inner := re.sub(r"\([^()]*\)", "", bare)) != bare:
+        bare = inner
+    return pattern.removeprefix(r"\b").replace("\\", "").startswith(keyword) and "|" not in bare
 
+
+RULES = [(priority, label, keyword, re.compile(pattern)) for priority, label, keyword, pattern in rules()]
 _SPACES = re.compile(r"\s+")
 
 
+def _automaton() -> ahocorasick.Automaton:
+    """The prefilter: finds every keyword in one pass, with the numbers of its rules."""
+    out, by_keyword = ahocorasick.Automaton(), {}
+    for i, (_, _, keyword, _) in enumerate(RULES):
+        by_keyword.setdefault(keyword, []).append(i)
+    for keyword, numbers in by_keyword.items():
+        out.add_word(keyword, (keyword, numbers))
+    out.make_automaton()
+    return out
+
+
+_KEYWORDS = _automaton()
+
+
+def _flat(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text with each run of white space as one blank; where runs end there, and the characters lost up to each."""
+    runs = [(m.start(), m.end()) for m in _SPACES.finditer(text) if m.end() - m.start() > 1]
+    lost = np.cumsum([0, *(b - a - 1 for a, b in runs)])
+    ends = np.array([b for _, b in runs], np.int64) - lost[1:]
+    return _SPACES.sub(" ", text), ends, lost
+
+
+def _outermost(start: np.ndarray, end: np.ndarray, rank: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Numbers of the detections that lie inside no other one of equal or higher rank, by a sweep for each rank.
+
+    Of equal detections of one rank the first label stays.  A suppressed detection's container, or the container
+    of that, is kept, so each is held against the kept ones only: the furthest end among those that start no later.
+    """
+    kept = np.zeros(0, np.int64)
+    for r in np.unique(rank)[::-1]:
+        own = np.flatnonzero(rank == r)
+        own = own[np.lexsort((label[own], -end[own], start[own]))]
+        reach = np.maximum.accumulate(end[own])
+        free = np.append(True, reach[:-1] < end[own][1:])
+        if len(kept):
+            by_start = kept[np.argsort(start[kept], kind="stable")]
+            furthest = np.maximum.accumulate(end[by_start])
+            at = np.searchsorted(start[by_start], start[own], "right") - 1
+            free &= (at < 0) | (furthest[np.maximum(at, 0)] < end[own])
+        kept = np.concatenate([kept, own[free]])
+    return kept[np.lexsort((label[kept], rank[kept], end[kept], start[kept]))]
+
+
 def detections(lowered: str) -> list[tuple[int, int, int, str]]:
-    """Kept detections as (start, end, priority, label) of a lower-cased text; code points, end exclusive."""
-    flat = _SPACES.sub(" ", lowered)
-    present = {k for k in KEYWORDS if k in flat}
-    found = [(m.start(), m.end(), priority, label) for priority, label, keyword, rule in RULES if keyword in present for m in rule.finditer(lowered)]
-    found.sort(key=lambda d: (-d[2], d[0] - d[1], d[0], d[3]))
-    kept: list[tuple[int, int, int, str]] = []
-    for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-            kept.append(d)
-    return sorted(kept)
+    """Kept detections as (start, end, priority, label) of a lower-cased text; code points, end exclusive.
+
+    Rules run only at or within REACH of their keyword; containment is resolved in n log n.
+    """
+    flat, run_ends, lost = _flat(lowered)
+    at: dict[str, list[int]] = {}
+    numbers: dict[str, list[int]] = {}
+    for last, (keyword, own) in _KEYWORDS.iter(flat):
+        at.setdefault(keyword, []).append(last + 1 - len(keyword))
+        numbers[keyword] = own
+    found = []
+    for keyword, places in at.items():
+        near: list[list[int]] = []
+        for number in numbers[keyword]:
+            rule = RULES[number][3]
+            if number in _ANCHORED:
+                stop = 0
+                for place in places:
+                    if place >= stop and (m := rule.match(flat, place)):
+                        stop = m.end()
+                        found.append((place, stop, number))
+                continue
+            if not near:
+                for place in places:
+                    if near and place - REACH <= near[-1][1]:
+                        near[-1][1] = place + REACH
+                    else:
+                        near.append([max(place - REACH, 0), place + REACH])
+            found += [(*m.span(), number) for lo, hi in near for m in rule.finditer(flat, lo, hi)]
+    if not found:
+        return []
+    start, end, number = np.array(found, np.int64).T
+    start, end = start + lost[np.searchsorted(run_ends, start, "right")], end + lost[np.searchsorted(run_ends, end - 1, "right")]
+    kept = _outermost(start, end, _PRIORITIES[number], _LABEL_ORDER[number])
+    return [(int(start[i]), int(end[i]), RULES[number[i]][0], RULES[number[i]][1]) for i in kept]
+
+
+_ANCHORED = {i for i, (_, _, keyword, rule) in enumerate(RULES) if _begins_with(rule.pattern, keyword)}
+_PRIORITIES = np.array([priority for priority, *_ in RULES])
+_LABEL_ORDER = np.unique([label for _, label, *_ in RULES], return_inverse=True)[1]
 
 
 def _certainty(priority: int) -> float:
@@ -134,22 +144,23 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n = len(texts)
             words, base_n, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
             first, last, base_labels, labels, where = [None] * n, [None] * n, [""] * n, [""] * n, [""] * n
-            gate = pc.match_substring_regex(texts, _GATE).to_numpy(zero_copy_only=False)
             for a, b, buf, offsets in byte_chunks(texts):
                 low = LOWER[buf]
                 starts, _, firsts = word_spans(low, offsets, SEPARATOR)
                 words[a:b] = np.diff(firsts)
-                for i in np.flatnonzero(gate[a:b]).tolist():
+                for i in range(b - a):
                     x, y = int(offsets[i]), int(offsets[i + 1])
                     raw = low[x:y].tobytes()
                     own = starts[firsts[i] : firsts[i + 1]] - x
                     places, names = [], set()
-                    for label, phrase in _PHRASES:
-                        at = [m.start() for m in phrase.finditer(raw)]
+                    for label, last_word, phrase in _PHRASES:
+                        at = [m.start() for m in phrase.finditer(raw)] if last_word in raw else []
                         if at:
                             places += np.searchsorted(own, at).tolist()
                             names.add(label)
                     kept = detections(raw.decode("utf-8"))
+                    if not kept and not names:
+                        continue
                     row = a + i
                     base_n[row] = len(places)
                     if places:

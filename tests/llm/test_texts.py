@@ -177,6 +177,52 @@ def test_license_rules_suppress_what_they_contain():
     text = "x  the  MIT   license"
     (d,) = detections(low(text))
     assert text[d[0] : d[1]] == "MIT   license"
+    assert all(re._parser.parse(rule.pattern).getwidth()[1] < license_scan.REACH for _, _, _, rule in license_scan.RULES)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software", "mit"),
+        ("zero-clause BSD", "0bsd"),
+        ("mit licence", "mit"),
+        ("under the Unicode License", "unicode"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0-or-later"),
+        ("under the same terms as Perl 5 itself", "perl"),
+        ("Licence Ouverte / Open Licence", "etalab-2.0"),
+        ("GNU Lesser General Public License v2.1 only", "lgpl-2.1-only"),
+        ("End-User Licence Agreement", "eula"),
+        ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa-4.0"),
+    ],
+)
+def test_license_texts(text, label):
+    assert label in {d[3] for d in detections(low(text))}
+
+
+def test_containment_equals_comparing_all():
+    import random
+
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(200):
+        found = [(a, a + r.randint(1, 20), r.randint(1, 4), r.choice("abc")) for a in (r.randint(0, 50) for _ in range(r.randint(1, 40)))]
+        kept = []
+        for d in sorted(found, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        start, end, rank, label = (np.array(x) for x in zip(*found))
+        assert [found[i] for i in license_scan._outermost(start, end, rank, np.unique(label, return_inverse=True)[1])] == sorted(kept)
+
+
+def test_a_long_text_of_license_lines():
+    import time
+
+    lines = ["gnu general public license, version 3 or any later version", "cc by-sa 4.0", "the apache license, version 2.0", "all rights reserved. copyright (c) 2019 x", "mit  licence"]
+    text = "\n".join(lines[i % 5] for i in range(130_000))
+    began = time.time()
+    assert len(text) > 4 << 20 and len(detections(text)) == 130_000
+    assert time.time() - began < 60  # comparing all detections takes hours
 
 
 def test_decontamination(spark):
