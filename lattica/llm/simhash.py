@@ -8,6 +8,10 @@ errors over three segments, either two segments have at most one each, or one
 has none and the other two have two each; the keys cover both cases, so no link
 is lost.  Equal keys meet in a shuffle and every candidate is verified.
 
+``near_duplicates`` links fingerprints of four-word shingles; ``keep_first`` finds
+candidates by three fingerprints of single words, which small edits leave close
+together, and verifies the Jaccard similarity of their five-word shingles.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero, which is linked like any other; rows that share a doc_id are separate
 fingerprints of one document; a null doc_id is never a smallest id; an empty
@@ -23,11 +27,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, forest
-from .textkit import LOWER, byte_chunks, checkpointed, text_rows, word_spans
+from .minhash import shingle_sets, verified_pairs
+from .textkit import LOWER, byte_chunks, checkpointed, mix, span_hashes, text_rows, word_spans
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -266,8 +271,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(ids, "fp").select(id_col, "fp", "component_id")
 
 
+# --- one document of each group -------------------------------------------------------------------
+
+#: Fingerprints of a text's words, each with hashes of its own: a link missed by one is mostly caught by another.
+WORD_FINGERPRINTS = 3
+SIMILARITY = 0.8
+#: Texts of a set of linked fingerprints that all others of it are verified against.
+PIVOTS = 8
+
+
+def word_fingerprints(texts: pa.Array) -> np.ndarray:
+    """(texts, WORD_FINGERPRINTS) fingerprints over single words, which a substitution changes least; zero without words."""
+    out = np.zeros((len(texts), WORD_FINGERPRINTS), np.uint64)
+    for a, _, buf, offsets in byte_chunks(texts):
+        low = LOWER[buf]
+        starts, ends, firsts = word_spans(low, offsets)
+        words, n = span_hashes(low, starts, ends), np.diff(firsts)
+        some = np.flatnonzero(n)
+        for k in range(WORD_FINGERPRINTS if len(some) else 0):
+            bits = np.unpackbits(mix(words ^ np.uint64(k + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, firsts[:-1][some], axis=0, dtype=np.int32)
+            out[a + some, k] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def _text_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = word_fingerprints(batch.column(3)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(fps.ravel(), WORD_FINGERPRINTS).cast(pa.list_(pa.int64()))], names=["id", "x", "y", "fps"])
+
+
+def _digest(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that tell texts apart; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """Pairs of ``node`` to verify, at most a few for each node: along the links of its fingerprints, and with PIVOTS
+    nodes of everything that these links reach (two copies of a text may differ more than each does from a third)."""
+    has = checkpointed(classes.select("node", F.explode(F.array_distinct("fps")).alias("fp")))
+    links = checkpointed(link_fingerprints(has.select("fp")))
+    reach = connected_components(links).withColumnRenamed("node", "fp")
+    placed = has.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    pivots = F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(PIVOTS)))
+    hubs = placed.groupBy("component").agg(F.array_distinct(pivots).alias("hubs"), F.count("*").alias("m")).where("m > 1")
+    firsts = has.groupBy("fp").agg(F.min("node").alias("first"))
+    pairs = placed.join(hubs, "component").select("node", F.explode("hubs").alias("other"))
+    pairs = pairs.unionByName(has.join(firsts, "fp").select("node", F.col("first").alias("other")))
+    along = links.join(firsts.withColumnRenamed("fp", "a").withColumnRenamed("first", "node"), "a").join(firsts.withColumnRenamed("fp", "b").withColumnRenamed("first", "other"), "b")
+    pairs = pairs.unionByName(along.select("node", "other")).where("node <> other")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(x, y, id, n, group) of every different text: its digest, its smallest id, rows with that id, and the number of its group.
+
+    Texts fall into a group if links of verified Jaccard similarity (five words, SIMILARITY) connect them.
+    """
+    x, y = _digest(docs[text_col])
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = text_rows(docs, docs[id_col].alias("id"), x.alias("x"), y.alias("y"), docs[text_col].alias("text"))
+    keyed = checkpointed(rows.mapInArrow(_text_fingerprints, f"id {id_type}, x long, y long, fps array<long>"))
+    per_id = keyed.groupBy("x", "y", "id").agg(F.count("*").alias("n"), F.any_value("fps").alias("fps"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    classes = per_id.groupBy("x", "y").agg(least.alias("least"), F.any_value("fps").alias("fps"))
+    classes = checkpointed(classes.select("x", "y", "least.id", "least.n", "fps", F.monotonically_increasing_id().alias("node")))
+    pairs = checkpointed(_candidates(classes))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = classes.join(wanted, "node").select("x", "y", "id", "node")
+    texts = rows.alias("r").join(chosen.alias("c"), F.expr("r.x = c.x and r.y = c.y and r.id <=> c.id")).select("node", "text").dropDuplicates(["node"])
+    links = verified_pairs(pairs, shingle_sets(texts), SIMILARITY)
+    groups = connected_components(links).withColumnRenamed("component", "group")
+    return classes.join(groups, "node", "left").select("x", "y", "id", "n", F.coalesce("group", "node").alias("group"))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest id.  Rows without an id stay."""
-    groups = near_duplicates(docs, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """``docs`` with one row of each group of near-duplicates: of those with its smallest id, one.
+
+    Rows are judged by their texts, whatever ids they share: different texts with one id both stay, rows with one
+    text (null and empty are one) leave one.  A null id is larger than all others; equal ids are told apart by
+    their texts' hashes.
+    """
+    texts = similar_texts(docs, id_col, text_col)
+    order = F.struct(F.col("id").isNull(), "id", "x", "y")
+    best = texts.groupBy("group").agg(F.min_by(F.struct("x", "y"), order).alias("best"), F.count("*").alias("texts"))
+    rows = texts.join(best, "group").withColumn("stays", F.expr("best.x = x and best.y = y"))
+    (x, y), names = _digest(docs[text_col]), docs.columns
+    fate = checkpointed(rows.select(*(F.col(c).alias(f"__{c}") for c in ("x", "y", "id", "n", "stays"))))
+    own = (x == F.col("__x")) & (y == F.col("__y"))
+    same_id = docs[id_col].eqNullSafe(F.col("__id"))
+    # Rows of a text with one row of its smallest id need no further look; the others meet by their text.
+    plain = docs.join(fate.where("__stays and __n = 1"), own & same_id).select(*(docs[c] for c in names))
+    tied = docs.join(fate.where("__stays and __n > 1"), own & same_id).dropDuplicates(["__x", "__y"]).select(*(docs[c] for c in names))
+    return plain.unionByName(tied)

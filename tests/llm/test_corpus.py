@@ -98,14 +98,59 @@ def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
                 assert root(a) == root(b)
 
 
+def shingle_set(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_groups(rows, similarity=0.8):
+    """The smallest index that links of Jaccard similarity reach, for each text."""
+    sets, reach = [shingle_set(t) for t in rows], list(range(len(rows)))
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= similarity * len(x | y)]
+    for _ in rows:
+        for i, j in links:
+            reach[i] = reach[j] = min(reach[i], reach[j])
+    return reach
+
+
+def edited_copies(n, seed, most=4, size=150):
+    """A text and copies of it with up to ``most`` other words each."""
+    import random
+
+    r, out = random.Random(seed), []
+    base = [f"w{r.randint(0, 999)}" for _ in range(size)]
+    for _ in range(n):
+        one = base[:]
+        for _ in range(r.randint(0, most) if out else 0):
+            one[r.randrange(size)] = f"new{r.randint(0, 999)}"
+        out.append(" ".join(one))
+    return out
+
+
 def test_one_of_each_group_stays(spark):
-    df = documents(spark)
+    """Repeated ids with one text or several, null ids, repeated rows, null and empty texts."""
+    copies = edited_copies(25, 5, 2)
+    rows = [(i + 10, t) for i, t in enumerate(copies)] + [(5, copies[0]), (5, prose(80, 61)), (9, prose(80, 62)), (9, prose(80, 62)), (None, prose(80, 63)), (None, prose(80, 63)), (None, prose(80, 64)), (None, copies[3]), (7, None), (8, ""), (None, ""), (3, "word"), (3, "word")]
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id int, text string, x int, node int").repartition(3)
     kept = simhash.keep_first(df)
-    groups = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
-    ids = [r.doc_id for r in kept.collect()]
-    gone = {x for x, c in groups if x is not None and x != c}
-    assert sorted(filter(None, ids)) == sorted(d for d, _ in collected(df) if d and d not in gone)
-    assert 11 * 7 in gone and 0 in ids and None in ids and kept.columns == df.columns
+    reach = brute_groups([t for _, t in rows])
+    want = collections.Counter()
+    for c in set(reach):
+        group = [(d is None, d or 0, t or "") for (d, t), r in zip(rows, reach) if r == c]
+        want[min(group)[:2]] += 1
+    got = collections.Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == want and kept.columns == df.columns
+    assert {r.text for r in kept.where("doc_id = 5").collect()} >= {prose(80, 61)} and kept.where("doc_id = 9").count() == 1
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_near_copies_are_found_by_word_fingerprints(spark):
+    """Of 400 texts with up to four of 150 words changed, all links of 0.8 are kept, and no other texts are joined."""
+    texts_ = [t for k in range(40) for t in edited_copies(10, k)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.keep_first(df).collect()}
+    want = set(brute_groups(texts_))
+    assert len(got - want) <= 0.02 * len(texts_) and want <= got
 
 
 # --- suffix arrays
