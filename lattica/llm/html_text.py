@@ -5,8 +5,15 @@ would not see and writes all visible text: blocks on lines of their own,
 paragraphs set apart by an empty line, list items with bullets or numbers and
 indentation, preformatted text as it is, tables with aligned cells.
 
+Visibility follows the attributes and inline styles of the page (style sheets are
+not read): ``hidden`` and ``display: none`` remove an element with all it holds;
+``visibility`` is inherited, so that a visible element inside a hidden one shows.
+A cell that spans rows or columns keeps its place free in all of them; East Asian
+wide characters count two columns.
+
 Defined cases: a null page counts as empty (empty text); markup errors never
-raise (unknown end tags are ignored, open elements end with their parent);
+raise (unknown end tags are ignored, open elements end with their parent, an
+unclosed comment or tag reaches to the end of the page);
 nesting of any depth is walked without recursion; repeated rows give equal
 results; an empty table gives an empty result; other columns are not looked at.
 """
@@ -14,6 +21,7 @@ results; an empty table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,7 +44,9 @@ IMPLIED = {
     "body": ({"head"}, set()), "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 SCOPE = frozenset("table td th caption html button object li div blockquote section article".split())
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
+_OPEN_COMMENT = re.compile(r"<!--(?!>|->)")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -104,13 +114,20 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     if node.tag in UNSEEN or "hidden" in node.attrs:
         return False
     if node.tag == "input":
         return (node.attrs.get("type") or "text").lower() in ("submit", "button", "reset")
     style = node.attrs.get("style")
-    return not (style and _HIDDEN.search(style))
+    return not (style and _NONE.search(style))
+
+
+def visibility(node: Node, inherited: bool) -> bool:
+    """Whether the text of an element shows, if not its own descendants say otherwise; the last declaration counts."""
+    style = node.attrs.get("style")
+    said = _VISIBILITY.findall(style) if style else None
+    return said[-1].lower() == "visible" if said else inherited
 
 
 class Writer:
@@ -176,58 +193,95 @@ def _number(value: str | None, default: int) -> int:
         return default
 
 
+def _columns(line: str) -> int:
+    """Columns that a line takes on a fixed-width display."""
+    return len(line) if line.isascii() else sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in line)
+
+
 class _Table:
+    """Cells by row and column; places that a spanning cell covers stay free."""
+
     def __init__(self):
-        self.rows: list[list[str]] = []
-        self.span = 1
+        self.rows: list[dict[int, str]] = []
+        self.covered: dict[int, int] = {}  # rows after this one that a column is still covered in
+        self.span = (1, 1)
+
+    def row(self) -> None:
+        self.covered = {c: n - 1 for c, n in self.covered.items() if n > 1} if self.rows else {}
+        self.rows.append({})
+        self.column = 0
+
+    def cell(self, text: str) -> None:
+        if not self.rows:
+            self.row()
+        while self.covered.get(self.column, 0) > 0:
+            self.column += 1
+        self.rows[-1][self.column] = text
+        wide, deep = self.span
+        for c in range(self.column, self.column + wide):
+            if deep > 1:
+                self.covered[c] = deep
+        self.column += wide
 
     def lines(self) -> list[str]:
         """Rows with cells padded to their columns' widths; lines of one cell stay in its column."""
-        rows = [r for r in self.rows if any(r)]
-        width = [max((len(line) for r in rows if i < len(r) for line in r[i].split("\n")), default=0) for i in range(max(map(len, rows), default=0))]
+        rows = [{c: t.split("\n") for c, t in r.items()} for r in self.rows if any(r.values())]
+        used = sorted({c for r in rows for c in r})
+        width = {c: max((_columns(line) for r in rows for line in r.get(c, ())), default=0) for c in used}
         out = []
         for r in rows:
-            cells = [c.split("\n") for c in r]
-            for k in range(max(map(len, cells))):
-                out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(cells, width)).rstrip(" "))
+            for k in range(max(map(len, r.values()))):
+                parts = [(r[c][k] if c in r and k < len(r[c]) else "") for c in used]
+                out.append("  ".join(p + " " * (width[c] - _columns(p)) for p, c in zip(parts, used)).rstrip(" "))
         return out
 
 
+def _closed(html: str) -> str:
+    """The page without a comment or tag that never ends."""
+    at = html.rfind("<!--")
+    if at >= 0 and html.find("-->", at + 2) < 0 and html.find("--!>", at + 2) < 0 and _OPEN_COMMENT.match(html, at):
+        html = html[:at]
+    at = html.rfind("<")
+    return html[:at] if at >= 0 and html.find(">", at) < 0 and html[at + 1 : at + 2].isalpha() else html
+
+
 def render(html: str) -> str:
     """All visible text of a page."""
     builder = TreeBuilder()
-    builder.feed(html)
+    builder.feed(_closed(html))
     builder.close()
     writers, tables, lists = [Writer()], [], []
     pre = 0
-    stack: list[tuple[Node | str, bool]] = [(builder.root, False)]
+    stack: list[tuple[Node | str, bool, bool]] = [(builder.root, False, True)]
     while stack:
-        node, leaving = stack.pop()
+        node, leaving, shown = stack.pop()
         w = writers[-1]
         if isinstance(node, str):
-            w.verbatim(node) if pre else w.text(node)
+            if shown:
+                w.verbatim(node) if pre else w.text(node)
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            if not displayed(node):
                 continue
+            shown = visibility(node, shown)
             if tag == "br":
                 w.brk()
                 continue
             if tag == "input":
-                w.text(node.attrs.get("value") or "")
+                if shown:
+                    w.text(node.attrs.get("value") or "")
                 continue
             if tag == "wbr":
                 continue
             if tag in ("td", "th") and tables:
                 writers.append(Writer())
-                tables[-1].span = min(max(_number(node.attrs.get("colspan"), 1), 1), 1000)
                 lists.append(None)
             elif tag == "table":
                 w.block(1 if lists and lists[-1] is not None else 2)
                 tables.append(_Table())
             elif tag == "tr" and tables:
-                tables[-1].rows.append([])
+                tables[-1].row()
             elif tag in ("ul", "ol", "menu", "dir"):
                 w.block(1 if any(x is not None for x in lists) else 2)
                 lists.append([tag == "ol", _number(node.attrs.get("start"), 1)])
@@ -237,7 +291,7 @@ def render(html: str) -> str:
                 own[1] = _number(node.attrs.get("value"), own[1])
                 bullet = f"{own[1]}. " if own[0] else "- "
                 own[1] += 1
-                w.bullet = bullet
+                w.bullet = bullet if shown else ""
                 w.indent.append(" " * len(bullet))
             elif tag == "blockquote":
                 w.block(2)
@@ -254,15 +308,17 @@ def render(html: str) -> str:
                 w.block(2)
             elif tag in LINES:
                 w.block(1)
-            stack.append((node, True))
-            stack += [(c, False) for c in reversed(node.children)]
+            stack.append((node, True, shown))
+            stack += [(c, False, shown) for c in reversed(node.children)]
             continue
         if tag in ("td", "th") and tables and len(writers) > 1:
             cell = writers.pop().value()
             lists.pop()
-            if not tables[-1].rows:
-                tables[-1].rows.append([])
-            tables[-1].rows[-1] += [cell] + [""] * (tables[-1].span - 1)
+            # limits of the HTML standard; a row span of 0 reaches to the end of the table
+            wide = min(max(_number(node.attrs.get("colspan"), 1), 1), 1000)
+            deep = min(max(_number(node.attrs.get("rowspan"), 1), 0), 65534)
+            tables[-1].span = (wide, deep or 65534)
+            tables[-1].cell(cell)
         elif tag == "table":
             lines = tables.pop().lines()
             for line in lines:

@@ -1,12 +1,17 @@
-"""Quality classifier: a factorisation machine over hashed words and structure statistics.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+
+The metadata are what the table says of a text besides the text: its length in
+characters (``n_chars``), which is counted where the table does not say it.
 
 score = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)),
 so pairwise interactions cost time linear in a document's distinct words.
 
 Defined cases: a null text counts as empty; an empty text gets a score from its
 statistics like any other; rows without a label are not learnt from; without any
-label every score is 0.5; repeated rows give equal scores; an empty table gives
-an empty result; other columns are never inputs.
+label every score is 0.5, and ``keep_good`` keeps all documents; repeated rows
+give equal scores; a null or missing length is counted; an empty table gives an
+empty result; other columns (labels, language, source and id among them) are
+never inputs.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textkit import LOWER, byte_chunks, crc_mod, segment_sums, span_hashes, text_rows, word_spans
 
@@ -24,9 +30,9 @@ from .textkit import LOWER, byte_chunks, crc_mod, segment_sums, span_hashes, tex
 SAMPLE_ROWS = 6000
 BUCKET_BITS = 15
 RANK = 8
-#: Distinct words of one document in the learning sample at most (the score uses them all).
+#: Scores from here on count as good.
 THRESHOLD = 0.7
-_STATS = 16
+_STATS = 18
 
 
 def _classes() -> np.ndarray:
@@ -42,8 +48,9 @@ def _classes() -> np.ndarray:
 _CLASS_COLUMNS = _classes()
 
 
-def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def features(texts: pa.Array, chars: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per chunk of documents: (first row, statistics, bucket of each entry, its share of the words, entries' firsts)."""
+    said = chars.to_numpy(zero_copy_only=False)
     for a, b, buf, offsets in byte_chunks(texts):
         n = b - a
         starts, ends, firsts = word_spans(buf, offsets)
@@ -75,6 +82,9 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
             stats[some, 13] = segment_sums((count > 1).astype(np.int8), entries)[some] / distinct[some]
             stats[some, 14] = np.sqrt(segment_sums((count * count).astype(np.int64), entries)[some]) * per_word[some]
         stats[:, 15] = np.minimum(words, 50) / 50
+        length = np.maximum(said[a:b], 0)
+        stats[:, 16] = np.log1p(length) / 10
+        stats[:, 17] = np.minimum(size / np.maximum(length, 1), 8)
         # words of a text: shares that sum to one in squares, so that long texts weigh as short ones do
         share = count / np.sqrt(np.maximum(segment_sums((count * count).astype(np.int64), entries), 1))[entry_doc]
         yield a, stats, (hs[top] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), share.astype(np.float32), entries
@@ -89,6 +99,7 @@ class FactorisationMachine:
         self.w0, self.w = np.float32(0), np.zeros(n, np.float32)
         self.v = rng.normal(0, 0.03, (n, RANK)).astype(np.float32)
         self.mean, self.scale = np.zeros(_STATS, np.float32), np.ones(_STATS, np.float32)
+        self.learnt = 0
 
     def _margin(self, stats, bucket, share, entries):
         z = np.clip((stats - self.mean) * self.scale, -6, 6)
@@ -107,6 +118,7 @@ class FactorisationMachine:
         """Adam on the log loss, rows in a fixed random order."""
         if not len(labels):
             return self
+        self.learnt = len(labels)
         stats = np.stack([r[0] for r in rows]).astype(np.float32)
         self.mean, self.scale = stats.mean(0), (1 / (stats.std(0) + 1e-3)).astype(np.float32)
         share_of_ones = np.clip(labels.mean(), 0.01, 0.99)
@@ -142,48 +154,61 @@ class FactorisationMachine:
         return self
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _length(docs: DataFrame, text_col: str, chars_col: str) -> Column:
+    """The length that the table states, or else that of the text."""
+    counted = F.coalesce(F.char_length(docs[text_col]), F.lit(0)).cast("long")
+    return F.coalesce(docs[chars_col].cast("long"), counted) if chars_col in docs.columns else counted
+
+
+def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, chars_col: str = "n_chars") -> DataFrame:
     """(label, stats, bucket, share) of at most ``sample_rows`` labelled rows whose crc32(id) mod 4 is not 2."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod(id_col, 4) != 2))
     chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, stats, bucket, share, entries in features(batch.column(1)):
+            for a, stats, bucket, share, entries in features(batch.column(1), batch.column(2)):
                 ends = entries.astype(np.int32)
                 n = len(stats)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.ListArray.from_arrays(np.arange(0, n * _STATS + 1, _STATS, dtype=np.int32), stats.ravel()), pa.ListArray.from_arrays(ends, bucket), pa.ListArray.from_arrays(ends, share)], names=["label", "stats", "bucket", "share"])
 
-    texts = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(run, "label int, stats array<float>, bucket array<int>, share array<float>")
+    texts = text_rows(docs, docs[id_col].alias("id"), docs[text_col].alias("text"), _length(docs, text_col, chars_col).alias("chars"))
+    return texts.join(F.broadcast(chosen), "id").select("label", "text", "chars").mapInArrow(run, "label int, stats array<float>, bucket array<int>, share array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> FactorisationMachine:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, chars_col: str = "n_chars") -> FactorisationMachine:
     """A machine learnt on the driver from the features of the bounded sample."""
-    got = learning_rows(docs, labels, label_col, id_col, text_col, sample_rows).toArrow()
+    got = learning_rows(docs, labels, label_col, id_col, text_col, sample_rows, chars_col).toArrow()
     rows = [(np.asarray(s.values.to_numpy()), np.asarray(b.values.to_numpy()), np.asarray(x.values.to_numpy())) for s, b, x in zip(got["stats"], got["bucket"], got["share"])]
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes()))  # whatever order the tasks end in
     labels_ = got["label"].to_numpy().astype(np.float32)
     return FactorisationMachine().fit([rows[i] for i in order], labels_[order])
 
 
-def with_scores(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a column of scores from 0 to 1 for their whole texts."""
+def with_scores(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", score_col: str = "score", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with a column of scores from 0 to 1 for their whole texts; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    fields = [f for f in docs.schema.fields if f.name != score_col]
+    at, n = docs.columns.index(text_col), len(docs.columns)
+    kept = [i for i, f in enumerate(docs.schema.fields) if f.name != score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, stats, bucket, share, entries in features(batch.column(at)):
+            for a, stats, bucket, share, entries in features(batch.column(at), batch.column(n)):
                 out[a : a + len(stats)] = shared.value.score(stats, bucket, share, entries)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out)], names=[*(f.name for f in fields), score_col])
 
-    schema = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields) + f",`{score_col}`:double>"
-    return text_rows(docs).mapInArrow(run, schema[7:-1].replace("`:", "` "))
+    rows = text_rows(docs, F.col("*"), _length(docs, text_col, chars_col).alias("_chars"))
+    return rows.mapInArrow(run, StructType([*fields, StructField(score_col, DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that the classifier scores below the threshold."""
+    """``docs`` without the documents that the classifier scores below the threshold; all of them if there was nothing to learn from."""
     model = fit(docs, labels)
-    return with_scores(docs, model, score_col="_quality_score").where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    if not model.learnt:
+        return docs
+    name = "_quality_score"
+    while name in docs.columns:
+        name += "_"
+    return with_scores(docs, model, score_col=name).where(F.col(name) >= threshold).drop(name)

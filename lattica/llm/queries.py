@@ -40,7 +40,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.with_scores(docs.select("doc_id", "text"), model)
+    scored = quality.with_scores(docs.select("doc_id", "text", "n_chars"), model)
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 

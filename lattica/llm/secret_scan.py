@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
 import lzma
 import re
@@ -22,6 +21,7 @@ import zlib
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -53,8 +53,12 @@ _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _SEPARATOR = re.compile(r"[/_+-]")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 _PLAIN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9a-f]+|[0-9]+")
-#: Upper bound of one unpacked layer, against decompression bombs.
-MAX_LAYER = 1 << 28
+#: Before such a line nothing that is sought goes on.
+_PLAIN_LINE = re.compile(rb"\n(?=[^\n]* [^\n]*\n)")
+#: Bytes of a binary head that may stand before a text in one base64 run.
+_HEAD = 16
+#: An unpacked layer is looked at in pieces of about this size, so that no bomb fills the memory.
+PIECE = 16 << 20
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -68,54 +72,129 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """The content of a compressed byte string, told by its magic number."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return gzip.decompress(raw) if len(raw) < 1 << 16 else zlib.decompressobj(31).decompress(raw, MAX_LAYER)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_LAYER)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_LAYER)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MAX_LAYER)
-    except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-        return None
-    return None
-
-
 def _text_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """A byte layer as text: compressed layers are unpacked (all of their text maps to the whole
-    packed span), the rest must be UTF-8 that is mostly printable."""
-    while (inner := _unpack(raw)) is not None:
-        raw, a, b = inner, int(starts.min()), int(ends.max())
-        starts, ends = np.full(len(raw), a), np.full(len(raw), b)
+    """A byte layer as text: it must be UTF-8 (or UTF-16 with a mark) that is mostly printable; a few bytes of a binary
+    head before it are passed over."""
+    skip = 0
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or (len(raw) >= 8 and not len(raw) % 2 and (not any(raw[1:8:2]) or not any(raw[0:8:2]))):
+        wide = "utf-16" if raw[:1] > b"\xf0" else "utf-16-le" if not raw[1] else "utf-16-be"
+        try:
+            text = raw.decode(wide)
+        except UnicodeDecodeError:
+            return None
+        if any(ord(c) > 0xFFFF for c in text):
+            return None
+        first = np.arange(len(raw) // 2 - len(text), len(raw) // 2) * 2
+        return (text, starts[first], ends[first + 1]) if _printable(text) else None
     try:
         text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < 0.9 * len(text):
+    except UnicodeDecodeError as x:
+        while skip < min(_HEAD, len(raw)) and x.start < len(raw):
+            skip += x.start + 1
+            try:
+                text = raw[skip:].decode("utf-8")
+                break
+            except UnicodeDecodeError as y:
+                x = y
+        else:
+            return None
+    if not _printable(text):
         return None
-    first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    first = np.flatnonzero((np.frombuffer(raw, np.uint8)[skip:] & 0xC0) != 0x80) + skip
     last = np.append(first[1:], len(raw)) - 1
     return text, starts[first], ends[last]
 
 
-def _stream(raw: bytes | memoryview) -> tuple[bytes, int] | None:
-    """The content of a compressed stream that begins and ends in ``raw``, and the bytes it takes."""
-    out, at = [], 0
+def _printable(text: str) -> bool:
+    return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text)
+
+
+class _Packed:
+    """A compressed byte string, told by its magic number: its content in pieces, all members of it one after another.
+
+    ``used`` are the bytes taken so far and ``whole`` tells whether the last member has ended.  Whatever a cut-off
+    or damaged member still gives is its content.
+    """
+
+    def __init__(self, raw: bytes | memoryview):
+        self.raw, self.used, self.whole = memoryview(raw), 0, False
+
+    @staticmethod
+    def _member(head: bytes):
+        if head[:3] == b"\x1f\x8b\x08":
+            return zlib.decompressobj(31)
+        if head[:1] == b"\x78" and len(head) > 1 and (head[0] * 256 + head[1]) % 31 == 0:
+            return zlib.decompressobj()
+        if head[:3] == b"BZh":
+            return bz2.BZ2Decompressor()
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ) if head[:6] == b"\xfd7zXZ\x00" else None
+
+    def pieces(self, size: int = PIECE) -> Iterator[bytes]:
+        kind = None
+        while self.used < len(self.raw):
+            head = bytes(self.raw[self.used : self.used + 6])
+            member = self._member(head)
+            if member is None or (kind is not None and head[:2] != kind):  # what follows is something else
+                return
+            kind, self.whole = head[:2], False
+            data = self.raw[self.used :]
+            zip_like = hasattr(member, "unconsumed_tail")
+            try:
+                while not member.eof:
+                    out = member.decompress(data, size)
+                    data = member.unconsumed_tail if zip_like else b""
+                    if out:
+                        yield out
+                    if not member.eof and not out and not (zip_like and data):
+                        self.used = len(self.raw)  # cut off
+                        return
+            except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+                return
+            self.used, self.whole = len(self.raw) - len(member.unused_data), True
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Bytes that come in pieces as texts, cut where no secret and no encoded run can go on: before a line that holds a blank."""
+    rest = b""
+    for piece in pieces:
+        rest += piece
+        if len(rest) < PIECE:
+            continue
+        cut = max((m.start() + 1 for m in _PLAIN_LINE.finditer(rest, max(len(rest) - (1 << 20), 0))), default=0)
+        if cut:
+            yield from _decoded_text(rest[:cut])
+            rest = rest[cut:]
+    if rest:
+        yield from _decoded_text(rest)
+
+
+def _decoded_text(raw: bytes) -> Iterator[str]:
     try:
-        while True:
-            head = bytes(raw[at : at + 1])
-            unpack = zlib.decompressobj(31) if head == b"\x1f" else zlib.decompressobj() if head == b"\x78" else bz2.BZ2Decompressor() if head == b"B" else lzma.LZMADecompressor()
-            out.append(unpack.decompress(raw[at:], MAX_LAYER))
-            if not unpack.eof:
-                return (b"".join(out), len(raw)) if len(out[-1]) >= MAX_LAYER else None
-            at = len(raw) - len(unpack.unused_data)
-            if bytes(raw[at : at + 3]) != b"\x1f\x8b\x08" or head != b"\x1f":
-                return b"".join(out), at
-    except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-        return (b"".join(out), at) if out else None
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError as x:
+        if x.reason != "unexpected end of data" or x.start < len(raw) - 3:
+            return
+        text = raw[: x.start].decode("utf-8")  # cut off within a character
+    if _printable(text):
+        yield text
+
+
+def _content(raw: bytes | memoryview, start: int, end_of) -> tuple[list, int] | None:
+    """Layers of a compressed byte string, all of whose content maps to the whole packed span, and the bytes it takes.
+
+    Nested streams are unpacked in turn.  ``end_of(n)`` is the outer end of the first n bytes.
+    """
+    packed = _Packed(raw)
+    first = next(pieces := packed.pieces(), None)
+    if first is None:
+        return None
+    if _MAGIC.match(first):
+        inner = _content(first + b"".join(pieces), start, lambda n: 0)
+        layers = [t for t, _, _ in inner[0]] if inner else []
+    else:
+        layers = list(_texts(chain([first], pieces)))
+    end = end_of(packed.used)
+    return [(t, np.broadcast_to(np.int64(start), len(t)), np.broadcast_to(np.int64(end), len(t))) for t in layers], packed.used
 
 
 def _streams(raw: bytes, starts: np.ndarray, ends: np.ndarray, plus: bool = False):
@@ -123,16 +202,14 @@ def _streams(raw: bytes, starts: np.ndarray, ends: np.ndarray, plus: bool = Fals
     at = 0
     while m := _MAGIC.search(raw, at):
         a = m.start()
-        got = _stream(memoryview(raw)[a:])
-        if got is None and plus and b"+" in raw[a:]:
-            got = _stream(raw[a:].replace(b"+", b" "))
-        if got is None:
+        got = _content(memoryview(raw)[a:], int(starts[a]), lambda n, a=a: int(ends[a + n - 1]))
+        if not (got and got[0]) and plus and b"+" in raw[a:]:
+            got = _content(raw[a:].replace(b"+", b" "), int(starts[a]), lambda n, a=a: int(ends[a + n - 1]))
+        if not (got and got[0]):
             at = a + 1
             continue
-        inner, used = got
-        at = a + used
-        if (layer := _text_of(inner, np.full(len(inner), starts[a]), np.full(len(inner), ends[at - 1]))) is not None:
-            yield layer
+        yield from got[0]
+        at = a + got[1]
 
 
 def _as_bytes(text: str, tokens: list[tuple[int, int, int]]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -219,10 +296,15 @@ def _bytes_of(run: str) -> bytes | None:
         return None
 
 
-def _decoded(raw: bytes, places: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """The layer of bytes whose base64 symbols stand at ``places``."""
+def _decoded(raw: bytes, places: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
+    """The layers of bytes whose base64 symbols stand at ``places``: their text, or the content of what is compressed."""
     i = np.arange(len(raw))
-    return _text_of(raw, starts[places[i * 8 // 6]], ends[places[((i + 1) * 8 + 5) // 6 - 1]])
+    s, e = starts[places[i * 8 // 6]], ends[places[((i + 1) * 8 + 5) // 6 - 1]]
+    if _MAGIC.match(raw):
+        got = _content(raw, int(s[0]), lambda n: int(e[n - 1]))
+        return got[0] if got else []
+    layer = _text_of(raw, s, e)
+    return [layer] if layer else []
 
 
 def _likely(raw: bytes | None) -> bool:
@@ -246,14 +328,8 @@ def _realigned(run: str, at: int, starts: np.ndarray, ends: np.ndarray):
         while stop - first >= 16:
             part, limit = run[first:stop], stop
             if (raw := _bytes_of(part)) is not None and not _PLAIN_WORD.fullmatch(part):
-                places = np.arange(at + first, at + stop)
-                if _MAGIC.match(raw) and (got := _stream(raw)):
-                    raw_, used = got
-                    layer = _text_of(raw_, np.full(len(raw_), starts[places[0]]), np.full(len(raw_), ends[places[(used * 8 + 5) // 6 - 1]]))
-                else:
-                    layer = _decoded(raw, places, starts, ends)
-                if layer is not None:
-                    yield layer
+                if layers := _decoded(raw, np.arange(at + first, at + stop), starts, ends):
+                    yield from layers
                     done = stop
                     break
                 try:
@@ -289,9 +365,9 @@ def _base64s(text: str, starts: np.ndarray, ends: np.ndarray):
     for block in _blocks(text):
         for lines in (block, block[:-1]):  # the last line may be a word below the block
             raw = _bytes_of("".join(text[a:b] for a, b in lines)) if len(lines) > 1 else None
-            layer = raw and _decoded(raw, np.concatenate([np.arange(a, b) for a, b in lines]), starts, ends)
-            if layer:
-                yield layer
+            layers = raw and _decoded(raw, np.concatenate([np.arange(a, b) for a, b in lines]), starts, ends)
+            if layers:
+                yield from layers
                 joined_up.append((lines[0][0], lines[-1][1]))
                 break
     k = 0
@@ -304,8 +380,8 @@ def _base64s(text: str, starts: np.ndarray, ends: np.ndarray):
         if _PLAIN_WORD.fullmatch(run):
             continue
         raw, a = _bytes_of(run), m.start()
-        if raw is not None and (layer := _decoded(raw, np.arange(a, a + len(run)), starts, ends)) is not None:
-            yield layer
+        if raw is not None and (layers := _decoded(raw, np.arange(a, a + len(run)), starts, ends)):
+            yield from layers
         else:
             yield from _realigned(run, a, starts, ends)
 

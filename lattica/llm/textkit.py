@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed, shared_dir  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
 
 #: ASCII white space of the word rules ``[^\x20\x09-\x0D]+``.
@@ -116,25 +118,6 @@ def text_rows(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set to a scratch one where unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(where)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -227,17 +227,40 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == 602
     again = {r.doc_id: r.score for r in quality.with_scores(docs.repartition(7), quality.fit(docs.repartition(5), labels)).collect()}
     assert all(abs(again[k] - got[k]) < 1e-4 for k in got)  # float32 sums
-    assert quality.fit(docs, labels.limit(0)).score(np.zeros((1, 16), np.float32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.array([0, 0]))[0] == 0.5
+    assert quality.fit(docs, labels.limit(0)).score(np.zeros((1, 18), np.float32), np.zeros(0, np.int32), np.zeros(0, np.float32), np.array([0, 0]))[0] == 0.5
     assert quality.with_scores(docs.limit(0), model).count() == 0
+    odd = docs.limit(50).selectExpr("text", "doc_id as `a``b`", "1 as score", "cast(null as int) as n_chars", "2 as _chars2")
+    scored = quality.with_scores(odd, model)
+    assert scored.columns == ["text", "a`b", "n_chars", "_chars2", "score"] and {r["a`b"]: r.score for r in scored.collect()} == {r["a`b"]: got[r["a`b"]] for r in odd.collect()}
+    assert quality.keep_good(docs, labels.limit(0)).count() == 602 and quality.keep_good(odd, labels.limit(0)).columns == odd.columns
+
+
+def test_scores_equal_a_plain_computation():
+    """The machine over the features of a table, one document at a time and term by term."""
+    m = quality.FactorisationMachine()
+    r = np.random.default_rng(5)
+    m.w[:], m.w0 = r.normal(size=len(m.w)), np.float32(0.3)
+    column = pa.array(texts(), pa.string())
+    for a, stats, bucket, share, entries in quality.features(column, pa.array([len(t or "") for t in texts()])):
+        got = m.score(stats, bucket, share, entries)
+        for k in range(len(stats)):
+            x = {i: float(v) for i, v in enumerate(np.clip((stats[k] - m.mean) * m.scale, -6, 6))}
+            own = slice(entries[k], entries[k + 1])
+            terms = [*x.items(), *((18 + int(b), float(s)) for b, s in zip(bucket[own], share[own]))]
+            if len(terms) > 150:
+                continue
+            margin = float(m.w0) + sum(float(m.w[i]) * v for i, v in terms) + sum(float(m.v[i] @ m.v[j]) * v * u for n, (i, v) in enumerate(terms) for j, u in terms[n + 1 :])
+            assert abs(got[k] - 1 / (1 + math.exp(-max(min(margin, 40), -40)))) < 1e-4
+            assert len(words(texts()[a + k])) == 0 or abs(sum(float(s) ** 2 for s in share[own]) - 1) < 1e-3
 
 
 def test_interactions_equal_the_pairwise_sum():
     m = quality.FactorisationMachine()
     m.w[:] = np.random.default_rng(1).normal(size=len(m.w))
-    stats, bucket, share = np.random.default_rng(2).normal(size=(1, 16)).astype(np.float32), np.array([3, 9, 20], np.int32), np.array([0.5, 0.2, 0.8], np.float32)
+    stats, bucket, share = np.random.default_rng(2).normal(size=(1, 18)).astype(np.float32), np.array([3, 9, 20], np.int32), np.array([0.5, 0.2, 0.8], np.float32)
     x = np.zeros(len(m.w))
-    x[:16] = np.clip((stats - m.mean) * m.scale, -6, 6)
-    x[16 + bucket] = share
+    x[:18] = np.clip((stats - m.mean) * m.scale, -6, 6)
+    x[18 + bucket] = share
     at = np.flatnonzero(x)
     pairs = sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for k, i in enumerate(at) for j in at[k + 1 :])
     assert abs(m._margin(stats, bucket, share, np.array([0, 3]))[0][0] - (m.w0 + m.w @ x + pairs)) < 1e-4

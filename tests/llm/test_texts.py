@@ -1,8 +1,10 @@
 """Operators that look at one text at a time."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import struct
 import urllib.parse
@@ -74,6 +76,53 @@ def test_wrapped_base64(text):
     assert secret_scan.scan_text(text)[1] == [("assign", body[a * 8 // 6], body[((a + len(_HIDDEN)) * 8 + 5) // 6 - 1] + 1)]
 
 
+_ESCAPED = {
+    "u4": "".join(f"\\u{ord(c):04x}" for c in _HIDDEN), "u8": "".join(f"\\U{ord(c):08X}" for c in _HIDDEN), "braces": "".join(f"\\u{{{ord(c):x}}}" for c in _HIDDEN), "x": "".join(f"\\x{ord(c):02x}" for c in _HIDDEN),
+    "decimal": "".join(f"&#{ord(c)};" for c in _HIDDEN), "hex": "".join(f"&#X{ord(c):x};" for c in _HIDDEN), "percent": _HEX, "base64": _B64, "gzip": base64.b64encode(_GZIP).decode(),
+    "utf16": base64.b64encode(_HIDDEN.encode("utf-16-le")).decode(), "utf16mark": base64.b64encode(_HIDDEN.encode("utf-16")).decode(), "head": base64.b64encode(b"\x00\xfe\x81\x07" + _HIDDEN.encode()).decode(),
+    "wrapped gzip": "\n".join(re.findall(".{1,40}", base64.b64encode(gzip.compress((prose(30, 7) + _HIDDEN).encode())).decode())),
+}
+
+
+def test_every_form_reaches_the_table_queries(spark):
+    """No form is lost to the gate of find_secrets and redact."""
+    rows = [(name, f"see: {text}\nend of it") for name, text in _ESCAPED.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for r in secret_scan.find_secrets(df).collect():
+        text = dict(rows)[r.doc_id]
+        assert r.spans == secret_scan.joined(secret_scan.scan_text(text)[1]) and "assign" in r.spans, r.doc_id
+    assert all("[assign]" in r.text for r in secret_scan.redact(df).collect())
+
+
+@pytest.mark.parametrize("pad", [10, 300_000])
+def test_compressed_layers_of_any_size(pad):
+    """Cut-off streams, several members and content beyond one piece are searched alike."""
+    import random
+
+    noise = "\n".join(prose(12, i) for i in range(pad // 60)) + "\n"
+    r = random.Random(1)
+    rough = "\n".join(f"{r.getrandbits(64):x} {r.getrandbits(64):x}" for i in range(pad // 33)) + "\n"
+    raws = {
+        "cut gzip": gzip.compress((_HIDDEN + "\n" + rough * 2).encode())[:-12], "cut zlib": zlib.compress((_HIDDEN + "\n" + rough * 2).encode())[:-6],
+        "members": gzip.compress(noise.encode()) + gzip.compress(_HIDDEN.encode()), "bz2": bz2.compress(noise.encode()) + bz2.compress(_HIDDEN.encode()), "xz": lzma.compress((noise + _HIDDEN).encode()), "twice": gzip.compress(zlib.compress((noise + _HIDDEN).encode())),
+    }
+    for name, raw in raws.items():
+        b64 = base64.b64encode(raw).decode()
+        spans = secret_scan.scan_text(f"see {b64} end")[1]
+        assert any(k == "assign" and 4 <= a < b <= 4 + len(b64) for k, a, b in spans), name
+
+
+def test_layers_larger_than_a_piece(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 16)
+    lines = [prose(12, i) for i in range(4000)]
+    lines[2000] += " " + _HIDDEN
+    lines[3000] += " " + _B64
+    b64 = base64.b64encode(gzip.compress("\n".join(lines).encode())).decode()
+    assert len(set(secret_scan.scan_text(b64)[1])) == 1
+    got = list(secret_scan._texts(iter([x.encode() for x in re.findall("(?s).{1,50000}", "\n".join(lines))])))
+    assert "".join(got) == "\n".join(lines) and len(got) >= 3 and sum(_HIDDEN in t for t in got) == 1
+
+
 def test_secret_base(spark):
     got = secret_scan.find_secrets(documents(spark)).collect()
     assert len(got) == documents(spark).count()
@@ -293,6 +342,16 @@ def test_ids_of_ints_and_hot_passages(spark):
         ("&lt;&amp;&nbsp;é", "<& é"),
         ("</p></div>tail", "tail"),
         ("<div>a</div><div>b</div>", "a\nb"),
+        ("<div style='visibility:hidden'>a<span style='visibility:visible'>b</span>c</div>d", "b\nd"),
+        ("<p style='visibility: visible; visibility: collapse'>a<p>b", "b"),
+        ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+        ("<table><tr><td colspan=2 rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>中文<td>b<tr><td>abc<td>d</table>", "中文  b\nabc   d"),
+        ("seen <!-- never closed <p>hidden", "seen"),
+        ("seen <!-- closed --> too<a href='x", "seen too"),
+        ("1 < 2 <!-> and", "1 < 2 and"),
         ("", ""),
     ],
 )
