@@ -56,7 +56,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     plain = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(F.col(a), F.col(b)).cast("long").alias("a"), F.least(F.col(a), F.col(b)).cast("long").alias("b"))
     now = checkpointed(plain.mapInArrow(_contract, "a long, b long").distinct())
     mark = _mark(now)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if mark[0] else 1):
+        if not mark[0]:
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
