@@ -6,7 +6,9 @@ are redacted in place; what is left is encoded.  Each stage reads all rows that
 its predecessor kept, and all but the last return the columns of ``documents``.
 
 Defined cases: null texts count as empty and are judged like empty ones; rows
-without a doc_id are never dropped as duplicates; an empty table stays empty.
+that share a doc_id, or have none, are judged by their texts (a null id is the
+largest); without a usable label no document is rejected; an empty table stays
+empty; a null length is counted where the text is.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group."""
+    """One row of each group of near-duplicates, of those with its smallest id."""
     return simhash.keep_first(docs)
 
 
