@@ -199,7 +199,7 @@ def with_scores(docs: DataFrame, model: FactorisationMachine, text_col: str = "t
                 out[a : a + len(stats)] = shared.value.score(stats, bucket, share, entries)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out)], names=[*(f.name for f in fields), score_col])
 
-    rows = text_rows(docs, F.col("*"), _length(docs, text_col, chars_col).alias("_chars"))
+    rows = text_rows(docs, F.col("*"), _length(docs, text_col, chars_col)).toDF(*(f"c{i}" for i in range(n + 1)))  # names with backticks would stop mapInArrow
     return rows.mapInArrow(run, StructType([*fields, StructField(score_col, DoubleType())]))
 
 
