@@ -161,14 +161,14 @@ def cells_of(df: DataFrame, bounds: Sequence[tuple[str, str]], size: Sequence[fl
 
 
 def distance_pairs(left: DataFrame, right: DataFrame, radius: float, axes: Sequence[str], cells: Sequence[str] = ("cx", "cy", "cz")) -> DataFrame:
-    """Pairs of rows whose points lie within ``radius``: an equi-join on grid cells of that size, then the exact distance.
+    """Pairs of rows whose points lie within ``radius``: an equi-join on grid cells twice that size, then the exact distance.
 
     The left side's axis columns are ``axes``; the right's carry the suffix ``_r``.  The right side is
-    repeated for its neighbouring cells, so give the smaller one there.
+    repeated for the cells that its sphere's box touches, at most two an axis, so give the smaller one there.
     """
-    near = right
+    side, near = 2.0 * radius, right
     for c, a in zip(cells, axes):
-        near = near.withColumn(c, F.explode(F.array(*[F.floor(F.col(f"{a}_r") / radius).cast("long") + d for d in (-1, 0, 1)])))
-    own = left.withColumns({c: F.floor(F.col(a) / radius).cast("long") for c, a in zip(cells, axes)})
+        near = near.withColumn(c, F.explode(F.sequence(F.floor((F.col(f"{a}_r") - radius) / side).cast("long"), F.floor((F.col(f"{a}_r") + radius) / side).cast("long"))))
+    own = left.withColumns({c: F.floor(F.col(a) / side).cast("long") for c, a in zip(cells, axes)})
     d2 = reduce(lambda x, y: x + y, [(F.col(a) - F.col(f"{a}_r")) * (F.col(a) - F.col(f"{a}_r")) for a in axes])
     return own.join(near, list(cells)).where(d2 < radius * radius).withColumn("dist", F.sqrt(d2)).drop(*cells)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spatial import cells_of
+from ..session import checkpointed
 
 AXES = ("x", "y", "z")
 #: Fixed value: the DNS namespace of name-based ids.
@@ -27,6 +28,60 @@ def cell_limits(index: DataFrame) -> DataFrame:
     return cells.groupBy("level").agg(F.count("*").alias("n_cells"), F.max("n").alias("most"))
 
 
+def write_layer(df: DataFrame, path: str, bounds: Sequence[tuple[str, str]], sizes: Sequence[Sequence[float]], id_col: str = "id") -> None:
+    """An annotation layer: a spatial index with a folder for each cell of each level, and an index sorted by id.
+
+    Repeated rows of one id count once, the first in the order of all columns.
+    """
+    one = df.groupBy(id_col).agg(F.min(F.struct(*[c for c in df.columns if c != id_col])).alias("r")).select(id_col, "r.*").select(*df.columns)
+    cells = spatial_index(one, bounds, sizes)
+    cells.repartition("level", "cx", "cy", "cz").write.mode("overwrite").partitionBy("level", "cx", "cy", "cz").parquet(f"{path}/spatial")
+    one.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
+
+
+def read_all(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
+    """All annotations of the spatial index, each once: those of the coarsest level, which holds every one."""
+    rows = spark.read.parquet(f"{path}/spatial").where("level = 0")
+    return rows.drop("level", "cx", "cy", "cz").dropDuplicates([id_col])
+
+
+def read_box(spark: SparkSession, path: str, bounds: Sequence[tuple[str, str]], box: Sequence[tuple[float, float]], size: Sequence[float], level: int, id_col: str = "id") -> DataFrame:
+    """The annotations whose closed bounds meet a box; only the cells that the box touches are read."""
+    rows = spark.read.parquet(f"{path}/spatial").where(F.col("level") == level)
+    for cell, (a, b), (lo, hi), s in zip(("cx", "cy", "cz"), bounds, box, size):
+        rows = rows.where((F.col(cell) >= int(lo // s)) & (F.col(cell) <= int(hi // s)) & (F.col(b) >= lo) & (F.col(a) <= hi))
+    return rows.drop("level", "cx", "cy", "cz").dropDuplicates([id_col])
+
+
+def read_by_id(spark: SparkSession, path: str, ids: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """The annotations of given ids, or all, from the index by id."""
+    rows = spark.read.parquet(f"{path}/by_id")
+    return rows if ids is None else rows.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+def replace_cell(spark: SparkSession, path: str, bounds: Sequence[tuple[str, str]], level: int, cell: Sequence[int], size: Sequence[float], change: Callable[[DataFrame], DataFrame], id_col: str = "id", filter_bounds: bool = True) -> None:
+    """One cell's annotations replaced by ``change`` of them; the index by id follows.
+
+    New annotations outside the cell are left out (``filter_bounds``); a cell that ends up empty goes with its folder.
+    """
+    at = " and ".join(f"{c} = {v}" for c, v in (("level", level), *zip(("cx", "cy", "cz"), cell)))
+    rows = spark.read.parquet(f"{path}/spatial")
+    old = checkpointed(rows.where(at).drop("level", "cx", "cy", "cz"))
+    new = change(old)
+    for (a, b), c, s in zip(bounds, cell, size) if filter_bounds else ():
+        new = new.where((F.col(b) >= c * s) & (F.floor(F.col(a) / s) <= c))
+    new = checkpointed(new)
+    by_id = spark.read.parquet(f"{path}/by_id")
+    kept = checkpointed(by_id.join(old.select(id_col).unionByName(new.select(id_col)).distinct(), id_col, "left_anti").unionByName(new))
+    if new.isEmpty():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/spatial/level={level}/cx={cell[0]}/cy={cell[1]}/cz={cell[2]}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    else:
+        tagged = new.withColumns({"level": F.lit(level), **{c: F.lit(v).cast("long") for c, v in zip(("cx", "cy", "cz"), cell)}})
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level", "cx", "cy", "cz").parquet(f"{path}/spatial")
+    kept.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
+
+
 def related_index(df: DataFrame, relation: str, id_col: str) -> DataFrame:
     """(related, ids): for each related key the sorted ids of the rows that name it."""
     return df.select(F.explode(relation).alias("related"), id_col).groupBy("related").agg(F.sort_array(F.collect_set(id_col)).alias("ids"))

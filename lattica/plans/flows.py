@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..operators import sampling
+from ..session import shared_dir
 from ..sources import chunked
 from ..streaming import edits
 
@@ -29,9 +29,8 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lattica-")
-    return os.path.join(base, f"run-{uuid.uuid4().hex}")
+    """A new folder that driver and executors share, below spark.checkpoint.dir; what a query leaves there goes with that folder."""
+    return os.path.join(shared_dir(spark), f"run-{uuid.uuid4().hex}")
 
 
 def stream_of(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -166,7 +166,7 @@ _SIDES = "SELECT l_orderkey * 8 + l_linenumber AS id, l_extendedprice AS x, l_qu
 def _sides(spark, d):
     """All line items as two sets of points, by the parity of their supplier."""
     li = table(spark, d, "lineitem")
-    p = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 10).alias("y"), (F.col("l_discount") * 1000).alias("z"), (F.col("l_suppkey") % 2).alias("side"))
+    p = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 10).alias("y"), (F.col("l_discount") * 1000).alias("z"), (F.col("l_suppkey") % 2).alias("side")).distinct()
     return p.where("side = 0").drop("side"), p.where("side = 1").drop("side")
 
 
@@ -178,15 +178,15 @@ def _pairs(spark, d):
 
 @query(f"WITH p AS (SELECT DISTINCT id, x, y, z, side FROM ({_SIDES})) SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) AS dist FROM (SELECT * FROM p WHERE side = 0) a JOIN (SELECT * FROM p WHERE side = 1) b ON b.x > a.x - 12 AND b.x < a.x + 12 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 144")
 def q47_range_join(spark, d):
-    return _pairs(spark, d).select(F.col("id").alias("a"), F.col("id_r").alias("b"), F.round("dist", 6).alias("dist")).distinct()
+    return _pairs(spark, d).select(F.col("id").alias("a"), F.col("id_r").alias("b"), F.round("dist", 6).alias("dist"))
 
 
 @query()
 def q48_match_scores(spark, d):
     """Optimal one-to-one matching of the pairs of q47; tests hold it against brute force."""
     a, b = _sides(spark, d)
-    pairs = _pairs(spark, d).select(F.col("id").alias("a"), F.col("id_r").alias("b"), "dist").dropDuplicates(["a", "b"])
-    return matching.scores(a.select("id").distinct(), b.select("id").distinct(), matching.matched(pairs))
+    pairs = _pairs(spark, d).select(F.col("id").alias("a"), F.col("id_r").alias("b"), "dist")
+    return matching.scores(a, b, matching.matched(pairs))
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT doc_id FROM documents WHERE n_chars > 1000) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id")

@@ -208,25 +208,21 @@ def q18a_pyramid(spark, d):
     return _rounded(levels[1].withColumn("level", F.lit(1)).unionByName(levels[2].withColumn("level", F.lit(2))), "v")
 
 
-_CHUNKED = """WITH e AS (SELECT event_id AS pos, value FROM events WHERE event_id < 10000), c AS (SELECT i AS chunk, i * 500 AS lo, i * 500 + 500 AS hi FROM generate_series(0, 19) t(i)),
-j AS (SELECT pos, value, chunk, least(1.0, (pos + 0.5 - (lo - 25)) / 50.0) AS tl, least(1.0, (hi + 25 - (pos + 0.5)) / 50.0) AS th FROM e JOIN c ON pos >= lo - 25 AND pos < hi + 25)"""
+_CHUNKED = """WITH e AS (SELECT event_id AS pos, value FROM events), n AS (SELECT max(pos) // 500 AS final FROM e), c AS (SELECT i AS chunk, i * 500 AS lo, i * 500 + 500 AS hi, final FROM (SELECT unnest(generate_series(0, final)) AS i, final FROM n)),
+j AS (SELECT pos, value, chunk, final, least(1.0, (pos + 0.5 - (lo - 25)) / 50.0) AS tl, least(1.0, (hi + 25 - (pos + 0.5)) / 50.0) AS th FROM e JOIN c ON pos >= lo - 25 AND pos < hi + 25)"""
 _RAMPS = {"linear": "{t}", "quadratic": "CASE WHEN {t} < 0.5 THEN 2 * {t} * {t} ELSE 1 - 2 * (1 - {t}) * (1 - {t}) END", "bump": "exp(-1 / (1 - ({t} - 1) * ({t} - 1))) / (exp(-1 / (1 - ({t} - 1) * ({t} - 1))) + exp(-1 / (1 - {t} * {t})))"}
 
 
 def _blend_sql(kind):
     side = lambda t, end: f"CASE WHEN chunk = {end} OR {t} >= 1 THEN 1.0 ELSE {_RAMPS[kind].format(t=t)} END"
-    return f"{_CHUNKED} SELECT pos, round(sum(({side('tl', 0)}) * ({side('th', 19)}) * (value * (1 + chunk % 2))) + 1e-9, 6) AS value FROM j GROUP BY pos"
-
-
-#: The line's least extent, which the SQL has as its only one.
-_LEAST_STOP = 10000
+    return f"{_CHUNKED} SELECT pos, round(sum(({side('tl', 0)}) * ({side('th', 'final')}) * (value * (1 + chunk % 2))) + 1e-9, 6) AS value FROM j GROUP BY pos"
 
 
 def _blended(spark, d, kind):
-    """All events, over chunks up to the last event's (20 at least)."""
+    """All events, over chunks up to the last event's."""
     e = table(spark, d, "events").select(F.col("event_id").alias("pos"), "value")
     last = e.agg(F.max("pos")).first()[0]
-    rows = grids.overlapped(e, "pos", 500, 25, 0, max(_LEAST_STOP, -1 if last is None else last + 1))
+    rows = grids.overlapped(e, "pos", 500, 25, 0, 0 if last is None else last + 1)
     return grids.blend(rows, "pos", F.col("value") * (1 + F.col("chunk") % 2), kind, 25)
 
 

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import scalar, spatial
-from lattica.operators import components, contacts, docstore, grids, matching, ranking, records, sampling
-from lattica.sources import binary, chunked
+from lattica.functions import boxes, scalar, spatial
+from lattica.operators import components, contact_tables, contacts, docstore, grids, matching, ranking, records, sampling, shapes, taskdb
+from lattica.sources import binary, chunked, info, shards
 from lattica.streaming import edits
 
 
@@ -45,12 +45,120 @@ def test_components_of_a_path_and_a_ring(spark):
 
 
 def test_assignment_is_optimal():
+    """Sparse pairs against all ways to choose them: most pairs first, then the least total."""
     rng = np.random.default_rng(5)
-    for n, m in ((1, 1), (2, 4), (4, 4), (5, 6)):
-        for _ in range(20):
-            cost = rng.integers(0, 20, (n, m)).astype(float)
-            got = cost[np.arange(n), matching.assignment(cost)].sum()
-            assert got == min(sum(cost[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+    for n, m in ((1, 1), (2, 4), (4, 4), (5, 3), (4, 5)):
+        for _ in range(30):
+            at = np.argwhere(rng.random((n, m)) < 0.6)
+            if not len(at):
+                continue
+            cost = rng.integers(0, 20, len(at)).astype(float)
+            rows, cols = np.unique(at[:, 0], return_inverse=True)[1], np.unique(at[:, 1], return_inverse=True)[1]
+            got = matching.assignment(rows, cols, cost)
+            assert len({*rows[got].tolist()}) == len({*cols[got].tolist()}) == len(got)
+            best = (0, 0.0)
+
+            def search(k, used_r, used_c, count, total):
+                nonlocal best
+                best = max(best, (count, -total))
+                for i in range(k, len(at)):
+                    if rows[i] not in used_r and cols[i] not in used_c:
+                        search(i + 1, used_r | {rows[i]}, used_c | {cols[i]}, count + 1, total + cost[i])
+
+            search(0, frozenset(), frozenset(), 0, 0.0)
+            assert (len(got), -cost[got].sum()) == best
+
+
+def test_evaluation_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(x), float(y), 0.0, int(a), int(b)) for i, (x, y, a, b) in enumerate(zip(rng.integers(0, 60, 120), rng.integers(0, 60, 120), rng.integers(0, 3, 120), rng.integers(0, 3, 120)))]
+    schema = "id long, x double, y double, z double, pre int, post int"
+    left, right = rows[:60], rows[60:]
+    got = matching.evaluated(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 9.0, ["x", "y", "z"], [(5, 55), (5, 55), (-1, 1)], ("pre", "post")).first()
+    good = lambda part: [r for r in part if r[4] != r[5] and 5 <= r[1] < 55 and 5 <= r[2] < 55]
+    a, b = good(left), good(right)
+    pairs = [(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p[4:] == q[4:] and (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 < 81]
+    partner: dict[int, int] = {}
+
+    def grow(i, seen):
+        for x, j in pairs:
+            if x == i and j not in seen:
+                seen.add(j)
+                if j not in partner or grow(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    tp = sum(grow(i, set()) for i in range(len(a)))
+    assert (got.tp, got.fp, got.fn) == (tp, len(a) - tp, len(b) - tp) and tp > 5
+
+
+def test_info_grows_but_does_not_change(spark, tmp_path):
+    one = {"type": "image", "scales": [info.scale((4, 4, 40), (0, 0, 0), (1024, 1024, 400), (64, 64, 4))]}
+    two = {"type": "image", "scales": [info.scale((8, 8, 40), (4, 0, 0), (1025, 1024, 400), (64, 64, 4))]}
+    both = info.updated(one, two)
+    assert [s["key"] for s in both["scales"]] == ["4_4_40", "8_8_40"] and both["scales"][1]["voxel_offset"][0] == 0 and both["scales"][1]["size"][0] == 128
+    changed = {"type": "image", "scales": [{**one["scales"][0], "size": [1, 1, 1]}]}
+    for bad in (changed, {"type": "labels"}):
+        with pytest.raises(ValueError):
+            info.updated(both, bad)
+    with pytest.raises(ValueError):
+        info.updated(both, two, keep_scales=False)
+    assert info.updated(both, changed, overwrite=True)["scales"][0]["size"] == [1, 1, 1]
+    with pytest.raises(FileNotFoundError):
+        info.read_info(spark, str(tmp_path))
+    info.write_info(spark, str(tmp_path), both)
+    assert info.read_info(spark, str(tmp_path)) == both
+    configs = contact_tables.merged_configs([{"radius_nm": 5, "n_points": 1, "k": 0}, {"radius_nm": 2, "n_points": 1}], [{"radius_nm": 5, "n_points": 1, "k": 9}])
+    assert configs == [{"radius_nm": 2, "n_points": 1}, {"radius_nm": 5, "n_points": 1, "k": 9}]
+
+
+def test_box_requests(spark):
+    assert boxes.from_slices([slice(1, 3), slice(0, 2)], (4, 0.5)) == [(4, 12), (0.0, 1.0)]
+    for bad in ([slice(0, 4, 2)], [slice(None, 4)]):
+        with pytest.raises(ValueError):
+            boxes.from_slices(bad, (1,))
+    assert boxes.index_of(((4, 4, 40), slice(0, 2), slice(1, 2), slice(0, 1)))["box"] == [(0, 8), (4, 8), (0, 40)]
+    with pytest.raises(ValueError):
+        boxes.index_of((slice(0, 2),))
+    boxes.chunk_aligned([(64, 128), (0, 100)], (0, 0), (64, 64), (256, 100))
+    with pytest.raises(ValueError, match="64 to 192"):
+        boxes.chunk_aligned([(64, 130)], (0,), (64,))
+    boxes.check_levels([{"chunk_size": [64], "grid_shape": [2]}, {"chunk_size": [16], "grid_shape": [7]}])
+    for bad in ([{"chunk_size": [64], "grid_shape": [2]}, {"chunk_size": [20], "grid_shape": [7]}], [{"chunk_size": [64], "grid_shape": [2]}, {"chunk_size": [16], "grid_shape": [9]}]):
+        with pytest.raises(ValueError):
+            boxes.check_levels(bad)
+    with pytest.raises(ValueError):
+        boxes.child_cells([1], [10], [4])
+    assert boxes.strided_exact((5,), (61,), (16,)) == [(2, 16, 11, 13)]
+    with pytest.raises(Exception, match="off the grid"):
+        spark.range(1).select(boxes.slices([(1.5, 3.0)], [1])[0][0]).collect()
+
+
+def test_shards_round_trip(spark, tmp_path):
+    rows = [(int(i), bytes([i % 251]) * (i % 7)) for i in np.random.default_rng(3).permutation(500)]
+    df = spark.createDataFrame(rows, "id long, data binary").repartition(5)
+    files = shards.write_shards(df, str(tmp_path / "s"), "id", "data", 1, 3, 2)
+    assert files.agg({"n_chunks": "sum"}).first()[0] == 500
+    got = shards.read_shards(spark, str(tmp_path / "s"), 3).collect()
+    assert sorted((r.id, bytes(r.data)) for r in got) == sorted(rows)
+    assert all((r.shard, r.minishard) == (r.id >> 4 & 3, r.id >> 1 & 7) for r in got)
+
+
+def test_shapes_and_tables_of_nothing(spark):
+    empty = spark.createDataFrame([], "x long, y long, v double")
+    assert shapes.cropped(empty, {"x": 4}, {"x": 1}).count() == shapes.upsampled_linear(empty, "x", 4, 2).count() == shapes.eroded(empty, ["x", "y"], {"x": 4, "y": 4}, 1).count() == 0
+    with pytest.raises(ValueError):
+        shapes.cropped_centre(empty, {"x": 4}, {"x": 5})
+    with pytest.raises(ValueError):
+        shapes.reduced(empty, ["x"], "median")
+    with pytest.raises(Exception, match="more than one slice"):
+        shapes.squeezed(spark.createDataFrame([(1, 2.0)], "t int, v double"), "t").collect()
+    state = spark.createDataFrame([(None,), ("{}",), ("no json",), ('{"layers": [{"type": "annotation", "name": "Seed Location"}]}',)], "s string").select(taskdb.annotations_of(F.col("s")).alias("a"), taskdb.trace_verdict(F.col("s"), F.lit("Merger")).alias("why"))
+    assert {(r.a.seed, len(r.a.certain_ends), r.why) for r in state.collect()} == {(None, 0, "not one segment")}
+    have = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
+    out, rejected = taskdb.inserted(have, spark.createDataFrame([("a", 5), ("b", 6), (None, 7), ("c", 8), ("c", 9)], "k string, n int"), ["k"])
+    assert sorted(r.n for r in out.collect()) == [1, 2, 6] and {(r.n, r.reason) for r in rejected.collect()} == {(5, "exists already"), (7, "no k"), (8, "asked for twice"), (9, "asked for twice")}
 
 
 def test_matching(spark):
