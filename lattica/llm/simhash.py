@@ -9,8 +9,8 @@ has none and the other two have two each; the keys cover both cases, so no link
 is lost.  Equal keys meet in a shuffle and every candidate is verified.
 
 ``near_duplicates`` links fingerprints of four-word shingles; ``keep_first`` finds
-candidates by three fingerprints of single words, which small edits leave close
-together, and verifies the Jaccard similarity of their five-word shingles.
+candidates by four fingerprints of the different words, which small edits leave
+close together, and verifies the Jaccard similarity of their five-word shingles.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero, which is linked like any other; rows that share a doc_id are separate
@@ -274,24 +274,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- one document of each group -------------------------------------------------------------------
 
 #: Fingerprints of a text's words, each with hashes of its own: a link missed by one is mostly caught by another.
-WORD_FINGERPRINTS = 3
+#: Of 321 links of 0.8 or more among 8690 texts, one finds 0.685, two 0.869, three 0.966, four 0.994.
+WORD_FINGERPRINTS = 4
 SIMILARITY = 0.8
 #: Texts of a set of linked fingerprints that all others of it are verified against.
 PIVOTS = 8
 
 
 def word_fingerprints(texts: pa.Array) -> np.ndarray:
-    """(texts, WORD_FINGERPRINTS) fingerprints over single words, which a substitution changes least; zero without words."""
+    """(texts, WORD_FINGERPRINTS) fingerprints over the different words of each text, so that common words, which
+    unrelated texts share, count once; zero without words."""
     out = np.zeros((len(texts), WORD_FINGERPRINTS), np.uint64)
     for a, _, buf, offsets in byte_chunks(texts):
         low = LOWER[buf]
         starts, ends, firsts = word_spans(low, offsets)
-        words, n = span_hashes(low, starts, ends), np.diff(firsts)
-        some = np.flatnonzero(n)
+        words, text = span_hashes(low, starts, ends), np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        order = np.lexsort((words, text))
+        words, text = words[order], text[order]
+        new = np.append(True, (words[1:] != words[:-1]) | (text[1:] != text[:-1]))[: len(words)]
+        words, text = words[new], text[new]
+        some, top, n = np.unique(text, return_index=True, return_counts=True)
         for k in range(WORD_FINGERPRINTS if len(some) else 0):
             bits = np.unpackbits(mix(words ^ np.uint64(k + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, firsts[:-1][some], axis=0, dtype=np.int32)
-            out[a + some, k] = np.packbits(2 * ones > n[some, None], axis=1).view(">u8").ravel()
+            ones = np.add.reduceat(bits, top, axis=0, dtype=np.int32)
+            out[a + some, k] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel()
     return out
 
 
