@@ -7,7 +7,11 @@ Only pieces whose anchor occurs again can hold a repeated window, and equal
 pieces are repeated as a whole, so a shuffle by anchor leaves few texts to sort.
 
 Sorting them.  The remaining pieces are dealt by their anchor and the bytes that
-all their windows share, many groups to a shard.  A shard's suffix array is built
+all their windows share, many groups to a shard.  A group larger than a shard (the
+edges of a passage that very many texts hold in different surroundings) is split
+first: its pieces are cut into ranges of windows, which share more bytes, down to
+single windows, which are equal if their keys are; so no task holds more than a
+shard and one group.  A shard's suffix array is built
 by induced sorting: suffixes are classified as smaller or larger than their
 successor, the leftmost-smaller (LMS) substrings are sorted by one induction and
 named, the string of names is sorted, and a second induction, linear in the
@@ -16,7 +20,7 @@ which windows occur twice.
 
 Defined cases: a null text counts as empty (nothing removed, the hash of no
 bytes); equal rows are copies of each other like any two documents; rows that
-share a doc_id are told apart by a hash of their text; texts shorter than LENGTH
+share a doc_id, or have none, are told apart by a 64-bit hash of their text; texts shorter than LENGTH
 lose nothing; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -92,7 +96,7 @@ def _beyond_two(h: np.ndarray, ph: np.ndarray, known: np.ndarray) -> tuple[np.nd
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, ph, id, pos, spread): anchor's and piece's hash; pos packs the first window, windows - 1, the anchor's distance and the text's tag.
+    """(h, ph, id, tag, pos, spread): anchor's and piece's hash; pos packs the first window, windows - 1 and the anchor's distance.
 
     Of equal pieces a task sends about two to meet those of other tasks; the rest are known to be repeated
     already, and have a number in ``spread`` that deals them out evenly.
@@ -102,11 +106,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags = batch.column(2).to_numpy()
         for a, b, buf, offsets in byte_chunks(batch.column(1)):
             doc, first, last, place, h, ph = anchors(buf, offsets)
-            pos = (first - offsets[doc]) << 32 | (last - first) << 24 | (place - first) << 16 | tags[a:b][doc]
+            pos = (first - offsets[doc]) << 32 | (last - first) << 24 | (place - first) << 16
             told, known = _beyond_two(h, ph, known)
             spread = pa.array(h + np.arange(seen, seen + len(h)), mask=~told)
             seen += len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(pos), spread], names=["h", "ph", "id", "pos", "spread"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(tags[a:b][doc]), pa.array(pos), spread], names=["h", "ph", "id", "tag", "pos", "spread"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +118,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     2: as 0, but only to be compared with (its own windows are known to be repeated)."""
     carry, before = None, None
     for batch in _with_end(batches):
-        if batch is not None and batch.column(4).null_count < batch.num_rows:
-            told_already = batch.column(4).is_valid()
+        if batch is not None and batch.column(5).null_count < batch.num_rows:
+            told_already = batch.column(5).is_valid()
             known = batch.filter(told_already)
-            yield pa.RecordBatch.from_arrays([known.column(0), known.column(2), known.column(3), pa.array(np.ones(len(known), np.int8))], names=["h", "id", "pos", "kind"])
+            yield pa.RecordBatch.from_arrays([known.column(0), known.column(2), known.column(3), known.column(4), pa.array(np.ones(len(known), np.int8))], names=["h", "id", "tag", "pos", "kind"])
             batch = batch.filter(pc.invert(told_already))
             if not batch.num_rows:
                 continue
@@ -155,7 +159,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.concatenate(kind_rows)
         if len(at):
             out = rows.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(2), out.column(3), pa.array(np.concatenate(kinds))], names=["h", "id", "pos", "kind"])
+            yield pa.RecordBatch.from_arrays([out.column(0), out.column(2), out.column(3), out.column(4), pa.array(np.concatenate(kinds))], names=["h", "id", "tag", "pos", "kind"])
 
 
 def _with_end(batches):
@@ -164,12 +168,12 @@ def _with_end(batches):
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their pieces -> two parts of each piece, keyed by anchor and shared side."""
+    """Documents (id, tag, text, pieces) -> two parts of each piece, keyed by anchor and shared side."""
     for batch in batches:
-        keys, ids, tags, firsts, kinds, texts = [], [], [], [], [], []
-        raws = batch.column(1).cast(pa.binary())
+        keys, ids, firsts, fars, kinds, texts = [], [], [], [], [], []
+        raws = batch.column(2).cast(pa.binary())
         for row in range(batch.num_rows):
-            raw, pieces = raws[row].as_py() or b"", batch.column(2)[row].values
+            raw, pieces = raws[row].as_py() or b"", batch.column(3)[row].values
             hs, poss, kind = (pieces.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             sums = _prefix(np.frombuffer(raw, np.uint8))
             first, windows, far = poss >> 32, (poss >> 24 & 255) + 1, poss >> 16 & 255
@@ -182,12 +186,42 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 keys.append((_span(sums, x[some], y[some]) ^ (hs[some].view(np.uint64) * np.uint64(2 * salt + 1))).view(np.int64))
                 firsts.append(lo[some])
+                fars.append((place - lo)[some])
                 ids.append(np.full(len(some), row))
-                tags.append(poss[some] & 0xFFFF)
                 kinds.append(kind[some])
                 texts += [raw[a : a + c + LENGTH - 1] for a, c in zip(lo[some].tolist(), n[some].tolist())]
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(tags)), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(texts, pa.binary())], names=["key", "id", "tag", "first", "kind", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.concatenate(ids))), batch.column(1).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(kinds).astype(np.int8)), pa.array(texts, pa.binary()), pa.array(np.concatenate(fars).astype(np.int32))], names=["key", "id", "tag", "first", "kind", "bytes", "far"])
+
+
+def _ranges(width: int):
+    """Parts of groups -> their windows in ranges of so many places, each keyed by the bytes that all windows of the range share.
+
+    Equal windows lie at equal distances from their anchor, so ranges are counted from there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, steps, fars, texts = [], [], [], [], []
+            key, far = batch.column(0).to_numpy(), batch.column(6).to_numpy().astype(np.int64)
+            for row, raw in enumerate(batch.column(5).to_pylist()):
+                sums = _prefix(np.frombuffer(raw, np.uint8))
+                number = (far[row] - np.arange(len(raw) - LENGTH + 1)) // width
+                top = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+                last = np.append(top[1:], len(number)) - 1
+                near = number[top] * width
+                shared = _span(sums, far[row] - near, far[row] - near - width + 1 + LENGTH)
+                keys.append(mix(shared ^ mix(near.astype(np.uint64) ^ key[row : row + 1].view(np.uint64))).view(np.int64))
+                rows.append(np.full(len(top), row))
+                steps.append(top)
+                fars.append(far[row] - top)
+                texts += [raw[x : y + LENGTH] for x, y in zip(top.tolist(), last.tolist())]
+            if texts:
+                at, step = pa.array(np.concatenate(rows)), np.concatenate(steps)
+                first = batch.column(3).to_numpy()[np.concatenate(rows)] + step
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(1).take(at), batch.column(2).take(at), pa.array(first), batch.column(4).take(at), pa.array(texts, pa.binary()), pa.array(np.concatenate(fars).astype(np.int32))], names=["key", "id", "tag", "first", "kind", "bytes", "far"])
+
+    return run
 
 
 # --- suffix arrays -------------------------------------------------------------------------------
@@ -443,30 +477,60 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _split_groups(parts: DataFrame, schema: str, largest: int) -> tuple[DataFrame, DataFrame | None]:
+    """(parts in groups of at most ``largest`` bytes, spans found on the way).
+
+    In every round the parts of larger groups are cut into ranges of windows; ranges that are equal as a whole are
+    repeated, and one of them goes on to be compared with.  After the last round a range is one window, and windows
+    that differ have keys that differ.
+    """
+    small, spans = None, None
+    for width in (11, 2, 1):
+        sizes = parts.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size"))
+        large = checkpointed(sizes.where(F.col("size") > largest).select("key"))
+        if large.isEmpty():
+            break
+        rest = parts.join(large, "key", "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        cut = parts.join(large, "key").select(*parts.columns).mapInArrow(_ranges(width), schema)
+        cut = checkpointed(cut.withColumn("same", F.xxhash64("bytes")))
+        equal = cut.groupBy("key", "same").agg(F.count("*").alias("n")).where("n > 1").select("key", "same")
+        told = cut.where("kind = 0").join(equal, ["key", "same"]).select("id", "tag", F.col("first").alias("start"), (F.col("first") + F.octet_length("bytes")).alias("stop"))
+        spans = told if spans is None else spans.unionByName(told)
+        one = cut.join(equal, ["key", "same"]).groupBy("key", "same").agg(F.any_value(F.struct("id", "tag", "first", "bytes", "far")).alias("r"))
+        one = one.select("key", "r.id", "r.tag", "r.first", F.lit(2).cast("byte").alias("kind"), "r.bytes", "r.far")
+        parts = checkpointed(cut.join(equal, ["key", "same"], "left_anti").select(*parts.columns).unionByName(one))
+    else:
+        return small, spans  # what is left are single windows that occur once, and those told already
+    return (parts if small is None else small.unionByName(parts)), spans
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, start, stop): byte ranges, possibly overlapping, that repeated strings cover; tag tells rows of one id apart."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = _rows(docs, id_col, text_col)
-    pieces = rows.mapInArrow(_pieces, f"h long, ph long, id {id_type}, pos long, spread long")
-    again = checkpointed(pieces.repartition(F.coalesce("spread", "h")).sortWithinPartitions("h", "ph").mapInArrow(_repeats, f"h long, id {id_type}, pos long, kind byte"))
-    first, tag = F.shiftrightunsigned("pos", 32), F.col("pos").bitwiseAND(0xFFFF)
-    whole = again.where("kind = 1").select("id", tag.alias("tag"), first.alias("start"), (first + F.shiftright("pos", 24).bitwiseAND(255) + LENGTH).alias("stop"))
-    wanted = again.where("kind <> 1").groupBy("id", tag.alias("tag")).agg(F.collect_list(F.struct("h", "pos", "kind")).alias("pieces"))
-    texts = rows.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.tag = w.tag")).select(F.col("d.id").alias("id"), F.col("d.text").alias("text"), "pieces")
-    parts = texts.mapInArrow(_cut_texts, f"key long, id {id_type}, tag long, first long, kind byte, bytes binary")
-    found = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, f"id {id_type}, tag long, start long, stop long")
+    pieces = rows.mapInArrow(_pieces, f"h long, ph long, id {id_type}, tag long, pos long, spread long")
+    again = checkpointed(pieces.repartition(F.coalesce("spread", "h")).sortWithinPartitions("h", "ph").mapInArrow(_repeats, f"h long, id {id_type}, tag long, pos long, kind byte"))
+    first = F.shiftrightunsigned("pos", 32)
+    whole = again.where("kind = 1").select("id", "tag", first.alias("start"), (first + F.shiftright("pos", 24).bitwiseAND(255) + LENGTH).alias("stop"))
+    wanted = again.where("kind <> 1").groupBy("id", "tag").agg(F.collect_list(F.struct("h", "pos", "kind")).alias("pieces"))
+    texts = rows.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.tag = w.tag")).select(F.col("d.id").alias("id"), F.col("d.tag").alias("tag"), F.col("d.text").alias("text"), "pieces")
+    schema = f"key long, id {id_type}, tag long, first long, kind byte, bytes binary, far int"
+    parts, spans = _split_groups(checkpointed(texts.mapInArrow(_cut_texts, schema)), schema, SHARD_BYTES)
+    found = parts.drop("far").repartition("key").sortWithinPartitions("key").mapInArrow(_shards, f"id {id_type}, tag long, start long, stop long")
+    found = found if spans is None else found.unionByName(spans)
     return whole.unionByName(found)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
-    return text_rows(docs, docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).bitwiseAND(0xFFFF).alias("tag"))
+    return text_rows(docs, docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("tag"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(docs, id_col, text_col).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs, id_col, text_col).groupBy("id", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     both = _rows(docs, id_col, text_col).alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id and d.tag = s.tag"), "left")
     out = both.select(F.col("d.id").alias("id"), F.col("d.text").alias("text"), "spans").mapInArrow(_kept, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -186,6 +186,24 @@ def test_suffix_dedup_of_shared_passages(spark):
     assert got == [(i, *x) for i, x in enumerate(brute_dedup([t.encode() for t in odd], 200))]
 
 
+def test_passages_in_many_surroundings(spark, monkeypatch):
+    """Groups beyond the limit are split down to single windows: a line shorter than the length sought, and longer passages
+    with parts of them, each in 120 different surroundings; rows without an id among them."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    line, passage = prose(40, 81)[:150], prose(90, 82)
+    odd = [f"{prose(15, 1000 + i)} {line} {prose(15, 2000 + i)} {passage[i % 9 * 10 : 420 - i % 7 * 15]} {prose(15, 3000 + i)}" for i in range(120)]
+    df = spark.createDataFrame([(None if i % 3 == 0 else i, t) for i, t in enumerate(odd)], "doc_id long, text string").repartition(5)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df).collect())
+    assert got == sorted(brute_dedup([t.encode() for t in odd], 200)) and sum(x[1] for x in got) > 10_000
+
+
+def test_rows_without_ids_keep_their_own_spans(spark):
+    odd = [prose(60, i) + (" " + prose(60, 0) if i % 4 == 0 else "") for i in range(600)]
+    df = spark.createDataFrame([(None, t) for t in odd], "doc_id long, text string").repartition(5)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df).collect())
+    assert got == sorted(brute_dedup([t.encode() for t in odd], 200))
+
+
 def test_suffix_array_and_prefixes():
     import random
 
