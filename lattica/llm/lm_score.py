@@ -1,25 +1,26 @@
-"""Language-model scoring with Elias-Fano n-gram tries.
-
-Training tokens give unigram counts c and bigram counts; a token w after v has
-probability  c(v w) / (c(v) + MU)  +  MU / (c(v) + MU) * p(w),
-p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), so every context's distribution sums to
-that of the unigrams at most, and unseen words keep a share.
-
-How it runs.  Documents are packed into chunks of word numbers; the chunks'
-words are counted in shards by word; the counts return to the chunks, which then
-deal their distinct word pairs, each with its training count in the chunk, to
-shards by context (contexts that hold a large share of the tokens are split
-further by successor).  Each shard adds up the counts, builds a trie of the
-training pairs and returns its quantised share for each pair of a chunk; the
-chunks turn them into probabilities and sum these over their documents.  Only binary blobs are shuffled, nothing passes
-through the driver but N and V.  A shard holds the pairs of about SHARD_TOKENS
-tokens; one pair, however common, takes one entry in it for each chunk.
-
-A trie's levels are flat buffers: contexts, successor vocabulary, pointers into
-the successors and the successors themselves (made monotone by their context's
-number) are Elias-Fano coded, probabilities are quantised to 16 bits.  It is
-mapped from memory or from a file without decoding, and queried by successor
-search within a context's range.
+"""Language-model scoring with Elias-Fano n-gram tries of order three.
+
+Training tokens give counts of words, pairs and triples; a token w after u v has probability
+    p(w | u v) = c(u v w) / (c(u v) + MU3)  +  MU3 / (c(u v) + MU3) * p(w | v),
+    p(w | v)   = c(v w) / (c(v) + MU)       +  MU / (c(v) + MU) * p(w),
+    p(w)       = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+so every context's distribution sums to that of the words at most, and unseen words keep a share.  A document
+begins behind an end of text, and this behind a start that nothing else follows.
+
+How it runs.  Documents are packed into chunks of word numbers; the chunks' words are counted in shards by word,
+which also number them (frequent words get small numbers); counts and numbers return to the chunks, which then deal
+their distinct triples, each with its training count in the chunk, to shards by first word (first words that hold a
+large share of the tokens are split further by the second).  Each shard adds up the counts, builds a trie of them and
+returns its quantised share for each pair and triple of a chunk; the chunks turn these into probabilities and sum them
+over their documents.  Only binary blobs are shuffled, nothing passes through the driver but N and V.  Word shards and
+trie shards grow in number with the tokens, so that neither outgrows a task; one triple, however common, takes one
+entry in its shard for each chunk.  A chunk sends no more blobs than it has different words.
+
+A trie's levels are flat buffers: first words, their pointers into the second words, those words (as numbers within
+the trie's vocabulary, made monotone by their context's number), pointers into the third words and these, all
+Elias-Fano coded; probabilities are quantised to 16 bits.  It is mapped from memory or from a file without decoding,
+and each level is searched for the successor within the range of its context.  ``tries`` gives them as a table to
+store; the scores use them where they are built.
 
 Defined cases: a null text counts as empty: one token, the end; a null doc_id is
 learnt from; rows with equal doc_id are scored separately; without training
@@ -40,9 +41,14 @@ from pyspark.sql import functions as F
 from .textkit import LOWER, byte_chunks, checkpointed, crc_mod, mix, span_hashes, text_rows, word_spans
 
 MU = 30.0
-CHUNK_TOKENS = 2 << 20
-SHARD_TOKENS = 2 << 20
+MU3 = 8.0
+CHUNK_TOKENS = 3 << 19
+SHARD_TOKENS = 3 << 19
+#: Tokens for each shard of words: a chunk sends a shard only its different words in the shard's range.
+WORD_SHARD_TOKENS = 8 << 20
 END = np.uint64(0x2545F4914F6CDD1D)
+#: Numbers that no word has: what stands behind a document's end, and before the end of text that it begins behind.
+AFTER, START = 1 << 40, (1 << 40) + 1
 _STEPS = 65535
 _LOWEST = -16.0
 _CODEC = "zstd"
@@ -144,39 +150,54 @@ class EliasFano:
 
 
 class Trie:
-    """Bigram trie of one shard over a flat byte buffer (an array, or np.memmap of a file)."""
+    """The triples of one shard over a flat byte buffer (an array, or np.memmap of a file)."""
 
     def __init__(self, buf: np.ndarray):
-        self.contexts, at = EliasFano.mapped(buf, 0)
-        self.vocabulary, at = EliasFano.mapped(buf, at)
-        self.pointers, at = EliasFano.mapped(buf, at)
-        self.successors, at = EliasFano.mapped(buf, at)
-        self.codes = buf[at : at + 2 * self.successors.n].view("<u2")
+        at = 0
+        for level in ("contexts", "vocabulary", "second_of", "second", "third_of", "third"):
+            value, at = EliasFano.mapped(buf, at)
+            setattr(self, level, value)
+        self.second_codes = buf[at : at + 2 * self.second.n].view("<u2")
+        at += -(-2 * self.second.n // 8) * 8
+        self.third_codes = buf[at : at + 2 * self.third.n].view("<u2")
 
     @staticmethod
-    def build(contexts: np.ndarray, context: np.ndarray, successor: np.ndarray, log_share: np.ndarray) -> np.ndarray:
-        """The buffer for pairs sorted by (context number, successor); ``contexts`` are sorted hashes, successors hashes."""
-        words, ids = np.unique(successor, return_inverse=True)
-        width = max(len(words), 1)
-        pointers = np.searchsorted(context, np.arange(len(contexts) + 1))
-        levels = [EliasFano.encode(contexts, 1 << 64), EliasFano.encode(words, 1 << 64), EliasFano.encode(pointers, len(context) + 1), EliasFano.encode(context.astype(np.uint64) * np.uint64(width) + ids.astype(np.uint64), max(len(contexts) * width, 1))]
-        return np.concatenate([p for level in levels for p in level.parts()] + [quantised(log_share).view(np.uint8)])
-
-    def shares(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """log10 of c(v w) / (c(v) + MU) for pairs of hashes; minus infinity for unknown ones."""
-        out = np.full(len(context), -np.inf)
-        k, word = self.contexts.find(context), self.vocabulary.find(successor)
-        some = np.flatnonzero((k >= 0) & (word >= 0))
-        if len(some) and self.successors.n:
-            k, word = k[some], word[some]
-            first, last = self.pointers.access(k).astype(np.int64), self.pointers.access(k + 1).astype(np.int64)
-            want = k.astype(np.uint64) * np.uint64(self.vocabulary.n) + word.astype(np.uint64)
-            at = self.successors.successor(want)
+    def build(contexts: np.ndarray, vocabulary: np.ndarray, context: np.ndarray, second: np.ndarray, second_log: np.ndarray, pair: np.ndarray, third: np.ndarray, third_log: np.ndarray) -> np.ndarray:
+        """The buffer for ``contexts`` and ``vocabulary`` (ascending word numbers), pairs (number of the context, place in the
+        vocabulary) and triples (number of the pair, place in the vocabulary), both ascending, with their log10 shares."""
+        width = max(len(vocabulary), 1)
+        levels = [
+            EliasFano.encode(contexts, int(contexts[-1]) + 1 if len(contexts) else 1), EliasFano.encode(vocabulary, int(vocabulary[-1]) + 1 if len(vocabulary) else 1),
+            EliasFano.encode(np.searchsorted(context, np.arange(len(contexts) + 1)), len(context) + 1), EliasFano.encode(context.astype(np.uint64) * np.uint64(width) + second.astype(np.uint64), max(len(contexts) * width, 1)),
+            EliasFano.encode(np.searchsorted(pair, np.arange(len(context) + 1)), len(pair) + 1), EliasFano.encode(pair.astype(np.uint64) * np.uint64(width) + third.astype(np.uint64), max(len(context) * width, 1)),
+        ]
+        codes = quantised(second_log).view(np.uint8)
+        return np.concatenate([p for level in levels for p in level.parts()] + [codes, np.zeros(-len(codes) % 8, np.uint8), quantised(third_log).view(np.uint8)])
+
+    def _within(self, level: EliasFano, pointers: EliasFano, number: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Index in a level of each word within the range of its context's number; -1 where either is unknown."""
+        out = np.full(len(number), -1)
+        some = np.flatnonzero((number >= 0) & (word >= 0))
+        if len(some) and level.n:
+            k, w = number[some], word[some]
+            first, last = pointers.access(k).astype(np.int64), pointers.access(k + 1).astype(np.int64)
+            want = k.astype(np.uint64) * np.uint64(self.vocabulary.n) + w.astype(np.uint64)
+            at = level.successor(want)
             inside = (at >= first) & (at < last)
-            inside[inside] = self.successors.access(at[inside]) == want[inside]
-            out[some[inside]] = restored(self.codes[at[inside]])
+            inside[inside] = level.access(at[inside]) == want[inside]
+            out[some[inside]] = at[inside]
         return out
 
+    def pairs(self, context: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Index of each pair of word numbers, or -1."""
+        return self._within(self.second, self.second_of, self.contexts.find(context), self.vocabulary.find(second))
+
+    def shares(self, pair: np.ndarray, third: np.ndarray | None = None) -> np.ndarray:
+        """Quantised log10 shares of pairs by index, or of the triples that end in ``third``; the lowest for unknown ones."""
+        at = pair if third is None else self._within(self.third, self.third_of, pair, self.vocabulary.find(third))
+        codes = self.second_codes if third is None else self.third_codes
+        return np.where(at >= 0, codes[np.maximum(at, 0)] if len(codes) else _STEPS, _STEPS).astype("<u2")
+
     @classmethod
     def open(cls, path: str) -> Trie:
         return cls(np.memmap(path, np.uint8, "r"))
@@ -231,7 +252,7 @@ def _range_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-_CHUNK = "chunk long, part int, n_docs int, sizes binary, train binary, words binary, tokens binary"
+_CHUNK = "chunk long, part int, n_docs int, n_tokens long, sizes binary, train binary, words binary, tokens binary"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +266,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = np.concatenate(hashes)
         words, numbers = np.unique(stream, return_inverse=True)
         id_list = pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.concat_arrays(ids))
-        row = [pa.array([no]), pa.array([-1], pa.int32()), pa.array([len(id_list.values)], pa.int32()), *(pa.array([_pack(x)], pa.binary()) for x in (np.concatenate(sizes).astype("<u4"), np.concatenate(train).astype(np.uint8), words)), pa.array([_pack_tokens(numbers, len(words))], pa.binary()), id_list]
+        row = [pa.array([no]), pa.array([-1], pa.int32()), pa.array([len(id_list.values)], pa.int32()), pa.array([len(stream)]), *(pa.array([_pack(x)], pa.binary()) for x in (np.concatenate(sizes).astype("<u4"), np.concatenate(train).astype(np.uint8), words)), pa.array([_pack_tokens(numbers, len(words))], pa.binary()), id_list]
         no += 1
-        return pa.RecordBatch.from_arrays(row, names=["chunk", "part", "n_docs", "sizes", "train", "words", "tokens", "ids"])
+        return pa.RecordBatch.from_arrays(row, names=["chunk", "part", "n_docs", "n_tokens", "sizes", "train", "words", "tokens", "ids"])
 
     for batch in batches:
         flags = batch.column(2).to_numpy(zero_copy_only=False)
@@ -272,14 +293,14 @@ def _word_parts(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, _, _, sizes, train, words, tokens = (batch.column(i)[row].as_py() for i in range(7))
+                chunk, _, _, _, sizes, train, words, tokens = (batch.column(i)[row].as_py() for i in range(8))
                 words = _unpack(words, "<u8")
                 tokens = _unpack_tokens(tokens, len(words))
                 learnt = np.repeat(_unpack(train, "u1"), _unpack(sizes, "<u4"))
                 counts = np.bincount(tokens, weights=learnt, minlength=len(words)).astype("<u4")
                 cut = np.searchsorted(_range_of(words, shards), np.arange(shards + 1))
                 parts = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), chunk)), pa.array([_pack(words[cut[p] : cut[p + 1]]) for p in parts], pa.binary()), pa.array([_pack(counts[cut[p] : cut[p + 1]]) for p in parts], pa.binary())], names=["part", "chunk", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(np.full(len(parts), chunk)), pa.array([_pack(_steps_of(words[cut[p] : cut[p + 1]])) for p in parts], pa.binary()), pa.array([_pack(counts[cut[p] : cut[p + 1]]) for p in parts], pa.binary())], names=["part", "chunk", "words", "counts"])
 
     return run
 
@@ -299,147 +320,260 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[dict]
         yield rows
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of one range of words, from all chunks -> the total counts of each part's words, and the range's N and V."""
-    for rows in _grouped(batches, 0):
-        words = [_unpack(r["words"], "<u8") for r in rows]
-        every, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_unpack(r["counts"], "<u4") for r in rows]), minlength=len(every)).astype("<u8")
-        ends = np.cumsum([0, *map(len, words)])
-        n = len(rows)
-        first = np.arange(n) == 0
-        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([_pack(total[at[x:y]]) for x, y in zip(ends, ends[1:])], pa.binary()), pa.array(np.where(first, int(total.sum()), 0)), pa.array(np.where(first, int((total > 0).sum()), 0))], names=["chunk", "part", "counts", "n", "v"])
+def _count_words(shards: int):
+    """Parts of one range of words, from all chunks -> the total counts and numbers of each part's words, and the range's N and V."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, 0):
+            words = [np.cumsum(_unpack(r["words"], "<u8"), dtype=np.uint64) for r in rows]
+            every, at = np.unique(np.concatenate(words), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([_unpack(r["counts"], "<u4") for r in rows]), minlength=len(every)).astype("<u8")
+            number = np.empty(len(every), "<u8")
+            number[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(every), dtype="<u8") * np.uint64(shards) + np.uint64(rows[0]["part"])
+            ends = np.cumsum([0, *map(len, words)])
+            n = len(rows)
+            first = np.arange(n) == 0
+            each = [at[x:y] for x, y in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([_pack(total[x]) for x in each], pa.binary()), pa.array([_pack(number[x] // np.uint64(shards)) for x in each], pa.binary()), pa.array(np.where(first, int(total.sum()), 0)), pa.array(np.where(first, int((total > 0).sum()), 0))], names=["chunk", "part", "counts", "numbers", "n", "v"])
+
+    return run
+
+
+class _Grams:
+    """A chunk's words by ascending number (AFTER and START behind them), and its distinct pairs and triples in ascending order."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, end: int, train: np.ndarray):
+        """``numbers`` are the words' numbers, ``tokens`` places among them, ``end`` the place of the end of text."""
+        order = np.argsort(numbers)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        m = len(order)
+        self.order, self.numbers = order, np.append(numbers[order], np.array([AFTER, START], np.uint64))
+        self.tokens = tokens = place[tokens]
+        self.end = end = int(place[end])
+        firsts = np.cumsum(sizes) - sizes
+        one = np.empty_like(tokens)
+        one[1:] = tokens[:-1]
+        one[firsts] = end
+        two = np.empty_like(tokens)
+        two[1:] = one[:-1]
+        two[firsts] = m + 1
+        # a triple behind each document's end stands for its last pair; its third word is AFTER
+        last = firsts + sizes - 1
+        pair, at = np.unique(np.concatenate([two << 32 | one, one[last] << 32 | end]), return_inverse=True)
+        third = np.concatenate([tokens, np.full(len(last), m)])
+        triple, self.at = np.unique(at << 32 | third, return_inverse=True)
+        self.pair, self.of, self.third = pair, triple >> 32, triple & 0xFFFFFFFF
+        self.learnt = np.bincount(self.at, weights=np.concatenate([np.repeat(train, sizes), train]), minlength=len(triple)).astype("<u4")
+        self.at = self.at[: len(tokens)]
+
+    def counts(self, counts: np.ndarray) -> np.ndarray:
+        """The words' counts (in their order) as those of contexts; START comes once for each document, as an end does."""
+        return np.append(counts, [0, counts[self.end]])
+
+    def shard(self, counts: np.ndarray, shards: int, n: int) -> np.ndarray:
+        """The shard of each pair; first words with a large share of all tokens are split by the second."""
+        split = np.maximum(counts * (4 * shards) // max(n, 1), 1)
+        one, two = self.pair >> 32, self.pair & 0xFFFFFFFF
+        part = np.where(split[one] > 1, mix(self.numbers[two] + np.uint64(7)) % split[one].astype(np.uint64), np.uint64(0))
+        return _range_of(mix(mix(self.numbers[one] + np.uint64(3)) + part * np.uint64(0x9E3779B97F4A7C15)), shards)
+
+
+def _chunk_of(rows: list[dict], shards: int):
+    """(sizes, train, tokens, words' counts, grams) of a chunk and its words' counts and numbers; counts as the words are in grams."""
+    head = rows[0]
+    words = _unpack(head["words"], "<u8")
+    sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
+    counts = np.concatenate([_unpack(r["counts"], "<u8") for r in rows[1:]])
+    numbers = np.concatenate([_unpack(r["numbers"], "<u8") * np.uint64(shards) + np.uint64(r["part"]) for r in rows[1:]])
+    grams = _Grams(_unpack_tokens(head["tokens"], len(words)), sizes, numbers, int(np.searchsorted(words, END)), train)
+    return sizes, train, grams.counts(counts[grams.order].astype(np.int64)), grams
+
+
+def _by_shard(shard: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    return [(int(s), order[cut[s] : cut[s + 1]]) for s in np.flatnonzero(np.diff(cut))]
+
+
+def _spread(first: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """All indices first[i] .. first[i] + uses[i] - 1, one range after another."""
+    return np.repeat(first - (np.cumsum(uses) - uses), uses) + np.arange(int(uses.sum()))
+
 
+def _tops(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
 
-def _pairs(words: np.ndarray, tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs (context << 32 | word, as word numbers) of a token stream, sorted, and the pair of each token."""
-    # the context of a document's first token is the end of text
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[firsts] = int(np.searchsorted(words, END))
-    return np.unique(before << 32 | tokens, return_inverse=True)
 
+def _relative(values: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """Ascending values of each run as differences; the first of a run as it is."""
+    out = np.diff(values, prepend=values[:1])
+    out[tops] = values[tops]
+    return out
 
-def _shard_of(words: np.ndarray, pair: np.ndarray, counts: np.ndarray, shards: int, n: int) -> np.ndarray:
-    """The shard of each pair; contexts with a large share of all tokens are split by successor."""
-    split = np.maximum(counts * (4 * shards) // max(n, 1), 1)
-    context, word = pair >> 32, pair & 0xFFFFFFFF
-    part = np.where(split[context] > 1, (mix(words[word]) % split[context]).astype(np.uint64), np.uint64(0))
-    return _range_of(mix(words[context] + part * np.uint64(0x9E3779B97F4A7C15)), shards)
 
+def _absolute(steps: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps)
+    return total - np.repeat(total[tops] - steps[tops], np.diff(np.append(tops, len(steps))))
 
-def _deal_pairs(shards: int, n: int, v: int):
-    """Chunks with their words' total counts -> a row of sums for each chunk, and blobs of word pairs for the shards."""
+
+def _deal(word_shards: int, shards: int, n: int, v: int):
+    """Chunks with their words' counts and numbers -> a row of sums for each chunk, and blobs of triples for the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 0):
-            head = rows[0]
-            words = _unpack(head["words"], "<u8")
-            tokens = _unpack_tokens(head["tokens"], len(words))
-            sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
-            counts = np.concatenate([_unpack(r["counts"], "<u8") for r in rows[1:]])
+            chunk = rows[0]["chunk"]
+            sizes, train, counts, grams = _chunk_of(rows, word_shards)
             log_p = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
             firsts = np.cumsum(sizes) - sizes
-            base = np.add.reduceat(log_p[tokens], firsts)
-            known = np.add.reduceat((counts[tokens] > 0).astype(np.int64), firsts)
-            pair, at = _pairs(words, tokens, firsts)
-            learnt = np.bincount(at, weights=np.repeat(train, sizes), minlength=len(pair)).astype("<u4")
-            shard = _shard_of(words, pair, counts, shards, n)
-            context, word = pair >> 32, pair & 0xFFFFFFFF
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            out_shard, blobs = [-1 - head["chunk"]], [[b""] * 5]
-            for s in np.flatnonzero(np.diff(cut)):
-                own = order[cut[s] : cut[s + 1]]
-                ctx = context[own]
-                c_top = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
-                uses = np.diff(np.append(c_top, len(ctx)))
-                successors, place = np.unique(word[own], return_inverse=True)
-                lists = (np.column_stack([_steps_of(words[ctx[c_top]]), counts[ctx[c_top]], uses.astype(np.uint64)]).T.ravel().astype("<u8"), _steps_of(words[successors]), place.astype("<u4"), learnt[own])
-                out_shard.append(int(s))
-                blobs.append([*map(_pack, lists), b""])
-            blobs[0][4] = _pack(np.concatenate([base, known.astype(float), counts.astype(float)]))
-            m = len(out_shard)
-            yield pa.RecordBatch.from_arrays([pa.array(out_shard, pa.int64()), pa.array([head["chunk"]] * m, pa.int64()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(5))], names=["shard", "chunk", "contexts", "words", "at", "learnt", "sums"])
+            base = np.add.reduceat(log_p[grams.tokens], firsts)
+            known = np.add.reduceat((counts[grams.tokens] > 0).astype(np.int64), firsts)
+            m, numbers = len(grams.order), grams.numbers.astype(np.int64)
+            first = np.searchsorted(grams.of, np.arange(len(grams.pair) + 1))
+            uses = np.diff(first)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), *(pa.array([b""], pa.binary()) for _ in range(4)), pa.array([_pack(np.concatenate([base, known.astype(float), grams.order.astype(float), counts[:m].astype(float), numbers[:m].astype(float)]))], pa.binary())], names=_DEALT)
+            for s, own in _by_shard(grams.shard(counts, shards, n), shards):
+                one, two = grams.pair[own] >> 32, grams.pair[own] & 0xFFFFFFFF
+                tops = _tops(one)
+                below = uses[own]
+                entry = _spread(first[own], below)
+                heads = np.column_stack([np.diff(numbers[one[tops]], prepend=0), counts[one[tops]], np.diff(np.append(tops, len(one)))]).T.ravel()
+                seconds = np.concatenate([_relative(numbers[two], tops), below])
+                thirds = _relative(numbers[grams.third[entry]], np.cumsum(below) - below)
+                blobs = [_pack(x.astype("<u8")) for x in (heads, seconds, thirds)] + [_pack(grams.learnt[entry])]
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([chunk]), *(pa.array([b], pa.binary()) for b in blobs), pa.array([b""], pa.binary())], names=_DEALT)
 
     return run
 
 
+_DEALT = ["shard", "chunk", "firsts", "seconds", "thirds", "learnt", "sums"]
+
+
+class _Shard:
+    """The blobs of one shard put together: its trie, and the pairs and triples that each chunk asks for."""
+
+    def __init__(self, rows: list[dict]):
+        heads = [_unpack(r["firsts"], "<u8").reshape(3, -1).astype(np.int64) for r in rows]
+        seconds = [_unpack(r["seconds"], "<u8").reshape(2, -1).astype(np.int64) for r in rows]
+        thirds = [_unpack(r["thirds"], "<u8").astype(np.int64) for r in rows]
+        one = np.concatenate([np.repeat(np.cumsum(h[0]), h[2]) for h in heads])
+        two = np.concatenate([_absolute(x[0], np.cumsum(h[2]) - h[2]) for h, x in zip(heads, seconds)])
+        three = np.concatenate([_absolute(t, np.cumsum(x[1]) - x[1]) for x, t in zip(seconds, thirds)])
+        below = np.concatenate([x[1] for x in seconds])
+        self.pair_ends = np.cumsum([0, *(x.shape[1] for x in seconds)])
+        self.triple_ends = np.cumsum([0, *map(len, thirds)])
+        contexts, c = np.unique(one, return_inverse=True)
+        context_count = np.zeros(len(contexts), np.int64)
+        context_count[np.searchsorted(contexts, np.concatenate([np.cumsum(h[0]) for h in heads]))] = np.concatenate([h[1] for h in heads])
+        vocabulary, word = np.unique(np.concatenate([two, three]), return_inverse=True)
+        pairs, self.pair_at = np.unique(c << 32 | word[: len(two)], return_inverse=True)
+        triples, self.triple_at = np.unique(np.repeat(self.pair_at, below) << 32 | word[len(two) :], return_inverse=True)
+        count = np.bincount(self.triple_at, weights=np.concatenate([_unpack(r["learnt"], "<u4") for r in rows]), minlength=len(triples))
+        of = triples >> 32
+        pair_count = np.bincount(of, weights=count, minlength=len(pairs))
+        seen, kept = np.flatnonzero(pair_count > 0), np.flatnonzero(count > 0)
+        used = np.unique(pairs[seen] >> 32)
+        log2 = np.log10(pair_count[seen] / (context_count[pairs[seen] >> 32] + MU))
+        log3 = np.log10(count[kept] / (pair_count[of[kept]] + MU3))
+        self.trie = Trie.build(contexts[used], vocabulary, np.searchsorted(used, pairs[seen] >> 32), pairs[seen] & 0xFFFFFFFF, log2, np.searchsorted(seen, of[kept]), triples[kept] & 0xFFFFFFFF, log3)
+        self.asked_pairs = contexts[pairs >> 32], vocabulary[pairs & 0xFFFFFFFF]
+        self.asked_triples = of, vocabulary[triples & 0xFFFFFFFF]
+
+    def answers(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each chunk the codes of its pairs and of its triples, looked up in the trie."""
+        trie = Trie(self.trie)
+        at = trie.pairs(*self.asked_pairs)
+        two, three = trie.shares(at), trie.shares(at[self.asked_triples[0]], self.asked_triples[1])
+        for a, b, x, y in zip(self.pair_ends, self.pair_ends[1:], self.triple_ends, self.triple_ends[1:]):
+            yield two[self.pair_at[a:b]], three[self.triple_at[x:y]]
+
+
 def _score_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of one shard -> for each chunk the shares of its pairs (the lowest for unseen ones); the chunks' own rows pass."""
+    """All triples of one shard -> for each chunk the shares of its pairs and triples; the chunks' own rows pass."""
     for rows in _grouped(batches, 0):
-        n, shard = len(rows), rows[0]["shard"]
+        shard = rows[0]["shard"]
         if shard < 0:
-            sums = [r["sums"] for r in rows]
+            blobs = [(r["sums"], b"") for r in rows]
         else:
-            heads = [_unpack(r["contexts"], "<u8").reshape(3, -1) for r in rows]
-            contexts, number = np.unique(np.concatenate([np.cumsum(h[0], dtype=np.uint64) for h in heads]), return_inverse=True)
-            c_one = np.zeros(len(contexts))
-            c_one[number] = np.concatenate([h[1] for h in heads])
-            ctx = np.repeat(number, np.concatenate([h[2] for h in heads]).astype(np.int64)).astype(np.uint64)
-            places = [_unpack(r["at"], "<u4") for r in rows]
-            lists = [np.cumsum(_unpack(r["words"], "<u8"), dtype=np.uint64) for r in rows]
-            successors, number = np.unique(np.concatenate(lists), return_inverse=True)
-            firsts = np.cumsum([0, *map(len, lists)])
-            word = number[np.concatenate([p + f for p, f in zip(places, firsts.tolist())])].astype(np.uint64)
-            learnt = np.concatenate([_unpack(r["learnt"], "<u4") for r in rows])
-            pairs, at = np.unique(ctx << np.uint64(32) | word, return_inverse=True)
-            counts = np.bincount(at, weights=learnt, minlength=len(pairs))
-            p_ctx, p_word = (pairs >> np.uint64(32)).astype(np.int64), successors[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-            seen = np.flatnonzero(counts > 0)
-            used, mine = np.unique(p_ctx[seen], return_inverse=True)
-            buf = Trie.build(contexts[used], mine, p_word[seen], np.log10(counts[seen] / (c_one[p_ctx[seen]] + MU)))
-            share = quantised(np.maximum(Trie(buf).shares(contexts[p_ctx], p_word), _LOWEST))[at]
-            ends = np.cumsum([0, *map(len, places)])
-            sums = [_pack(share[x:y]) for x, y in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([int(shard >= 0)] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(sums, pa.binary())], names=["chunk", "kind", "shard", "sums"])
+            blobs = [(_pack(x), _pack(y)) for x, y in _Shard(rows).answers()]
+        n = len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([int(shard >= 0)] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array([x for x, _ in blobs], pa.binary()), pa.array([y for _, y in blobs], pa.binary())], names=["chunk", "kind", "shard", "sums", "triples"])
+
+
+def _shard_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _grouped(batches, 0):
+        if rows[0]["shard"] >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["shard"]]), pa.array([_Shard(rows).trie.tobytes()], pa.binary())], names=["shard", "trie"])
 
 
 def _documents(shards: int, n: int, v: int, id_type: pa.DataType):
-    """A chunk, its sums and the shares of its pairs, in the order of their shards -> its documents."""
+    """A chunk, its sums and the shares of its pairs and triples, in the order of their shards -> its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 0):
             head = rows[0]
             words = _unpack(head["words"], "<u8")
-            tokens = _unpack_tokens(head["tokens"], len(words))
             sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
-            docs = len(sizes)
+            docs, m = len(sizes), len(words)
             sums = _unpack(rows[1]["sums"], "<f8")
             base, known = sums[: 2 * docs].reshape(2, -1)
-            counts = sums[2 * docs :].astype(np.uint64)
-            pair, at = _pairs(words, tokens, np.cumsum(sizes) - sizes)
-            share = np.empty(len(pair), "<u2")
-            share[np.argsort(_shard_of(words, pair, counts, shards, n), kind="stable")] = np.concatenate([_unpack(r["sums"], "<u2") for r in rows[2:]])
-            one, p_word = counts[pair >> 32].astype(float), (counts + 0.1) / (n + 0.1 * (v + 1))
-            seen = np.where(share < _STEPS, 10.0 ** restored(share), 0)
-            logs = np.log10(seen + MU / (one + MU) * p_word[pair & 0xFFFFFFFF])
-            score = np.bincount(np.repeat(np.arange(docs), sizes), weights=logs[at], minlength=docs)
+            order, counts, in_order = sums[2 * docs :].reshape(3, -1)
+            numbers = np.empty(m, np.uint64)
+            numbers[order.astype(np.int64)] = in_order.astype(np.uint64)
+            grams = _Grams(_unpack_tokens(head["tokens"], m), sizes, numbers, int(np.searchsorted(words, END)), train)
+            counts = grams.counts(counts.astype(np.int64))
+            first = np.searchsorted(grams.of, np.arange(len(grams.pair) + 1))
+            two, three = np.empty(len(grams.pair), "<u2"), np.empty(len(grams.of), "<u2")
+            for (_, own), r in zip(_by_shard(grams.shard(counts, shards, n), shards), rows[2:]):
+                two[own] = _unpack(r["sums"], "<u2")
+                three[_spread(first[own], np.diff(first)[own])] = _unpack(r["triples"], "<u2")
+            p_word = (counts + 0.1) / (n + 0.1 * (v + 1))
+            one, word = grams.pair >> 32, grams.pair & 0xFFFFFFFF
+            share = np.where(two < _STEPS, 10.0 ** restored(two), 0)
+            p_pair = share + MU / (counts[one] + MU) * p_word[word]
+            pair_count = share * (counts[one] + MU)
+            real = np.flatnonzero(grams.third < m)
+            of, third = grams.of[real], grams.third[real]
+            backed = p_pair[np.searchsorted(grams.pair, word[of] << 32 | third)]
+            logs = np.zeros(len(grams.of))
+            logs[real] = np.log10(np.where(three[real] < _STEPS, 10.0 ** restored(three[real]), 0) + MU3 / (pair_count[of] + MU3) * backed)
+            score = np.bincount(np.repeat(np.arange(docs), sizes), weights=logs[grams.at], minlength=docs)
             yield pa.RecordBatch.from_arrays([pa.array(head["ids"], id_type), pa.array(train == 0), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(docs, n)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, int, int, str]:
+    """(chunks, dealt triples, shards, N, V, type of the ids as carried)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     carried = "string" if id_type == "string" else "bigint"
     held = F.coalesce(crc_mod(docs[id_col], 10) == 0, F.lit(False))
     rows = text_rows(docs, docs[id_col].cast(carried).alias("id"), docs[text_col].alias("text"), held.alias("held"))
-    arrow_id = pa.string() if carried == "string" else pa.int64()
     chunks = checkpointed(rows.mapInArrow(_chunks, f"{_CHUNK}, ids array<{carried}>"))
-    words = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = chunks.agg(F.coalesce(F.sum("n_tokens") + F.sum("n_docs"), F.lit(0))).first()[0]
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words, shards = max(least, -(-tokens // WORD_SHARD_TOKENS)), max(least, -(-tokens // SHARD_TOKENS))
     parts = chunks.mapInArrow(_word_parts(words), "part int, chunk long, words binary, counts binary")
-    counted = checkpointed(parts.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(_count_words, "chunk long, part int, counts binary, n long, v long"))
+    counted = checkpointed(parts.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(_count_words(words), "chunk long, part int, counts binary, numbers binary, n long, v long"))
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    total = chunks.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    shards = max(words, -(-(n + total) // SHARD_TOKENS))
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("n_docs", "int"), ("sizes", "binary"), ("train", "binary"), ("words", "binary"), ("tokens", "binary"), ("ids", f"array<{carried}>"))]
-    both = chunks.withColumn("counts", F.lit(None).cast("binary")).unionByName(counted.select("chunk", "part", "counts", *empty))
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_deal_pairs(shards, n, v), "shard long, chunk long, contexts binary, words binary, at binary, learnt binary, sums binary")
-    scored = dealt.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(_score_shards, "chunk long, kind int, shard long, sums binary")
-    whole = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("sums"), "sizes", "train", "words", "tokens", "ids")
+    both = chunks.drop("ids").unionByName(counted.drop("n", "v"), allowMissingColumns=True)
+    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_deal(words, shards, n, v), "shard long, chunk long, firsts binary, seconds binary, thirds binary, learnt binary, sums binary")
+    return chunks, dealt.repartition("shard").sortWithinPartitions("shard", "chunk"), shards, n, v, carried
+
+
+def tries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(shard, trie): the tries of the training rows as buffers, to be stored and mapped by ``Trie``."""
+    return _dealt(docs, id_col, text_col)[1].mapInArrow(_shard_tries, "shard long, trie binary")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    chunks, dealt, shards, n, v, carried = _dealt(docs, id_col, text_col)
+    scored = dealt.mapInArrow(_score_shards, "chunk long, kind int, shard long, sums binary, triples binary")
+    whole = chunks.select("chunk", F.lit(-1).alias("kind"), "sizes", "train", "words", "tokens", "ids")
     parts = whole.unionByName(scored, allowMissingColumns=True)
+    arrow_id = pa.string() if carried == "string" else pa.int64()
     out = parts.repartition("chunk").sortWithinPartitions("chunk", "kind", "shard").mapInArrow(_documents(shards, n, v, arrow_id), f"id {carried}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").cast(id_type).alias(id_col), *out.columns[1:])
