@@ -71,3 +71,46 @@ def batch_of(df: DataFrame, key: str, n: int, i: int) -> DataFrame:
     if not 0 <= i < n:
         raise IndexError(f"batch {i} of {n}")
     return df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+
+
+def expanded(df: DataFrame, key: str, path: str, value: str) -> DataFrame:
+    """(key, doc): documents from rows of dotted paths, as maps of maps; a path's first part names the outer entry.
+
+    Deeper paths keep their rest as the inner name.  Of equal paths the largest value counts.
+    """
+    one = df.groupBy(key, path).agg(F.max(value).alias(value))
+    parts = one.select(key, F.substring_index(path, ".", 1).alias("_a"), F.when(F.instr(path, ".") > 0, F.expr(f"substring({path}, instr({path}, '.') + 1)")).otherwise(F.lit("")).alias("_b"), value)
+    inner = parts.groupBy(key, "_a").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_b", value)))).alias("_m"))
+    return inner.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_a", F.to_json("_m").alias("_j"))))).alias("doc"))
+
+
+def merged(df: DataFrame, changes: DataFrame, key: str, doc: str) -> DataFrame:
+    """Documents (maps) with the entries of the changes in place of their own; documents that only the changes have are added."""
+    new = changes.select(key, F.col(doc).alias("_new"))
+    both = df.join(new, key, "full")
+    names = F.array_distinct(F.concat(F.map_keys(F.coalesce(doc, F.create_map().cast("map<string,string>"))), F.map_keys(F.coalesce("_new", F.create_map().cast("map<string,string>")))))
+    entry = F.transform(F.array_sort(names), lambda k: F.struct(k.alias("key"), F.coalesce(F.try_element_at("_new", k), F.try_element_at(doc, k)).alias("value")))
+    return both.withColumn(doc, F.map_from_entries(entry)).drop("_new")
+
+
+def layer_groups(groups: DataFrame, ids: Sequence | None = None, collections: Sequence | None = None) -> DataFrame:
+    """Layer groups of collections if any are given, else those of the ids, else all."""
+    if collections is not None:
+        return groups.where(F.col("collection").isin(list(collections)))
+    return groups if ids is None else groups.where(F.col("id").isin(list(ids)))
+
+
+def annotation_rows(df: DataFrame, name: Column) -> DataFrame:
+    """Annotations with a deterministic id by ``name`` and tags without repeats; the first of equal ids stays."""
+    from .annotations import name_id
+
+    out = df.withColumn("id", name_id(name)).withColumn("tags", F.array_distinct("tags"))
+    return out.dropDuplicates(["id"])
+
+
+def decoded_shapes(text: Column) -> Column:
+    """struct(kind, a, b, radii) of a polymorphic annotation in JSON: points and ellipsoids have one place, lines and boxes two;
+    null for an unknown kind."""
+    d = F.from_json(text, "struct<type: string, point: array<double>, pointA: array<double>, pointB: array<double>, center: array<double>, radii: array<double>>")
+    kind, none = d["type"], F.lit(None).cast("array<double>")
+    return F.when(kind.isin("point", "line", "axis_aligned_bounding_box", "ellipsoid"), F.struct(kind.alias("kind"), F.when(kind == "point", d["point"]).when(kind == "ellipsoid", d["center"]).otherwise(d["pointA"]).alias("a"), F.when(kind.isin("line", "axis_aligned_bounding_box"), d["pointB"]).otherwise(none).alias("b"), F.when(kind == "ellipsoid", d["radii"]).otherwise(none).alias("radii")))

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import boxes, scalar, spatial
-from lattica.operators import components, contact_tables, contacts, docstore, grids, matching, ranking, records, sampling, shapes, taskdb
-from lattica.sources import binary, chunked, info, shards
+from lattica.operators import augment, components, contact_tables, contacts, datasets, docstore, grids, matching, ranking, records, sampling, shapes, taskdb
+from lattica.sources import binary, chunked, files, info, shards
 from lattica.streaming import edits
 
 
@@ -281,3 +281,33 @@ def test_stream_counts_each_event_once(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text(line % ("e2", 30, 40, 2))
     edits.run_listener(stream(), str(tmp_path / "labels"), str(tmp_path / "check")).awaitTermination()
     assert {r.id: r.root for r in edits.current_labels(spark, str(tmp_path / "labels")).collect()} == {1: 40, 2: 20}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "list.json").write_text("[[1, 2, 3], [4.5, 5, 6]]")
+    (tmp_path / "named.json").write_text('{"segments": {"7": {"centroid": [1, 2, 3]}}}')
+    (tmp_path / "bad.json").write_text("[[1, 2]]")
+    at = lambda name: [tuple(r) for r in files.read_coordinates(spark, str(tmp_path / name)).collect()]
+    assert at("list.json") == [(1, 2, 3), (4.5, 5, 6)] and at("named.json") == [(1, 2, 3)]
+    with pytest.raises(Exception, match="not three numbers"):
+        at("bad.json")
+    (tmp_path / "lines.json").write_text('[{"id": "a", "pointA": [1, 2, 3], "pointB": [4, 5, 6]}]')
+    assert [(r.id, r.a, r.b) for r in files.read_lines(spark, str(tmp_path / "lines.json")).collect()] == [("a", [1, 2, 3], [4, 5, 6])]
+    (tmp_path / "layer.json").write_text('{"resolution": [4, 4, 40], "annotations": [{"point": [1, 2, 3]}, {"type": "axis_aligned_bounding_box", "pointA": [0, 0, 0], "pointB": [1, 1, 1]}]}')
+    assert [(r.kind, r.a, r.b) for r in files.read_annotations(spark, str(tmp_path / "layer.json")).collect()] == [("point", [4, 8, 120], [4, 8, 120]), ("axis_aligned_bounding_box", [0, 0, 0], [4, 4, 40])]
+    spark.range(3).write.parquet(str(tmp_path / "p1"))
+    spark.range(2).withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "p2"))
+    both = files.read_tables(spark, [str(tmp_path / "p1"), str(tmp_path / "p2")])
+    assert both.count() == 5 and both.columns == ["id", "more"]
+    assert files.lines_of(spark.createDataFrame([(1, 2, 3, 4)], "k int, x int, y int, z int"), ["x", "y"], ["y", "z"], "k").first().b == [3, 4]
+
+
+def test_random_numbers_have_their_distributions(spark):
+    got = spark.range(20_000).select(augment.uniform(3, F.col("id")).alias("u"), augment.normal(3, 1.0, 2.0, F.col("id")).alias("n")).agg(F.avg("u"), F.stddev("u"), F.avg("n"), F.stddev("n"), F.min("u"), F.max("u")).first()
+    assert abs(got[0] - 0.5) < 0.01 and abs(got[1] - 12**-0.5) < 0.01 and abs(got[2] - 1) < 0.05 and abs(got[3] - 2) < 0.05 and got[4] >= 0 and got[5] < 1
+    orders = [[r.id for r in datasets.epoch_order(spark.range(50), "id", 1, e).orderBy("order").collect()] for e in (0, 0, 1)]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[2]) == list(range(50))
+    noisy = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]])], "k int, p array<array<double>>").select(augment.noisy(F.col("p"), 0.1, 2, F.col("k")).alias("q")).first().q
+    assert all(0 < abs(x - y) < 0.6 for a, b in zip(noisy, [[1, 2], [3, 4]]) for x, y in zip(a, b))
+    rows = docstore.annotation_rows(spark.createDataFrame([("a", ["t", "t"]), ("a", ["t"]), ("b", [])], "name string, tags array<string>"), F.col("name"))
+    assert sorted((r.name, r.tags) for r in rows.collect()) == [("a", ["t"]), ("b", [])]
