@@ -40,6 +40,8 @@ MAX_BITS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Members of a key's group that are compared at once; larger groups are compared block by block.
 BLOCK = 4096
+#: Links that a task holds before it sends the forest of them on.
+HELD_LINKS = 1 << 19
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 
 
@@ -173,8 +175,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> verified links, and the blocks of groups that are too large for one comparison."""
     rest_key, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     block_no: dict[int, int] = {}
-
-    def out(left, right, blocks):
+    held: list[list[np.ndarray]] = [[], []]  # links of this task so far: groups that overlap need one forest only
+
+    def out(left, right, blocks, final):
+        held[0] += left
+        held[1] += right
+        left, right = [], []
+        if final or sum(map(len, held[0])) > HELD_LINKS:
+            left, right = held
+            held[:] = [[], []]
         a, b = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (left, right))
         a, b = forest(a, b)
         n, m = len(a), len(blocks)
@@ -217,7 +226,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks.append((k, block_no.setdefault(k, 0), tail_fp[:BLOCK]))
             block_no[k] += 1
             tail_key, tail_fp = tail_key[BLOCK:], tail_fp[BLOCK:]
-        return out(left, right, blocks), tail_key, tail_fp
+        return out(left, right, blocks, final), tail_key, tail_fp
 
     for batch in batches:
         key = np.concatenate([rest_key, batch.column(0).to_numpy()])
@@ -314,8 +323,8 @@ def _digest(text: Column) -> tuple[Column, Column]:
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of ``node`` to verify, at most a few for each node: along the links of its fingerprints, and with PIVOTS
-    nodes of everything that these links reach (two copies of a text may differ more than each does from a third)."""
+    """Pairs of ``node`` to verify, at most a few for each node: along two links of each of its fingerprints, and with
+    PIVOTS nodes of everything that the links reach (two copies of a text may differ more than each does from a third)."""
     has = checkpointed(classes.select("node", F.explode(F.array_distinct("fps")).alias("fp")))
     links = checkpointed(link_fingerprints(has.select("fp")))
     reach = connected_components(links).withColumnRenamed("node", "fp")
@@ -325,7 +334,9 @@ def _candidates(classes: DataFrame) -> DataFrame:
     firsts = has.groupBy("fp").agg(F.min("node").alias("first"))
     pairs = placed.join(hubs, "component").select("node", F.explode("hubs").alias("other"))
     pairs = pairs.unionByName(has.join(firsts, "fp").select("node", F.col("first").alias("other")))
-    along = links.join(firsts.withColumnRenamed("fp", "a").withColumnRenamed("first", "node"), "a").join(firsts.withColumnRenamed("fp", "b").withColumnRenamed("first", "other"), "b")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    some = both.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b"))
+    along = some.join(firsts.withColumnRenamed("fp", "a").withColumnRenamed("first", "node"), "a").join(firsts.withColumnRenamed("fp", "b").withColumnRenamed("first", "other"), "b")
     pairs = pairs.unionByName(along.select("node", "other")).where("node <> other")
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
