@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 
+#: Edges that a task holds at once.
+HELD_EDGES = 1 << 19
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The star forest of an edge list: (node, smallest node of its component) for every node but the smallest."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -35,9 +39,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as the star forests of up to HELD_EDGES of them."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out():
+        a, b = forest(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     for batch in batches:
-        a, b = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(a) for a, _ in held) > HELD_EDGES:
+            yield out()
+    if held:
+        yield out()
 
 
 def _mark(df: DataFrame) -> tuple:
