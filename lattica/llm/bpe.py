@@ -181,7 +181,7 @@ class BytePairCoder:
         """The ids of the text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         at = 0
-        if self.split and "<" in text:
+        if self.split and any(special in text for special in self.special):
             for m in self.split.finditer(text):
                 self._plain(text[at : m.start()], out)
                 out.append(struct.pack("<I", self.special[m[0]]))

@@ -391,7 +391,7 @@ def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     base = find(text)
     found = set(base)
     n = len(text)
-    work = deque([(text, np.arange(n), np.arange(1, n + 1))])
+    work = deque([(text, np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32))])
     seen = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest() + b"0"}
     while work:
         layer, starts, ends = work.popleft()
