@@ -59,10 +59,26 @@ def _mark(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def _starred(now: DataFrame, mark: tuple, max_rounds: int) -> DataFrame:
+    """Edges (a > b) as stars: every node with its component's smallest one."""
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = checkpointed(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, mark = mark, _mark(now)
+        if mark == before:
+            return now
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = HELD_EDGES) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest node.
 
-    Nodes are longs.  Edges are first contracted batch by batch; then each round
+    Nodes are longs.  Edges are first contracted in every task; if their count is
+    then at most ``few`` (8 MB of them), one more task finishes, else each round
     joins every node's neighbours with its smallest one, until nothing changes.
     Lineage is cut by checkpoint() each round.  Null ends, loops and repeated
     edges are ignored; no edges give an empty table.  Raises if ``max_rounds``
@@ -71,19 +87,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     plain = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(F.col(a), F.col(b)).cast("long").alias("a"), F.least(F.col(a), F.col(b)).cast("long").alias("b"))
     now = checkpointed(plain.mapInArrow(_contract, "a long, b long").distinct())
     mark = _mark(now)
-    for _ in range(max_rounds if mark[0] else 1):
-        if not mark[0]:
-            break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpointed(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
+    if mark[0] <= few:
+        now = checkpointed(now.repartition(1).mapInArrow(_contract, "a long, b long")) if mark[0] else now
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        now = _starred(now, mark, max_rounds)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -39,8 +39,9 @@ def test_scalars(spark):
 
 def test_components_of_a_path_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (1002, 1000), (7, 7), (None, 3)]
-    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000, 1002: 1000}
+    for few in (0, components.HELD_EDGES):  # by rounds of stars, and by one last task
+        got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), few=few).collect()))
+        assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000, 1002: 1000}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
