@@ -155,3 +155,14 @@ def pole(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 def normalised(array: Column, centre: Column, radius: float) -> Column:
     """Nested points relative to their centre, in radii."""
     return F.transform(array, lambda p: F.zip_with(p, centre, lambda a, c: (a - c) / radius))
+
+
+def nearest_other(voxels: DataFrame, radius: int, label: str = "label") -> DataFrame:
+    """(x, y, z, other, distance): for every labelled voxel the nearest different label, background left out, by city-block
+    distance up to ``radius`` within its z; of equally near ones the first in the order of (y, x)."""
+    span = range(-radius, radius + 1)
+    moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in span for j in span if 0 < abs(i) + abs(j) <= radius])
+    some = voxels.where(F.col(label) != 0)
+    sent = some.select(F.col(label).alias("other"), "z", F.col("x").alias("ox"), F.col("y").alias("oy"), F.explode(moves).alias("m")).select("other", "z", (F.col("ox") + F.col("m.i")).alias("x"), (F.col("oy") + F.col("m.j")).alias("y"), "ox", "oy", (F.abs("m.i") + F.abs("m.j")).alias("distance"))
+    both = some.select(*AXES, F.col(label).alias("own")).join(sent, list(AXES)).where("own <> other")
+    return both.groupBy(*AXES).agg(F.min(F.struct("distance", "oy", "ox", "other")).alias("b")).select(*AXES, "b.other", "b.distance")

@@ -121,3 +121,10 @@ def grid_edges(voxels: DataFrame, node: str, label: str) -> DataFrame:
         pairs = here.join(there, list(AXES)).where("l = m").select("a", "b")
         out = pairs if out is None else out.unionByName(pairs)
     return out
+
+
+def blended_max(rows: DataFrame, at: str, value: Column, size: int) -> DataFrame:
+    """Overlapping rows reduced to their greatest value, from zero on; chunks without any value above zero are left out."""
+    one = rows.groupBy(at).agg(F.greatest(F.max(value), F.lit(0.0)).alias("value")).withColumn("chunk", F.floor(F.col(at) / size))
+    filled_chunks = one.groupBy("chunk").agg(F.max("value").alias("_most")).where("_most > 0").select("chunk")
+    return one.join(filled_chunks, "chunk", "left_semi").drop("chunk")

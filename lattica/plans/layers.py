@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..functions import boxes, spatial
-from ..operators import annotations, contact_tables, matching, shapes
+from ..operators import annotations, contact_tables, grids, matching, shapes
 from ..sources import arrays, shards
 from .flows import scratch
 from .volume import POINTS, VOXELS, points, voxels
@@ -243,3 +243,38 @@ def q142_contact_chunks(spark, d):
     c = boxes.exact_chunks(spark, (5, 3), (61, 20), (16, 8))
     place = F.floor(F.col("x0") / 16) * 4 + F.floor(F.col("y0") / 8)
     return c.select(*(F.col(n).cast("long").alias(n) for n in ("x0", "x1", "y0", "y1")), place.alias("place"))
+
+
+@query(f"WITH v AS ({VOXELS}) SELECT a.x, a.y, a.z, b.label AS other, CAST(abs(a.x - b.x) + abs(a.y - b.y) AS BIGINT) AS distance FROM v a JOIN v b ON a.z = b.z AND a.label <> 0 AND b.label <> 0 AND a.label <> b.label AND abs(a.x - b.x) + abs(a.y - b.y) <= 2 QUALIFY row_number() OVER (PARTITION BY a.x, a.y, a.z ORDER BY abs(a.x - b.x) + abs(a.y - b.y), b.y, b.x) = 1")
+def q161_nearest_other(spark, d):
+    """The nearest different label of every labelled voxel."""
+    return annotations.nearest_other(voxels(spark, d), 2).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query("""WITH e AS (SELECT event_id AS pos, value - 60 AS v FROM events), n AS (SELECT max(pos) // 20 AS final FROM e), c AS (SELECT i AS chunk FROM (SELECT unnest(generate_series(0, final)) AS i FROM n)),
+j AS (SELECT pos, v * (1 + chunk % 2) AS v FROM e JOIN c ON pos >= chunk * 20 - 5 AND pos < chunk * 20 + 25), r AS (SELECT pos, greatest(max(v), 0.0) AS value FROM j GROUP BY pos)
+SELECT pos, value FROM r WHERE pos // 20 IN (SELECT pos // 20 FROM r GROUP BY pos // 20 HAVING max(value) > 0)""")
+def q162_blend_greatest(spark, d):
+    """Overlapping chunks reduced to the greatest value, empty chunks left out."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("pos"), (F.col("value") - 60).alias("v"))
+    last = e.agg(F.max("pos")).first()[0]
+    rows = grids.overlapped(e, "pos", 20, 5, 0, 0 if last is None else last + 1)
+    return grids.blended_max(rows, "pos", F.col("v") * (1 + F.col("chunk") % 2), 20)
+
+
+@query(f"WITH v AS ({VOXELS}), p AS (SELECT l_orderkey * 8 + l_linenumber AS id, CAST(round_even(l_quantity / 5, 0) AS BIGINT) AS x, CAST(round_even(l_discount * 100, 0) AS BIGINT) AS y, CAST(l_linenumber - 1 AS BIGINT) AS z FROM lineitem) SELECT v.label, count(*) AS n_lines, count(DISTINCT id) AS n_ids FROM p JOIN v USING (x, y, z) WHERE label <> 0 GROUP BY v.label")
+def q163_lines_by_label(spark, d):
+    """Lines grouped by the label at their first point, background left out."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 5).alias("px"), (F.col("l_discount") * 100).alias("py"), (F.col("l_linenumber") - 1).cast("double").alias("pz"))
+    at = annotations.labels_at(li, ["px", "py", "pz"], voxels(spark, d))
+    return at.where("label <> 0").groupBy("label").agg(F.count("*").alias("n_lines"), F.count_distinct("id").alias("n_ids"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT * FROM ({_SYN})), a AS (SELECT * FROM s WHERE side = 0 AND id % 2 = 0), b AS (SELECT * FROM s WHERE side = 0 AND id % 2 = 1)
+SELECT DISTINCT a.id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.pre = b.pre AND a.post = b.post AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 10000)""")
+def q164_duplicates(spark, d):
+    """Points that repeat another set's points of equal keys within the radius."""
+    li, k = table(spark, d, "lineitem"), F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    s = li.where("l_suppkey % 2 = 0").select(k.alias("id"), F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 10).alias("y"), (F.col("l_discount") * 1000).alias("z"), (F.col("l_suppkey") % 3).alias("pre"), (F.col("l_partkey") % 3).alias("post")).distinct()
+    out = matching.duplicates(s.where("id % 2 = 0"), s.where("id % 2 = 1"), 100.0, ["x", "y", "z"], ["pre", "post"])
+    return out.select("id").distinct()
