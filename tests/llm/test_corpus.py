@@ -317,9 +317,9 @@ def test_minhash_near_duplicates(spark):
 @pytest.mark.parametrize("cut", [1, 2, 3, 100])
 def test_members_of_groups(cut):
     rows = [(1, 5), (1, 5), (2, 7), (3, 4), (3, 4), (3, 9), (3, 1), (4, 4), (4, 4), (5, 1), (5, 2)]
-    batches = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in part]), pa.array([0] * len(part), pa.int8()), pa.array([n for _, n in part])], names=["band", "no", "node"]) for part in (rows[i : i + cut] for i in range(0, len(rows), cut))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in part]), pa.array([0] * len(part), pa.int8()), pa.array([n for _, n in part]), pa.array([10 * n for _, n in part], pa.int32())], names=["band", "no", "node", "size"]) for part in (rows[i : i + cut] for i in range(0, len(rows), cut))]
     got = [tuple(r.values()) for b in minhash._members(iter(batches)) for r in b.to_pylist()]
-    assert got == [(3, 0, 4, 4), (3, 0, 9, 4), (3, 0, 1, 4), (5, 0, 1, 1), (5, 0, 2, 1)]
+    assert got == [(3, 0, 4, 40, 4, 40), (3, 0, 9, 90, 4, 40), (3, 0, 1, 10, 4, 40), (5, 0, 1, 10, 1, 10), (5, 0, 2, 20, 1, 10)]
     assert list(minhash._members(iter([]))) == []
 
 
@@ -327,7 +327,7 @@ def test_links_in_hot_bands(spark, monkeypatch):
     """Texts that share much of their words, in groups beyond the limit for pairing: all links of 0.8 are found."""
     monkeypatch.setattr(minhash, "PAIRED", 4)
     common = prose(150, 77)
-    texts_ = [f"{common} {prose(30, k)}" for k in range(30)] + edited_copies(15, 3)
+    texts_ = [f"{common} {prose(30, k)}" for k in range(30)] + edited_copies(15, 3) + [" ".join([prose(90, 5)] * n) for n in (2, 40, 90)]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame([(str(i).zfill(3), t) for i, t in enumerate(texts_)], "doc_id string, text string")).collect()}
     assert got == {str(i).zfill(3): str(c).zfill(3) for i, c in enumerate(brute_groups(texts_))}
 
