@@ -191,7 +191,7 @@ _SYN = "SELECT l_orderkey * 8 + l_linenumber AS id, l_extendedprice AS x, l_quan
 
 @query(f"""WITH s AS (SELECT DISTINCT * FROM ({_SYN}) WHERE x >= 500 AND x < 90000 AND pre <> post), a AS (SELECT * FROM s WHERE side = 0), b AS (SELECT * FROM s WHERE side = 1),
 p AS (SELECT a.id AS ia, b.id AS ib, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 AS d2 FROM a JOIN b ON a.pre = b.pre AND a.post = b.post AND b.x > a.x - 12 AND b.x < a.x + 12 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 144)
-SELECT a.id, CAST(count(ib) AS BIGINT) AS n_near, min(round(sqrt(d2), 6)) AS nearest FROM a LEFT JOIN p ON p.ia = a.id GROUP BY a.id""")
+SELECT a.id, CAST(count(ib) AS BIGINT) AS n_near, min(round(sqrt(d2), 6)) AS nearest FROM (SELECT DISTINCT id FROM a) a LEFT JOIN p ON p.ia = a.id GROUP BY a.id""")
 def q136_keyed_candidates(spark, d):
     """Evaluation before matching: the box, no pairs within one segment, candidates of equal keys within the radius."""
     li = table(spark, d, "lineitem")
