@@ -51,7 +51,7 @@ END = np.uint64(0x2545F4914F6CDD1D)
 AFTER, START = 1 << 40, (1 << 40) + 1
 _STEPS = 65535
 _LOWEST = -16.0
-_CODEC = "zstd"
+_CODEC = pa.Codec("zstd", compression_level=6)
 
 
 # --- Elias-Fano ----------------------------------------------------------------------------------
@@ -217,14 +217,14 @@ def restored(codes: np.ndarray) -> np.ndarray:
 def _pack(a: np.ndarray) -> bytes:
     """Compressed bytes of an array, its bytes grouped by significance; with its length in front."""
     raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, _CODEC, asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (_CODEC.compress(raw, asbytes=True) if raw else b"")
 
 
 def _unpack(blob: bytes, dtype: str) -> np.ndarray:
     size = int.from_bytes(blob[:8], "little")
     if not size:
         return np.zeros(0, dtype)
-    raw = np.frombuffer(pa.decompress(blob[8:], size, _CODEC, asbytes=True), np.uint8)
+    raw = np.frombuffer(_CODEC.decompress(blob[8:], size, asbytes=True), np.uint8)
     item = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(item, -1).T).view(dtype).ravel()
 
@@ -431,7 +431,7 @@ def _deal(word_shards: int, shards: int, n: int, v: int):
             m, numbers = len(grams.order), grams.numbers.astype(np.int64)
             first = np.searchsorted(grams.of, np.arange(len(grams.pair) + 1))
             uses = np.diff(first)
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), *(pa.array([b""], pa.binary()) for _ in range(4)), pa.array([_pack(np.concatenate([base, known.astype(float), grams.order.astype(float), counts[:m].astype(float), numbers[:m].astype(float)]))], pa.binary())], names=_DEALT)
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), *(pa.array([b], pa.binary()) for b in (_pack(known.astype("<u4")), _pack(grams.order.astype("<u4")), _pack(counts[:m].astype("<u8")), _pack(np.diff(numbers[:m], prepend=0).astype("<u8")), _pack(base)))], names=_DEALT)
             for s, own in _by_shard(grams.shard(counts, shards, n), shards):
                 one, two = grams.pair[own] >> 32, grams.pair[own] & 0xFFFFFFFF
                 tops = _tops(one)
@@ -446,6 +446,8 @@ def _deal(word_shards: int, shards: int, n: int, v: int):
     return run
 
 
+#: Columns of what is dealt.  A chunk's own row (its shard is negative) has known words, order, counts and numbers of its
+#: words and base scores in the last five; what shards return has the codes of pairs and of triples in the first two of them.
 _DEALT = ["shard", "chunk", "firsts", "seconds", "thirds", "learnt", "sums"]
 
 
@@ -493,11 +495,11 @@ def _score_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for rows in _grouped(batches, 0):
         shard = rows[0]["shard"]
         if shard < 0:
-            blobs = [(r["sums"], b"") for r in rows]
+            blobs = [[r[c] for c in _DEALT[2:]] for r in rows]
         else:
-            blobs = [(_pack(x), _pack(y)) for x, y in _Shard(rows).answers()]
+            blobs = [[_pack(x), _pack(y), b"", b"", b""] for x, y in _Shard(rows).answers()]
         n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([int(shard >= 0)] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array([x for x, _ in blobs], pa.binary()), pa.array([y for _, y in blobs], pa.binary())], names=["chunk", "kind", "shard", "sums", "triples"])
+        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([int(shard >= 0)] * n, pa.int32()), pa.array([shard] * n, pa.int64()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(5))], names=["chunk", "kind", "shard", *_DEALT[2:]])
 
 
 def _shard_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,18 +517,16 @@ def _documents(shards: int, n: int, v: int, id_type: pa.DataType):
             words = _unpack(head["words"], "<u8")
             sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
             docs, m = len(sizes), len(words)
-            sums = _unpack(rows[1]["sums"], "<f8")
-            base, known = sums[: 2 * docs].reshape(2, -1)
-            order, counts, in_order = sums[2 * docs :].reshape(3, -1)
+            known, order, counts, in_order, base = (_unpack(rows[1][c], t) for c, t in zip(_DEALT[2:], ("<u4", "<u4", "<u8", "<u8", "<f8")))
             numbers = np.empty(m, np.uint64)
-            numbers[order.astype(np.int64)] = in_order.astype(np.uint64)
+            numbers[order] = np.cumsum(in_order)
             grams = _Grams(_unpack_tokens(head["tokens"], m), sizes, numbers, int(np.searchsorted(words, END)), train)
             counts = grams.counts(counts.astype(np.int64))
             first = np.searchsorted(grams.of, np.arange(len(grams.pair) + 1))
             two, three = np.empty(len(grams.pair), "<u2"), np.empty(len(grams.of), "<u2")
             for (_, own), r in zip(_by_shard(grams.shard(counts, shards, n), shards), rows[2:]):
-                two[own] = _unpack(r["sums"], "<u2")
-                three[_spread(first[own], np.diff(first)[own])] = _unpack(r["triples"], "<u2")
+                two[own] = _unpack(r["firsts"], "<u2")
+                three[_spread(first[own], np.diff(first)[own])] = _unpack(r["seconds"], "<u2")
             p_word = (counts + 0.1) / (n + 0.1 * (v + 1))
             one, word = grams.pair >> 32, grams.pair & 0xFFFFFFFF
             share = np.where(two < _STEPS, 10.0 ** restored(two), 0)
@@ -571,7 +571,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     chunks, dealt, shards, n, v, carried = _dealt(docs, id_col, text_col)
-    scored = dealt.mapInArrow(_score_shards, "chunk long, kind int, shard long, sums binary, triples binary")
+    scored = dealt.mapInArrow(_score_shards, "chunk long, kind int, shard long, firsts binary, seconds binary, thirds binary, learnt binary, sums binary")
     whole = chunks.select("chunk", F.lit(-1).alias("kind"), "sizes", "train", "words", "tokens", "ids")
     parts = whole.unionByName(scored, allowMissingColumns=True)
     arrow_id = pa.string() if carried == "string" else pa.int64()
