@@ -10,9 +10,10 @@ The threshold follows the number of vectors, so that an average filter holds
 ``OCCUPANCY`` of them, and the code's size follows from the threshold, so that two
 vectors at the wanted cosine share ``SHARED`` filters in the mean, at any size.
 
-What meets in a filter is compared by 128 random signs; those of two vectors at
-cosine 0.9 differ in more than 40 places about once in 10**7 times, those of
-unrelated ones in fewer once in 10**5.  That gives candidate classes, which are
+What meets in a filter is compared by 192 random signs.  At cosine 0.9 they differ
+in more than 45 places about twice in 10,000 times; members of one cap lean to its
+direction, and of 75 million vectors about one pair in 10,000 of an unrelated one's
+stays below that, fewer at smaller sizes.  That gives candidate classes, which are
 supersets: a filter with more than ``HELD`` members, or with more than
 ``HOT`` in one Arrow batch, becomes one class without comparison, so hot filters
 cost no more than their rows.  Within a class every pair is verified by its
@@ -51,8 +52,8 @@ MIN_COSINE = 0.9
 CODES = 8
 #: Vectors in an average filter; filters that a pair at MIN_COSINE shares in the mean; filters a code gives every vector at least.
 OCCUPANCY, SHARED, FLOOR = 16, 8, 3
-#: Signs that two vectors of a candidate pair may differ in, of 128.
-MOST_SIGNS = 40
+#: Signs of a vector, and in how many of them two vectors of a candidate pair may differ.
+SIGNS, MOST_SIGNS = 192, 45
 #: Vectors that a task compares at once; members of a filter in one batch that make it one class.
 HELD, HOT = 2048, 256
 #: Degrees from a class's mean direction that a bin of a large class spans, and what rounding may take.
@@ -83,7 +84,7 @@ def codes(dim: int, words: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.n
         c = rng.normal(size=(words, dim // 2))
         return (c / np.linalg.norm(c, axis=1)[:, None] * (dim // 2) ** 0.5).T
 
-    return [(np.linalg.qr(rng.normal(size=(dim, dim)))[0], book(), book()) for _ in range(CODES)], rng.normal(size=(dim, 128))
+    return [(np.linalg.qr(rng.normal(size=(dim, dim)))[0], book(), book()) for _ in range(CODES)], rng.normal(size=(dim, SIGNS))
 
 
 def list_decode(x: np.ndarray, code: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -146,11 +147,11 @@ def _filters(threshold: float, words: int):
                 hot = np.repeat(size > HOT, size)
                 lead = np.repeat(row[first], size)
                 me, to = ids[at[row]], ids[at[lead]]
-                s1, s2 = signs[row, 0], signs[row, 1]
+                sign = signs[row]
                 link = hot & (row != lead)
                 key = np.where(link, ~me, key)
                 me = np.where(hot & ~link, ~me, me)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(me), pa.array(np.where(link, to, s1)), pa.array(s2)], names=["filter", "row", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(me), pa.array(np.where(link, to, sign[:, 0])), pa.array(sign[:, 1]), pa.array(sign[:, 2])], names=["filter", "row", "s1", "s2", "s3"])
 
     return run
 
@@ -174,11 +175,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def compare() -> None:
-        key, row, s1, s2 = (np.concatenate(x) for x in zip(*held))
+        key, row, s1, s2, s3 = (np.concatenate(x) for x in zip(*held))
         held.clear()
         own = int(np.searchsorted(key, 0))  # links under filters of their own stand first
         out.append((row[:own], s1[:own]))
-        key, row, s1, s2 = key[own:], row[own:], s1[own:], s2[own:]
+        key, row = key[own:], row[own:]
+        signs = [s[own:].view(np.uint64) for s in (s1, s2, s3)]
         _, first, size = np.unique(key, return_index=True, return_counts=True)
         for a, n in zip(first.tolist(), size.tolist()):
             if n == 1:
@@ -188,7 +190,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 members = np.where(members < 0, ~members, members)
                 out.append((members[1:], np.full(n - 1, members[0])))
                 continue
-            apart = sum(np.bitwise_count(s[a : a + n, None] ^ s[None, a : a + n]) for s in (s1.view(np.uint64), s2.view(np.uint64)))
+            apart = sum(np.bitwise_count(s[a : a + n, None] ^ s[None, a : a + n]) for s in signs)
             near = apart <= MOST_SIGNS
             if near.sum() > n:
                 root = walk(near)
@@ -297,7 +299,7 @@ def _in_blocks(members: DataFrame, cosine: float, held: int) -> tuple[DataFrame,
 def candidate_classes(vectors: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
     """(row, class) for every row of (row, vector) that shares a filter, and most signs, with another one."""
     threshold, words = code_size(vectors.count(), cosine)
-    met = vectors.mapInArrow(_filters(threshold, words), "filter long, row long, s1 long, s2 long").repartition("filter").sortWithinPartitions("filter").mapInArrow(_classes, "a long, b long")
+    met = vectors.mapInArrow(_filters(threshold, words), "filter long, row long, s1 long, s2 long, s3 long").repartition("filter").sortWithinPartitions("filter").mapInArrow(_classes, "a long, b long")
     return connected_components(met).select(F.col("node").alias("row"), F.col("component").alias("class"))
 
 
