@@ -44,7 +44,7 @@ def along(df: DataFrame, by: Sequence[str], axis: str, walk: Callable[[dict[str,
         if parts:
             yield done(parts)
 
-    return df.repartition(*by).sortWithinPartitions(*by, axis).mapInArrow(run, schema)
+    return df.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, axis).mapInArrow(run, schema)
 
 
 def _nearest_in_line(axis: str):
