@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..catalog import table
 from ..operators import blocks, distance
+from ..sources import datasource
+from ..streaming import ordered
+from .flows import scratch, stream_of
 from .volume import VOXELS, voxels
 
 QUERIES: dict = {}
@@ -61,3 +65,39 @@ def _regions(spark, d):
 def q169_poles(spark, d):
     """The innermost cell of each slice's foreground."""
     return distance.poles(_regions(spark, d), ["part"])
+
+
+_EDITS = """e AS (SELECT event_id AS eid, CAST(event_id AS VARCHAR) AS name, ts, user_id AS u FROM events),
+    n AS (SELECT CAST(NULL AS BIGINT) AS id, u % 40 AS old, 1000 + eid % 7 AS new, ts, name FROM e WHERE eid % 3 = 0 UNION ALL SELECT NULL, 1000 + eid % 7, 2000 + eid, ts, name FROM e WHERE eid % 3 = 1
+        UNION ALL SELECT u + k, 1000 + eid % 7, 5000000 + eid + k, ts, name FROM e, generate_series(0, 2) t(k) WHERE eid % 3 = 2)"""
+
+
+@query(f"""WITH RECURSIVE {_EDITS}, r AS (SELECT c_custkey AS id, c_custkey % 40 AS root, TIMESTAMP '0001-01-01' AS ts, '' AS name FROM customer
+    UNION ALL SELECT id, new, ts, name FROM (SELECT r.id, n.new, n.ts, n.name, row_number() OVER (PARTITION BY r.id ORDER BY n.ts, n.name) AS k FROM r JOIN n ON n.old = r.root AND (n.id IS NULL OR n.id = r.id) AND (n.ts > r.ts OR (n.ts = r.ts AND n.name > r.name))) WHERE k = 1)
+    SELECT id, arg_max(root, ts) AS root FROM r GROUP BY id""")
+def q170_merges_and_splits(spark, d):
+    """A stream of merges and splits applied in the order of their events."""
+    e = stream_of(spark, d, "events")
+    k, u = F.col("event_id"), F.col("user_id")
+    first, second = 1000 + k % 7, k % 3 == 2
+    assigned = F.array(*[F.struct((u + i).cast("long").alias("id"), (5000000 + k + i).cast("long").alias("root")) for i in range(3)])
+    edits = e.select(k.cast("string").alias("event_id"), F.array(F.when(k % 3 == 0, u % 40).otherwise(first).cast("long")).alias("old_root_ids"), F.when(k % 3 == 0, F.array(first.cast("long"))).when(k % 3 == 1, F.array((2000 + k).cast("long"))).otherwise(F.array((5000000 + k).cast("long"), (5000001 + k).cast("long"))).alias("new_root_ids"), F.col("ts").cast("timestamp").alias("ts"), F.when(second, assigned).alias("assigned"))
+    root = scratch(spark)
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_custkey") % 40).cast("long").alias("root"))
+    ordered.start(c, f"{root}/state")
+    ordered.run_ordered_listener(edits, f"{root}/state", f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return ordered.ordered_labels(spark, f"{root}/state")
+
+
+@query("""SELECT seg_a, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(x + y + z) AS BIGINT) AS places FROM (SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey % 20 AS seg_a, l_quantity AS x, round(l_discount * 100, 0) AS y, round(l_tax * 100, 0) AS z FROM lineitem)
+    WHERE x >= 12 AND x < 30 AND y <= 5 AND z > 2 GROUP BY seg_a""")
+def q171_contact_shards(spark, d):
+    """Contacts written to shard files and read back by box through the data source."""
+    datasource.register(spark)
+    li = table(spark, d, "lineitem")
+    x, y, z = F.col("l_quantity"), F.round(F.col("l_discount") * 100, 0), F.round(F.col("l_tax") * 100, 0)
+    rows = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") % 20).cast("long").alias("seg_a"), (F.col("l_partkey") % 20).cast("long").alias("seg_b"), x.alias("x"), y.alias("y"), z.alias("z"), F.array(F.array(x, y, z, F.col("l_discount"))).alias("faces"))
+    at = f"{scratch(spark)}/contacts"
+    datasource.dealt(rows, (16, 4, 4)).write.format(datasource.FORMAT).option("chunk", "16,4,4").mode("append").save(at)
+    back = spark.read.format(datasource.FORMAT).load(at).where("x >= 12 AND x < 30 AND y <= 5 AND z > 2")
+    return back.groupBy("seg_a").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(F.col("x") + F.col("y") + F.col("z")).cast("long").alias("places"))

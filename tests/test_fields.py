@@ -83,3 +83,103 @@ def test_envelope_equals_brute_force():
         at = sorted(rng.choice(60, rng.integers(1, 20), False).tolist())
         height = [int(h) ** 2 if rng.random() < 0.8 else distance._FAR for h in rng.integers(0, 25, len(at))]
         assert distance.envelope(at, height) == [min(min((p - q) ** 2 + h for q, h in zip(at, height) if h < distance._FAR), distance._FAR) if min(height) < distance._FAR else distance._FAR for p in at]
+
+
+def brute_edits(labels, log):
+    root = dict(labels)
+    for e in sorted({e[0]: e for e in log}.values(), key=lambda e: (e[3], e[0])):
+        _, old, new, _, _, assigned = e
+        if len(new) == 1:
+            root = {i: new[0] if r in old else r for i, r in root.items()}
+        elif len(new) > 1:
+            for i, r in assigned or []:
+                if root.get(i) in old:
+                    root[i] = r
+    return root
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merges_and_splits_in_event_order(spark, tmp_path, seed):
+    import datetime
+    import json
+    import random
+
+    from lattica.streaming import ordered
+
+    r = random.Random(seed)
+    labels = [(i, i % 6) for i in range(40)]
+    log = []
+    for k in range(24):
+        ts = datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=r.randrange(12))
+        old = r.sample(range(9), r.choice((1, 2)))
+        if r.random() < 0.5:
+            log.append((f"e{k:02}", old, [r.randrange(9)], ts, "t", None))
+        else:
+            log.append((f"e{k:02}", old, r.sample(range(9), 2), ts, "t", [(i, r.randrange(9)) for i in r.sample(range(42), 8)]))
+    log.append(log[3])
+    log.append(("none", [1], [], log[0][3], "t", None))
+    r.shuffle(log)  # late events
+    ordered.start(spark.createDataFrame(labels, "id long, root long"), str(tmp_path / "state"))
+    (tmp_path / "in").mkdir()
+    for n in range(3):
+        with (tmp_path / "in" / f"{n}.json").open("w") as f:
+            for e in log[n::3]:
+                f.write(json.dumps({"event_id": e[0], "old_root_ids": e[1], "new_root_ids": e[2], "ts": e[3].isoformat() + "Z", "assigned": [{"id": i, "root": x} for i, x in e[5]] if e[5] else None}) + "\n")
+            f.write("not json\n")
+    stream = spark.readStream.schema(ordered.ORDERED_SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    ordered.run_ordered_listener(stream, str(tmp_path / "state"), str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert {x["id"]: x["root"] for x in ordered.ordered_labels(spark, str(tmp_path / "state")).collect()} == brute_edits(labels, log)
+
+
+def contact_rows(n, seed=1):
+    rng = np.random.default_rng(seed)
+    at = np.round(rng.uniform(-20, 60, (n, 3)), 2).astype(np.float32).astype(float)
+    return [(i, i % 5, i % 7 - 3, *map(float, at[i]), [[float(i), 1.0, 2.0, 0.5]] * (i % 3) if i % 4 else None) for i in range(n)]
+
+
+def test_contact_source_round_trip_and_pruning(spark, tmp_path):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    from lattica.sources import datasource as ds
+
+    ds.register(spark)
+    rows, path = contact_rows(500), str(tmp_path / "layer")
+    df = spark.createDataFrame(rows, ds.SCHEMA)
+    write = lambda part, mode: ds.dealt(part, (10, 10, 10)).write.format(ds.FORMAT).option("chunk", "10,10,10").mode(mode).save(path)
+    write(df.where("id < 300"), "append")
+    write(df.where("id >= 300"), "append")
+    want = sorted((*r[:6], r[6] or []) for r in rows)
+    read = lambda: spark.read.format(ds.FORMAT).load(path)
+    assert sorted(map(tuple, read().collect())) == want
+    box = "x >= 3.5 AND x < 21 AND y > -10 AND z <= 40"
+    inside = [r for r in want if 3.5 <= r[3] < 21 and r[4] > -10 and r[5] <= 40]
+    assert inside and sorted(map(tuple, read().where(box).collect())) == inside
+
+    def planned(*filters):
+        reader = ds.ContactReader(path)
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        return sum(p.length for p in reader.partitions())
+
+    whole, part = planned(), planned(GreaterThanOrEqual(("x",), 30.0), LessThan(("x",), 40.0), LessThan(("y",), 0.0))
+    assert 0 < part < whole / 3
+    assert planned(GreaterThanOrEqual(("z",), 1e6)) == 0 and read().where("z > 1e6").count() == 0
+    write(df.where("id < 10"), "overwrite")
+    assert read().count() == 10
+    assert len(list((tmp_path / "layer").glob("*.shard"))) == len(ds.manifest(*ds.opened(path))["shards"])
+
+
+def test_contact_source_failed_writes_leave_nothing(spark, tmp_path):
+    from lattica.sources import datasource as ds
+
+    ds.register(spark)
+    path = str(tmp_path / "layer")
+    good = spark.createDataFrame(contact_rows(50), ds.SCHEMA)
+    put = lambda df, chunk="10,10,10": df.write.format(ds.FORMAT).option("chunk", chunk).mode("append").save(path)
+    put(ds.dealt(good, (10, 10, 10)))
+    bad = good.unionByName(spark.createDataFrame([(None, 1, 2, 0.0, 0.0, 0.0, None)], ds.SCHEMA))
+    for df, chunk in ((bad, "10,10,10"), (good, "5,5,5")):
+        with pytest.raises(Exception, match="contact needs|layer has chunks"):
+            put(df, chunk)
+        assert spark.read.format(ds.FORMAT).load(path).count() == 50
+    assert not list((tmp_path / "layer" / "_temporary").glob("*")) or not list((tmp_path / "layer" / "_temporary").rglob("*.shard"))
+    assert spark.read.format(ds.FORMAT).load(str(tmp_path / "none")).count() == 0
