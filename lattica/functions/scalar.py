@@ -63,6 +63,27 @@ def parse_point(text: Column) -> Column:
     return F.when(F.size(fields) == 3, F.transform(fields, lambda s: s.try_cast("double")))
 
 
+def double_of_hex(text: Column) -> Column:
+    """The IEEE double of 16 hex digits, most significant first: sign, exponent and fraction by bit functions."""
+    high, low = (F.conv(F.substring(text, a, 8), 16, 10).cast("long") for a in (1, 9))
+    exponent = F.shiftright(high, 20).bitwiseAND(F.lit(0x7FF))
+    fraction = (high.bitwiseAND(F.lit(0xFFFFF)).cast("double") * 2.0**32 + low) / 2.0**52
+    size = F.when(exponent == 0, fraction * 2.0**-1022).when(exponent == 0x7FF, F.when(fraction == 0, float("inf")).otherwise(float("nan"))).otherwise((1 + fraction) * F.pow(F.lit(2.0), exponent - 1023))
+    return F.when(F.shiftright(high, 31) == 1, -size).otherwise(size)
+
+
+def wkb_point(text: Column) -> Column:
+    """array(x, y, z) of a little-endian binary point in hex, z 0 where it has two coordinates; null for other texts."""
+    turned = lambda i: F.concat(*[F.substring(text, 11 + 16 * i + 2 * k, 2) for k in range(7, -1, -1)])
+    x, y, z = (double_of_hex(turned(i)) for i in range(3))
+    return F.when(text.rlike("^01[0-9A-Fa-f]{8}([0-9A-Fa-f]{32}|[0-9A-Fa-f]{48})$"), F.array(x, y, F.when(F.length(text) >= 58, z).otherwise(0.0)))
+
+
+def any_point(text: Column) -> Column:
+    """A point as plain text or as a binary point in hex."""
+    return F.coalesce(wkb_point(F.trim(text)), parse_point(text))
+
+
 def point_text(x: Column, y: Column, z: Column) -> Column:
     return F.concat(F.lit("POINT Z("), F.concat_ws(" ", *[c.cast("string") for c in (x, y, z)]), F.lit(")"))
 

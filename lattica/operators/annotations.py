@@ -35,6 +35,8 @@ def write_layer(df: DataFrame, path: str, bounds: Sequence[tuple[str, str]], siz
     """
     one = df.groupBy(id_col).agg(F.min(F.struct(*[c for c in df.columns if c != id_col])).alias("r")).select(id_col, "r.*").select(*df.columns)
     cells = spatial_index(one, bounds, sizes)
+    levels = [(k, *map(float, size)) for k, size in enumerate(sizes)]
+    df.sparkSession.createDataFrame(levels, "level int, sx double, sy double, sz double").coalesce(1).write.mode("overwrite").parquet(f"{path}/levels")
     cells.repartition("level", "cx", "cy", "cz").write.mode("overwrite").partitionBy("level", "cx", "cy", "cz").parquet(f"{path}/spatial")
     one.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
 
@@ -60,26 +62,32 @@ def read_by_id(spark: SparkSession, path: str, ids: DataFrame | None = None, id_
 
 
 def replace_cell(spark: SparkSession, path: str, bounds: Sequence[tuple[str, str]], level: int, cell: Sequence[int], size: Sequence[float], change: Callable[[DataFrame], DataFrame], id_col: str = "id", filter_bounds: bool = True) -> None:
-    """One cell's annotations replaced by ``change`` of them; the index by id follows.
+    """One cell's annotations replaced by ``change`` of them, in every cell of every level that the old or new ones touch.
 
-    New annotations outside the cell are left out (``filter_bounds``); a cell that ends up empty goes with its folder.
+    New annotations outside the cell are left out (``filter_bounds``).  Only touched cells
+    are written again, all by one write; those that end up empty go with their folders.  The index by id follows.
     """
-    at = " and ".join(f"{c} = {v}" for c, v in (("level", level), *zip(("cx", "cy", "cz"), cell)))
+    names = ("cx", "cy", "cz")
+    at = " and ".join(f"{c} = {v}" for c, v in (("level", level), *zip(names, cell)))
     rows = spark.read.parquet(f"{path}/spatial")
-    old = checkpointed(rows.where(at).drop("level", "cx", "cy", "cz"))
+    old = checkpointed(rows.where(at).drop("level", *names))
     new = change(old)
     for (a, b), c, s in zip(bounds, cell, size) if filter_bounds else ():
         new = new.where((F.col(b) >= c * s) & (F.floor(F.col(a) / s) <= c))
     new = checkpointed(new)
-    by_id = spark.read.parquet(f"{path}/by_id")
-    kept = checkpointed(by_id.join(old.select(id_col).unionByName(new.select(id_col)).distinct(), id_col, "left_anti").unionByName(new))
-    if new.isEmpty():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/spatial/level={level}/cx={cell[0]}/cy={cell[1]}/cz={cell[2]}")
+    ids = checkpointed(old.select(id_col).unionByName(new.select(id_col)).distinct())
+    sizes = [tuple(r)[1:] for r in spark.read.parquet(f"{path}/levels").orderBy("level").collect()]
+    placed = spatial_index(new, bounds, sizes)
+    keys = ["level", *names]
+    here = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], *[c for c in rows.columns if c not in keys])
+    touched = checkpointed(here.join(ids, id_col, "left_semi").select(keys).unionByName(placed.select(*[F.col(k).cast("long").alias(k) for k in keys])).distinct())
+    after = checkpointed(here.join(touched, keys, "left_semi").join(ids, id_col, "left_anti").unionByName(placed.withColumns({k: F.col(k).cast("long") for k in keys})))
+    by_id = checkpointed(spark.read.parquet(f"{path}/by_id").join(ids, id_col, "left_anti").unionByName(new))
+    after.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/spatial")
+    for k, x, y, z in touched.join(after.select(keys).distinct(), keys, "left_anti").collect():  # cells of one cell's annotations
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/spatial/level={k}/cx={x}/cy={y}/cz={z}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    else:
-        tagged = new.withColumns({"level": F.lit(level), **{c: F.lit(v).cast("long") for c, v in zip(("cx", "cy", "cz"), cell)}})
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level", "cx", "cy", "cz").parquet(f"{path}/spatial")
-    kept.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
+    by_id.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
 
 
 def related_index(df: DataFrame, relation: str, id_col: str) -> DataFrame:

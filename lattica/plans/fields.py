@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import blocks, distance
+from ..operators import annotations, blocks, distance, matching, resample
+from ..session import checkpointed
 from ..sources import datasource
 from ..streaming import ordered
 from .flows import scratch, stream_of
+from .layers import _LINES as LINES
+from .layers import _stored as stored
 from .volume import VOXELS, voxels
 
 QUERIES: dict = {}
@@ -101,3 +104,60 @@ def q171_contact_shards(spark, d):
     datasource.dealt(rows, (16, 4, 4)).write.format(datasource.FORMAT).option("chunk", "16,4,4").mode("append").save(at)
     back = spark.read.format(datasource.FORMAT).load(at).where("x >= 12 AND x < 30 AND y <= 5 AND z > 2")
     return back.groupBy("seg_a").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(F.col("x") + F.col("y") + F.col("z")).cast("long").alias("places"))
+
+
+_LEFT = f"NOT (floor(x0 / 16) <= 1 AND floor(x1 / 16) >= 1 AND floor(y0 / 4) <= 0 AND floor(y1 / 4) >= 0) OR id % 2 = 0"
+
+
+@query(f"WITH b AS (SELECT DISTINCT * FROM ({LINES})) SELECT id, x0, reader FROM b, (VALUES ('all'), ('id'), ('level 1')) r(reader) WHERE {_LEFT}")
+def q172_annotations_of_all_readers(spark, d):
+    """One cell written again with half of its annotations: the others are gone on every level and from the index by id."""
+    path = stored(spark, d)
+    bounds = [("x0", "x1"), ("y0", "y1"), ("z0", "z1")]
+    annotations.replace_cell(spark, path, bounds, 1, (1, 0, 0), (16, 4, 1), lambda old: old.where("id % 2 = 0"))
+    deepest = spark.read.parquet(f"{path}/spatial").where("level = 1").dropDuplicates(["id"])
+    out = annotations.read_all(spark, path).select("id", "x0", F.lit("all").alias("reader"))
+    for df, name in ((annotations.read_by_id(spark, path), "id"), (deepest, "level 1")):
+        out = out.unionByName(df.select("id", "x0", F.lit(name).alias("reader")))
+    return out
+
+
+@query()
+def q173_dedup_scores(spark, d):
+    """Line items of odd and even suppliers matched within a radius and a key, repeats counted once; tests hold it against brute force."""
+    li = table(spark, d, "lineitem")
+    p = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("x"), (F.col("l_quantity") * 10).alias("y"), (F.col("l_discount") * 1000).alias("z"), (F.col("l_linenumber") % 3).alias("key"), (F.col("l_suppkey") % 2).alias("side")).dropDuplicates(["id"])
+    a, b = (p.where(F.col("side") == s).drop("side") for s in (0, 1))
+    pairs = matching.keyed_pairs(a, b, 25.0, ["x", "y", "z"], ["key"]).select(F.col("id").alias("a"), F.col("id_r").alias("b"), "dist")
+    return matching.deduplicated_scores(a, b, checkpointed(matching.matched(pairs)), 25.0, ["x", "y", "z"], ["key"])
+
+
+@query(f"""WITH v AS ({VOXELS}), wx AS (SELECT o, least(floor(pos) + k, 9) AS i, sum(CASE k WHEN 0 THEN 1 - (pos - floor(pos)) ELSE pos - floor(pos) END) AS w FROM (SELECT o, greatest((o + 0.5) * 10 / 7 - 0.5, 0) AS pos FROM range(7) r(o)), (VALUES (0), (1)) t(k) GROUP BY ALL),
+    wy AS (SELECT o, i, 1 / (ceil((o + 1) * 10 / 4) - floor(o * 10 / 4)) AS w FROM range(4) r(o), range(10) s(i) WHERE i >= floor(o * 10 / 4) AND i < ceil((o + 1) * 10 / 4))
+    SELECT wx.o AS x, wy.o AS y, z, round(sum(v * wx.w * wy.w) + 1e-9, 6) AS v FROM v JOIN wx ON wx.i = x JOIN wy ON wy.i = y GROUP BY ALL""")
+def q174_resampled(spark, d):
+    """Slices of ten by ten brought to seven by four: linear along x, by area along y."""
+    v = voxels(spark, d).select("x", "y", "z", "v")
+    both = resample.resampled(resample.resampled(v, {"x": 10}, {"x": 7}), {"y": 10}, {"y": 4}, "area")
+    return both.withColumn("v", F.round(F.col("v") + 1e-9, 6))
+
+
+@query(f"""WITH v AS ({VOXELS}), a AS (SELECT o, o * 9.0 / 22 AS pos FROM range(23) r(o)), t AS (SELECT o, floor(pos) AS low, pos - floor(pos) AS t FROM a),
+    w AS (SELECT o, least(greatest(low + k, 0), 9) AS i, sum(CASE WHEN k IN (0, 1) THEN ((1.25 * u - 2.25) * u * u + 1) ELSE ((-0.75 * u + 3.75) * u - 6) * u + 3 END) AS w FROM (SELECT *, abs(t - k) AS u FROM t, (VALUES (-1), (0), (1), (2)) s(k)) GROUP BY ALL)
+    SELECT w.o AS y, x, z, round(sum(v * w) + 1e-9, 6) AS v FROM v JOIN w ON w.i = y GROUP BY ALL""")
+def q175_resampled_cubic(spark, d):
+    """Rows of ten brought to twenty-three with the cubic kernel, corners kept."""
+    v = voxels(spark, d).select("x", "y", "z", "v")
+    return resample.resampled(v, {"y": 10}, {"y": 23}, "cubic", corners=True).withColumn("v", F.round(F.col("v") + 1e-9, 6))
+
+
+@query(f"""WITH v AS (SELECT x, y, z, CAST(floor(v) AS BIGINT) % 256 AS v FROM ({VOXELS})), c AS (SELECT z, x // 5 AS tx, y // 5 AS ty, v AS bin, count(*) AS n FROM v GROUP BY ALL), a AS (SELECT z, tx, ty, sum(n) AS area FROM c GROUP BY ALL),
+    f AS (SELECT a.*, b.bin, coalesce(n, 0) AS n, greatest(floor(40 * area / 256), 1) AS most FROM a CROSS JOIN range(256) b(bin) LEFT JOIN c USING (z, tx, ty, bin)),
+    o AS (SELECT *, greatest(n - most, 0) AS over, sum(greatest(n - most, 0)) OVER (PARTITION BY z, tx, ty) AS spare FROM f),
+    l AS (SELECT *, least(round_even(sum(n - over + floor(spare / 256) + CASE WHEN spare % 256 > 0 AND bin % greatest(floor(256 / greatest(spare % 256, 1)), 1) = 0 AND bin / greatest(floor(256 / greatest(spare % 256, 1)), 1) < spare % 256 THEN 1 ELSE 0 END) OVER (PARTITION BY z, tx, ty ORDER BY bin) * 255.0 / area, 0), 255) AS level FROM o),
+    s AS (SELECT v.*, least(greatest(floor(x / 5 - 0.5) + i, 0), 1) AS tx, least(greatest(floor(y / 5 - 0.5) + j, 0), 1) AS ty, (CASE i WHEN 1 THEN x / 5 - 0.5 - floor(x / 5 - 0.5) ELSE 1 - (x / 5 - 0.5 - floor(x / 5 - 0.5)) END) * (CASE j WHEN 1 THEN y / 5 - 0.5 - floor(y / 5 - 0.5) ELSE 1 - (y / 5 - 0.5 - floor(y / 5 - 0.5)) END) AS w FROM v, range(2) p(i), range(2) q(j))
+    SELECT x, y, s.z, CAST(CASE WHEN v = 0 THEN 0 ELSE round_even(round(sum(level * w), 9), 0) END AS INTEGER) AS v FROM s JOIN l ON l.z = s.z AND l.tx = s.tx AND l.ty = s.ty AND l.bin = s.v GROUP BY x, y, s.z, v""")
+def q176_equalised_tiles(spark, d):
+    """Adaptive equalisation of every slice, two by two tiles."""
+    v = voxels(spark, d).select("x", "y", "z", (F.floor("v") % 256).alias("v"))
+    return resample.equalised_tiles(v, ["z"], (10, 10), (2, 2), 40.0)

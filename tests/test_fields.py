@@ -183,3 +183,126 @@ def test_contact_source_failed_writes_leave_nothing(spark, tmp_path):
         assert spark.read.format(ds.FORMAT).load(path).count() == 50
     assert not list((tmp_path / "layer" / "_temporary").glob("*")) or not list((tmp_path / "layer" / "_temporary").rglob("*.shard"))
     assert spark.read.format(ds.FORMAT).load(str(tmp_path / "none")).count() == 0
+
+
+def test_suppression_equals_a_walk_in_order(spark):
+    import random
+
+    from lattica.operators import matching
+
+    for seed in range(3):
+        r = random.Random(seed)
+        ids = r.sample(range(500), 80)
+        pairs = [tuple(r.sample(ids, 2)) for _ in range(110)] + [(ids[0], ids[0])]
+        kept = []
+        for i in sorted(ids):
+            if not any((i, k) in pairs or (k, i) in pairs for k in kept):
+                kept.append(i)
+        got = matching.suppressed(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(pairs, "a long, b long"))
+        assert sorted(x["id"] for x in got.collect()) == kept
+
+
+def brute_dedup(points, other, hit, radius):
+    near = lambda p, q: sum((a - b) ** 2 for a, b in zip(p[1:4], q[1:4])) ** 0.5 < radius
+    own = [p for p in sorted(points) if p[4]]
+    again = [p for p in own if p[0] not in hit and any(q[0] in hit and q[4] == p[4] and near(p, q) for q in own)]
+    kept, dup = [], 0
+    for p in own:
+        if p[0] in hit or p in again:
+            continue
+        if any(q[4] == p[4] and near(p, q) for q in kept):
+            dup += 1
+        else:
+            kept.append(p)
+    return len(again), dup
+
+
+def test_deduplicated_scores_equal_brute_force(spark):
+    from lattica.operators import matching
+
+    rng = np.random.default_rng(8)
+    a, b = ([(k * 100 + i, *map(float, rng.integers(0, 30, 3)), [0, 1, 2, None][int(rng.integers(0, 4))]) for i in range(90)] for k in (1, 2))
+    matches = [(100 + i, 200 + i, 0.0) for i in range(0, 90, 4)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, x double, y double, z double, key int")
+    got = matching.deduplicated_scores(frame(a), frame(b), spark.createDataFrame(matches, "a long, b long, dist double"), 7.0, ["x", "y", "z"], ["key"]).first()
+    tp2, fp2 = brute_dedup(a, b, {m[0] for m in matches}, 7.0)
+    fn1, fn2 = brute_dedup(b, a, {m[1] for m in matches}, 7.0)
+    assert (got["dup_tp"], got["dup_fp"], got["dup_fn_matched"], got["dup_fn_unmatched"]) == (tp2, fp2, fn1, fn2) and fp2 and fn2
+    tp = len(matches)
+    assert abs(got["precision"] - tp / (90 - tp2 - fp2)) < 1e-12 and abs(got["recall"] - tp / (90 - fn1 - fn2)) < 1e-12
+
+
+def test_matching_of_many_components_at_once(spark, monkeypatch):
+    from lattica.operators import matching
+
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(a), int(b) + int(a) // 10 * 10) for a, b in zip(rng.integers(0, 300, 900), rng.integers(0, 10, 900))})
+    cost = {p: float(c) for p, c in zip(pairs, rng.integers(1, 1000, len(pairs)))}
+    rows, cols = (np.unique([p[k] for p in pairs], return_inverse=True)[1] for k in (0, 1))
+    best = matching.assignment(rows, cols, np.array(list(cost.values())))
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in cost.items()], "a long, b long, dist double").repartition(3)
+    got = matching.matched(df).collect()
+    assert len(got) == len(best) == len({x["a"] for x in got}) == len({x["b"] for x in got})
+    assert abs(sum(x["dist"] for x in got) - np.array(list(cost.values()))[best].sum()) < 1e-6
+
+
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_batches_of_components_are_whole(size):
+    import pyarrow as pa
+
+    from lattica.operators import matching
+
+    rng = np.random.default_rng(10)
+    rows = sorted({(int(c), int(c * 5 + a), int(c * 5 + b), float(a + b)) for c, a, b in rng.integers(0, 5, (400, 3)) * [8, 1, 1] + [[int(k), 0, 0] for k in rng.integers(0, 8, 400)]})
+    whole = pa.Table.from_arrays([pa.array(x) for x in zip(*rows)], names=["component", "a", "b", "dist"])
+    want = pa.Table.from_batches(matching._solved(iter(whole.to_batches()))).num_rows
+    matching_held, matching.HELD_PAIRS = matching.HELD_PAIRS, 20
+    try:
+        got = pa.Table.from_batches(list(matching._solved(iter(whole.to_batches(max_chunksize=size)))))
+    finally:
+        matching.HELD_PAIRS = matching_held
+    assert got.num_rows == want == len(set(got.column(0).to_pylist()))
+
+
+def test_binary_points_in_hex(spark):
+    import struct
+
+    from pyspark.sql import functions as F
+
+    from lattica.functions import scalar
+
+    values = [0.0, -0.0, 1.0, -2.5, 1e308, 5e-324, -1.7e-310, 2.2250738585072014e-308, 123456.789, float("inf"), float("-inf"), 0.1]
+    texts = [struct.pack("<BIddd", 1, 0x80000001, v, -v, v / 3).hex() for v in values] + [struct.pack("<BIdd", 1, 1, v, 7.0).hex().upper() for v in values]
+    want = [[v, -v, v / 3] for v in values] + [[v, 7.0, 0.0] for v in values]
+    rows = [(i, t) for i, t in enumerate([*texts, "1 2 3", "zz", None, "01"])]
+    got = {r["i"]: r["p"] for r in spark.createDataFrame(rows, "i int, t string").select("i", scalar.any_point(F.col("t")).alias("p")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert [got[len(texts) + k] for k in range(4)] == [[1.0, 2.0, 3.0], None, None, None]
+
+
+@pytest.mark.parametrize(("mode", "corners"), [("linear", False), ("linear", True), ("cubic", False), ("cubic", True), ("area", False), ("nearest", False)])
+def test_resampling_keeps_constants_and_lines(spark, mode, corners):
+    from lattica.operators import resample
+
+    df = spark.createDataFrame([(x, c, 3.0 if c == 0 else float(x)) for x in range(12) for c in (0, 1)], "x long, c long, v double")
+    for wanted in (5, 12, 31):
+        got = {(r["c"], r["x"]): r["v"] for r in resample.resampled(df, {"x": 12}, {"x": wanted}, mode, corners).collect()}
+        assert len(got) == 2 * wanted and all(abs(got[0, o] - 3.0) < 1e-12 for o in range(wanted))
+        if (corners and mode == "linear") or wanted == 12:
+            assert all(abs(got[1, o] - o * 11 / (wanted - 1)) < 1e-9 for o in range(3, wanted - 3))
+
+
+def test_cubic_weights_equal_the_kernel(spark):
+    from lattica.operators import resample
+
+    a = resample.CUBIC
+    kernel = lambda t: (a + 2) * t**3 - (a + 3) * t**2 + 1 if t <= 1 else a * t**3 - 5 * a * t**2 + 8 * a * t - 4 * a
+    want = np.zeros((7, 10))
+    for o in range(7):
+        at = (o + 0.5) * 10 / 7 - 0.5
+        for i in range(int(np.floor(at)) - 1, int(np.floor(at)) + 3):
+            want[o, min(max(i, 0), 9)] += kernel(abs(at - i))
+    got = np.zeros((7, 10))
+    for r in resample.weights(spark, 10, 7, "cubic").collect():
+        got[r["o"], r["i"]] += r["w"]
+    assert np.allclose(got, want)
