@@ -9,6 +9,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def clause(name: str, values: Sequence) -> Column:
     """``-col``: the array holds any of the values; ``>col``: greater than any of them; else equal to any."""
@@ -93,6 +95,53 @@ def merged(df: DataFrame, changes: DataFrame, key: str, doc: str) -> DataFrame:
     return both.withColumn(doc, F.map_from_entries(entry)).drop("_new")
 
 
+def nested(leaves: DataFrame, key: str, path: str = "path", value: str = "value") -> DataFrame:
+    """(key, doc): documents as JSON text from rows of dotted paths of any depth, names in order.
+
+    A plain value that other paths of its document go through gives way to them; of equal paths the
+    largest value counts; values are kept as JSON strings.  Each level is one grouped step, the deepest first.
+    """
+    name = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    rows = checkpointed(leaves.groupBy(key, F.split(path, r"\.").alias("at")).agg(F.max(F.col(value).cast("string")).alias("v")).select(key, "at", F.coalesce(name("v"), F.lit("null")).alias("v")))
+    depth = rows.agg(F.max(F.size("at"))).first()[0] or 0
+    carried = None
+    for level in range(depth, 0, -1):
+        here = rows.where(F.size("at") == level)
+        if carried is not None:
+            here = here.join(carried.select(key, "at"), [key, "at"], "left_anti").select(key, "at", "v").unionByName(carried)
+        entry = F.struct(F.element_at("at", -1).alias("n"), F.concat(name(F.element_at("at", -1)), F.lit(":"), F.col("v")).alias("e"))
+        up = here.groupBy(key, F.slice("at", 1, F.lit(level - 1)).alias("at")).agg(F.sort_array(F.collect_list(entry)).alias("es"))
+        carried = up.select(key, "at", F.concat(F.lit("{"), F.array_join(F.transform("es", lambda x: x["e"]), ","), F.lit("}")).alias("v"))
+    return rows.select(key, F.lit("{}").alias("doc")).limit(0) if carried is None else carried.select(key, F.col("v").alias("doc"))
+
+
+def leaves(docs: DataFrame, key: str, doc: str = "doc") -> DataFrame:
+    """(key, path, value): the plain values of JSON documents under their dotted paths, level by level."""
+    found, now = None, docs.select(key, F.lit("").alias("path"), F.col(doc).alias("value")).where("value IS NOT NULL")
+    while True:
+        inner = checkpointed(now.select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("n", "value")).select(key, F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), "n").alias("path"), "value"))
+        is_map = F.coalesce(F.col("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull(), F.lit(False))
+        plain = inner.where(~is_map)
+        found = plain if found is None else found.unionByName(plain)
+        now = inner.where(is_map)
+        if now.isEmpty():
+            return found
+
+
+def merged_leaves(have: DataFrame, changes: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """Leaves (key, path, value) of documents after changes, at any depth.
+
+    A change replaces the leaf at its path, everything below it and any plain value above it; all else stays.
+    """
+    parts = F.split(path, r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    new = changes.select(key, F.explode(prefixes).alias("_p"), path)
+    at_or_below = have.withColumn("_p", F.explode(prefixes)).join(new.where(F.col("_p") == F.col(path)).select(key, "_p").distinct(), [key, "_p"], "left_semi").select(key, path).distinct()
+    above = new.select(key, F.col("_p").alias(path)).distinct()
+    kept = have.join(at_or_below, [key, path], "left_anti").join(above, [key, path], "left_anti")
+    return kept.select(key, path, "value").unionByName(changes.select(key, path, "value"))
+
+
 def layer_groups(groups: DataFrame, ids: Sequence | None = None, collections: Sequence | None = None) -> DataFrame:
     """Layer groups of collections if any are given, else those of the ids, else all."""
     if collections is not None:

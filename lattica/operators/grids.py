@@ -103,6 +103,43 @@ def blend(df: DataFrame, at: str, value: Column, kind: str, overlap: int) -> Dat
     return df.groupBy(at).agg(F.sum(blend_weight(kind, at, overlap) * value).alias("value"))
 
 
+def overlapped_on(df: DataFrame, axes: dict[str, tuple[int, int, int, int]]) -> DataFrame:
+    """Rows repeated for every chunk of a grid whose padded box holds them.
+
+    ``axes`` gives (size, overlap, start, stop) of each axis; a row gets c_<axis>, first_<axis>, last_<axis> and n_<axis>.
+    """
+    names = ("chunk", "first", "last", "n_chunks")
+    for a, (size, overlap, start, stop) in axes.items():
+        df = overlapped(df, a, size, overlap, start, stop).withColumnsRenamed({n: f"{s}_{a}" for n, s in zip(names, ("c", "first", "last", "n"))})
+    return df
+
+
+def weight_on(kind: str, axes: dict[str, tuple[int, int, int, int]], open_faces: Sequence[tuple[str, int]] = ()) -> Column:
+    """The product of the axes' weights of a row in its chunk: ramps over the overlaps, none at the ends of the region.
+
+    ``open_faces`` name ends of the region, (axis, -1 or 1), that get a ramp all the same.
+    """
+    weight = F.lit(1.0)
+    for a, (_, overlap, _, _) in axes.items():
+        if not overlap:
+            continue
+        x, c = F.col(a) + 0.5, F.col(f"c_{a}")
+        t_low, t_high = (x - (F.col(f"first_{a}") - overlap)) / (2 * overlap), (F.col(f"last_{a}") + overlap - x) / (2 * overlap)
+        ends = (F.lit(False) if (a, -1) in open_faces else c == 0, F.lit(False) if (a, 1) in open_faces else c == F.col(f"n_{a}") - 1)
+        for t, end in ((t_low, ends[0]), (t_high, ends[1])):
+            weight = weight * F.when(end | (t >= 1), F.lit(1.0)).otherwise(ramp(kind, t))
+    return weight
+
+
+def blend_on(df: DataFrame, axes: dict[str, tuple[int, int, int, int]], value: Column, kind: str, whole: bool = False, open_faces: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """Overlapping rows of a grid of chunks reduced to one for each place by a weighted sum, or the greatest for ``max``.
+
+    ``whole`` rounds half to even, as layers of whole values need it.
+    """
+    total = F.greatest(F.max(value), F.lit(0.0)) if kind == "max" else F.sum(weight_on(kind, axes, open_faces) * value)
+    return df.groupBy(*axes).agg((F.bround(F.round(total, 9), 0) if whole else total).alias("value"))
+
+
 def median_outliers(df: DataFrame, by: Sequence[str], value: str, sigmas: float) -> DataFrame:
     """Rows with their group's median, and the value replaced by it where it lies beyond ``sigmas`` normalised deviations."""
     median = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))

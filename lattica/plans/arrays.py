@@ -48,21 +48,22 @@ def q91_split_axis(spark, d):
     return shapes.split_axis(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey", ["a", "b", "c"], [n // 6 + 1, 3, 2])
 
 
-@query(f"SELECT 'sum' AS how, x, y, round(sum(label) + 1e-9, 6) AS v FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'mean', x, y, round(avg(label) + 1e-9, 6) FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'max', x, y, max(label) FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'min', x, y, min(label) FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'prod', x, y, CASE WHEN min(label) = 0 THEN 0 ELSE round(exp(sum(ln(greatest(label, 1)))), 0) END FROM ({VOXELS}) WHERE z < 6 GROUP BY ALL")
+@query(f"SELECT 'sum' AS how, x, y, round(sum(label) + 1e-9, 6) AS v FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'mean', x, y, round(avg(label) + 1e-9, 6) FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'max', x, y, max(label) FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'min', x, y, min(label) FROM ({VOXELS}) GROUP BY ALL UNION ALL SELECT 'prod', x, y, sum(CASE label WHEN 4 THEN 1 WHEN 3 THEN -1 ELSE 0 END) FROM ({VOXELS}) GROUP BY ALL")
 def q92_reduce(spark, d):
-    """Reductions over z."""
+    """Reductions over z; the product is one of halves and twos, given as its power of two."""
     v = voxels(spark, d).select("x", "y", "z", F.col("label").cast("double").alias("v"))
-    parts = [shapes.reduced(v if how != "prod" else v.where("z < 6"), ["x", "y"], how).withColumn("how", F.lit(how)) for how in ("sum", "mean", "max", "min", "prod")]
+    powers = v.withColumn("v", F.when(F.col("v") == 4, 2.0).when(F.col("v") == 3, 0.5).otherwise(1.0))
+    parts = [shapes.reduced(v if how != "prod" else powers, ["x", "y"], how).withColumn("how", F.lit(how)) for how in ("sum", "mean", "max", "min", "prod")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return _round(out, "v").withColumn("v", F.when(F.col("how") == "prod", F.round("v", 0)).otherwise(F.col("v")))
+    return _round(out.withColumn("v", F.when(F.col("how") == "prod", F.round(F.log2("v"), 0)).otherwise(F.col("v"))), "v").withColumn("v", F.when(F.col("how") == "prod", F.round("v", 0)).otherwise(F.col("v")))
 
 
-@query(f"SELECT x, y, z, c, v FROM ({VOXELS}), (SELECT unnest(generate_series(0, 2)) AS c) WHERE z = 1")
+@query(f"SELECT x, y, z, c, v FROM ({VOXELS}), (SELECT unnest(generate_series(0, 2)) AS c)")
 def q93_repeat(spark, d):
     """A new axis of three slices, on an array whose axis of one slice is dropped and put back."""
-    one = shapes.squeezed(voxels(spark, d).where("z = 1").select("x", "y", "z", "v", F.lit(0).alias("t")), "t")
+    one = shapes.squeezed(voxels(spark, d).select("x", "y", "z", "v", F.lit(0).alias("t")), "t")
     return shapes.repeated(one, "c", 3)
 
 
@@ -86,12 +87,12 @@ def q95_pad_centre(spark, d):
 
 
 @query(f"""WITH v AS ({VOXELS}), g AS (SELECT unnest(generate_series(0, 19)) AS i), s AS (SELECT i, greatest(least((i + 0.5) / 2 - 0.5, 9.0), 0.0) AS spot FROM g)
-SELECT 'nearest' AS mode, i AS x, y, z, v FROM g JOIN v ON v.x = i // 2 WHERE z < 3 UNION ALL SELECT 'field', i, y, z, 2 * v FROM g JOIN v ON v.x = i // 2 WHERE z < 3
-UNION ALL SELECT 'linear', i, y, z, round(sum(v * (1 - abs(spot - v.x))) + 1e-9, 6) FROM s JOIN v ON abs(spot - v.x) < 1 WHERE z < 3 AND y > 2 GROUP BY i, y, z UNION ALL SELECT 'mask', i, y, z, CASE WHEN sum(v * (1 - abs(spot - v.x))) > 1500 THEN 1 ELSE 0 END FROM s JOIN v ON abs(spot - v.x) < 1 WHERE z < 3 AND y > 2 GROUP BY i, y, z""")
+SELECT 'nearest' AS mode, i AS x, y, z, v FROM g JOIN v ON v.x = i // 2 UNION ALL SELECT 'field', i, y, z, 2 * v FROM g JOIN v ON v.x = i // 2
+UNION ALL SELECT 'linear', i, y, z, round(sum(v * (1 - abs(spot - v.x))) + 1e-9, 6) FROM s JOIN v ON abs(spot - v.x) < 1 GROUP BY i, y, z UNION ALL SELECT 'mask', i, y, z, CASE WHEN sum(v * (1 - abs(spot - v.x))) > 1500 THEN 1 ELSE 0 END FROM s JOIN v ON abs(spot - v.x) < 1 GROUP BY i, y, z""")
 def q96_interpolate(spark, d):
     """Upsampling by two along x: nearest, displacement, linear, and a mask of the linear one."""
-    v = voxels(spark, d).where("z < 3").select("x", "y", "z", "v")
-    linear = shapes.upsampled_linear(v.where("y > 2"), "x", 10, 2)
+    v = voxels(spark, d).select("x", "y", "z", "v")
+    linear = shapes.upsampled_linear(v, "x", 10, 2)
     parts = {"nearest": shapes.upsampled(v, ["x"], [2]), "field": shapes.upsampled(v, ["x"], [2], 2.0), "linear": _round(linear, "v"), "mask": shapes.thresholded(linear, 1500)}
     out = None
     for mode, one in parts.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import annotations, blocks, distance, matching, resample
+from ..operators import annotations, blocks, distance, docstore, grids, matching, resample
 from ..session import checkpointed
 from ..sources import datasource
 from ..streaming import ordered
@@ -161,3 +161,45 @@ def q176_equalised_tiles(spark, d):
     """Adaptive equalisation of every slice, two by two tiles."""
     v = voxels(spark, d).select("x", "y", "z", (F.floor("v") % 256).alias("v"))
     return resample.equalised_tiles(v, ["z"], (10, 10), (2, 2), 40.0)
+
+
+_T3 = {"x": (4, 1), "y": (5, 2), "z": (3, 1)}
+
+
+def _blend3_sql() -> str:
+    end = {"x": "10", "y": "10", "z": "(SELECT max(z) + 1 FROM v)"}
+    chunk = lambda a: f"{a}c AS (SELECT i AS c_{a}, i = 0 AS low_{a}, (i + 1) * {_T3[a][0]} >= {end[a]} AS high_{a} FROM generate_series(0, (SELECT max({a}) FROM v)) t(i) WHERE i * {_T3[a][0]} < {end[a]})"
+    t = {a: (f"(({a} + 0.5 - (c_{a} * {s} - {o})) / {2 * o})", f"((c_{a} * {s} + {s} + {o} - ({a} + 0.5)) / {2 * o})") for a, (s, o) in _T3.items()}
+    ramp = lambda u: f"(CASE WHEN {u} < 0.5 THEN 2 * {u} * {u} ELSE 1 - 2 * (1 - {u}) * (1 - {u}) END)"
+    weight = " * ".join(f"(CASE WHEN {side}_{a} OR {u} >= 1 THEN 1.0 ELSE {ramp(u)} END)" for a in _T3 for side, u in zip(("low", "high"), t[a]))
+    joins = " ".join(f"JOIN {a}c ON {a} >= c_{a} * {s} - {o} AND {a} < c_{a} * {s} + {s} + {o}" for a, (s, o) in _T3.items())
+    return f"WITH v AS ({VOXELS}), {', '.join(chunk(a) for a in _T3)}, w AS (SELECT x, y, z, sum({weight} * v * (1 + (c_x + c_y + c_z) % 2)) AS t FROM v {joins} GROUP BY ALL) SELECT x, y, z, CAST(round_even(round(t, 9), 0) AS BIGINT) AS value FROM w"
+
+
+@query(_blend3_sql())
+def q177_blend_three_axes(spark, d):
+    """Overlapping chunks of the volume blended along all axes, rounded half to even."""
+    v = voxels(spark, d)
+    top = v.agg(F.max("z")).first()[0]
+    axes = {a: (s, o, 0, 10 if a != "z" else (0 if top is None else top + 1)) for a, (s, o) in _T3.items()}
+    rows = grids.overlapped_on(v.select("x", "y", "z", "v"), axes)
+    out = grids.blend_on(rows, axes, F.col("v") * (1 + (F.col("c_x") + F.col("c_y") + F.col("c_z")) % 2), "quadratic", whole=True)
+    return out.withColumn("value", F.col("value").cast("long"))
+
+
+_DOCS = """e AS (SELECT user_id AS u, event_id AS k, event_type AS t FROM events),
+    have AS (SELECT u, t || '.p' || (k % 3) || '.q' || (k % 4) AS path, max(k) AS value FROM e GROUP BY ALL),
+    new AS (SELECT DISTINCT ON (u, path) * FROM (SELECT u, CASE WHEN u % 2 = 0 THEN t || '.p1' ELSE t || '.p2.q1.r' END AS path, max(k) AS value FROM e GROUP BY ALL))"""
+
+
+@query(f"""WITH {_DOCS}, kept AS (SELECT * FROM have h WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.u = h.u AND (n.path = h.path OR starts_with(h.path, n.path || '.') OR starts_with(n.path, h.path || '.'))))
+    SELECT u, path, CAST(value AS VARCHAR) AS value FROM kept UNION ALL SELECT u, path, CAST(value AS VARCHAR) FROM new""")
+def q178_deep_documents(spark, d):
+    """Nested documents made from dotted paths, taken apart again and merged with changes at other depths."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("k"), F.col("event_type").alias("t"))
+    place = F.concat("t", F.lit(".p"), F.col("k") % 3, F.lit(".q"), F.col("k") % 4)
+    have = docstore.leaves(docstore.nested(e.groupBy("u", place.alias("path")).agg(F.max("k").alias("value")), "u"), "u")
+    spot = F.when(F.col("u") % 2 == 0, F.concat("t", F.lit(".p1"))).otherwise(F.concat("t", F.lit(".p2.q1.r")))
+    new = e.groupBy("u", spot.alias("path")).agg(F.max("k").cast("string").alias("value"))
+    merged = docstore.merged_leaves(have, new, "u")
+    return docstore.leaves(docstore.nested(merged, "u"), "u")

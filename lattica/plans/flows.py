@@ -75,9 +75,23 @@ def q74_queue_upsert(spark, d):
     return edits.queue_latest(queue, updates).select("seed_id", "status", "retry_count")
 
 
-@query("SELECT x.i * 40 + 10 AS x0, x.i * 40 + 74 AS x1, y.i * 40 + 20 AS y0, y.i * 40 + 84 AS y1, z.i * 5 AS z0, z.i * 5 + 10 AS z1, z.i * 35 + y.i * 7 + x.i AS n FROM generate_series(0, 6) x(i), generate_series(0, 4) y(i), generate_series(0, 3) z(i)")
+@query("""WITH v AS (SELECT p_partkey % 10 AS x, (p_partkey // 10) % 10 AS y, p_partkey // 100 AS z, p_size % 5 AS label FROM part), m AS (SELECT min(x) AS ax, max(x) + 1 AS ex, min(y) AS ay, max(y) + 1 AS ey, min(z) AS az, max(z) + 1 AS ez FROM v),
+    g AS (SELECT ax + i * 2 AS x0, ay + j * 3 AS y0, az + k * 1 AS z0, k * ((ex - ax - 4) // 2 + 1) * ((ey - ay - 4) // 3 + 1) + j * ((ex - ax - 4) // 2 + 1) + i AS n FROM m, range(100) a(i), range(100) b(j), generate_series(0, (SELECT ez - az FROM m)) c(k) WHERE ax + i * 2 + 4 <= ex AND ay + j * 3 + 4 <= ey AND az + k + 2 <= ez)
+    SELECT g.n, g.x0, g.x0 + 4 AS x1, g.y0, g.y0 + 4 AS y1, g.z0, g.z0 + 2 AS z1, count(*) FILTER (WHERE label <> 0) AS n_voxels FROM g LEFT JOIN v ON v.z IN (g.z0, g.z0 + 1) AND v.x >= x0 AND v.x < x0 + 4 AND v.y >= y0 AND v.y < y0 + 4 GROUP BY ALL""")
 def q57_strided_dataset(spark, d):
-    return sampling.strided_boxes(spark, (10, 20, 0), (320, 250, 25), (64, 64, 10), (40, 40, 5))
+    """All boxes of four by four by two in the extent of the labelled volume, at a stride, with the labelled voxels of each."""
+    k = F.col("p_partkey")
+    v = table(spark, d, "part").select((k % 10).alias("x"), (F.floor(k / 10) % 10).alias("y"), F.floor(k / 100).alias("z"), (F.col("p_size") % 5).alias("label"))
+    m = v.agg(*[f(a) for a in "xyz" for f in (F.min, F.max)]).first()
+    start, stop = ([0 if x is None else x for x in (m[0], m[2], m[4])], [0 if x is None else x + 1 for x in (m[1], m[3], m[5])])
+    size, stride = (4, 4, 2), (2, 3, 1)
+    boxes = sampling.strided_boxes(spark, start, stop, size, stride)
+    inside = v.where("label <> 0")
+    for axis, a, s, t in zip("xyz", start, size, stride):  # every voxel names the boxes that hold it: as many as sizes are strides
+        first, last = F.ceil((F.col(axis) - a - s + 1) / t), F.floor((F.col(axis) - a) / t)
+        inside = inside.withColumn(f"{axis}0", F.explode(F.transform(F.sequence(F.greatest(first, F.lit(0)), last), lambda i: i * t + a)))
+    n = inside.groupBy("x0", "y0", "z0").agg(F.count("*").alias("n_voxels"))
+    return boxes.join(n, ["x0", "y0", "z0"], "left").select("n", "x0", "x1", "y0", "y1", "z0", "z1", F.coalesce("n_voxels", F.lit(0)).alias("n_voxels"))
 
 
 @query("SELECT r_regionkey + k * 5 AS n, r_name AS name FROM region, generate_series(0, 4) t(k) WHERE r_regionkey + k * 5 < 23")

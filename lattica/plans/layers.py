@@ -110,7 +110,7 @@ _NEAR = f"SELECT c.contact_id, c.segment_id, v.x, v.y, v.z, mx, my, mz FROM (SEL
 @query(f"SELECT contact_id, segment_id, coalesce(CAST(x AS DOUBLE), mx) AS x, coalesce(CAST(y AS DOUBLE), my) AS y, coalesce(CAST(z AS DOUBLE), mz) AS z FROM (SELECT *, row_number() OVER (PARTITION BY contact_id, segment_id ORDER BY (x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2, x, y, z) AS k FROM ({_NEAR})) WHERE k = 1".replace("coalesce(CAST(x AS DOUBLE), mx)", "round(coalesce(CAST(x AS DOUBLE), mx) + 1e-9, 6)").replace("coalesce(CAST(y AS DOUBLE), my)", "round(coalesce(CAST(y AS DOUBLE), my) + 1e-9, 6)").replace("coalesce(CAST(z AS DOUBLE), mz)", "round(coalesce(CAST(z AS DOUBLE), mz) + 1e-9, 6)"))
 def q128_representatives(spark, d):
     """For each side of a contact its segment's voxel nearest to the faces; the faces' mean where the segment has none."""
-    seen = voxels(spark, d).where("z < 3 or z >= 3").select(F.col("label").alias("segment_id"), "x", "y", "z")
+    seen = voxels(spark, d).select(F.col("label").alias("segment_id"), "x", "y", "z")
     f = _faces(spark, d)
     sides = f.select("contact_id", F.explode(F.array("seg_a", "seg_b")).alias("segment_id")).distinct()
     out = contact_tables.representatives(f, sides.join(seen, "segment_id"))
@@ -201,11 +201,10 @@ def q136_keyed_candidates(spark, d):
     return a.select("id").distinct().join(near.groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.round("dist", 6)).alias("nearest")), "id", "left").select("id", F.coalesce("n_near", F.lit(0)).alias("n_near"), "nearest")
 
 
-@query(f"WITH c AS (SELECT x, y, z, label FROM ({VOXELS}) WHERE label = 2 OR label = 3) SELECT z, label, bool_or(x = 0 OR x = 9 OR y = 0 OR y = 9) AS touches FROM c GROUP BY ALL")
+@query(f"WITH c AS (SELECT x, y, z, label FROM ({VOXELS})) SELECT z, label, bool_or(x = 0 OR x = 9 OR y = 0 OR y = 9) AS touches FROM c GROUP BY ALL")
 def q137_edge_touches(spark, d):
     """Labels of a plane that touch its border."""
-    own = voxels(spark, d).where("label in (2, 3)")
-    return shapes.touches_edge(own, ["z", "label"], {"x": 10, "y": 10})
+    return shapes.touches_edge(voxels(spark, d), ["z", "label"], {"x": 10, "y": 10})
 
 
 @query(f"SELECT x, y, z, CASE WHEN label IN (SELECT l_linenumber FROM lineitem WHERE l_linenumber % 2 = 1) THEN 0 ELSE label END AS label FROM ({VOXELS})")
@@ -237,12 +236,18 @@ def q141_boxes_at_points(spark, d):
     return p.select("vec_id", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
 
 
-@query("SELECT CAST(greatest(i * 16, 5) AS BIGINT) AS x0, CAST(least(i * 16 + 16, 61) AS BIGINT) AS x1, CAST(greatest(j * 8, 3) AS BIGINT) AS y0, CAST(least(j * 8 + 8, 20) AS BIGINT) AS y1, 4 * i + j AS place FROM (SELECT unnest(generate_series(0, 3)) AS i), (SELECT unnest(generate_series(0, 2)) AS j)")
+@query("""WITH m AS (SELECT CAST(floor(min(l_extendedprice)) AS BIGINT) AS x0, CAST(ceil(max(l_extendedprice)) AS BIGINT) AS x1, CAST(floor(min(l_quantity)) AS BIGINT) AS y0, CAST(ceil(max(l_quantity)) AS BIGINT) AS y1 FROM lineitem),
+    c AS (SELECT unnest(generate_series(x0 // 500, CAST(ceil(x1 / 500) AS BIGINT) - 1)) AS i, m.* FROM m), g AS (SELECT *, unnest(generate_series(y0 // 8, CAST(ceil(y1 / 8) AS BIGINT) - 1)) AS j FROM c),
+    n AS (SELECT CAST(floor(l_extendedprice / 500) AS BIGINT) AS i, CAST(floor(l_quantity / 8) AS BIGINT) AS j, count(*) AS n FROM lineitem GROUP BY ALL)
+    SELECT greatest(g.i * 500, x0) AS x0, least(g.i * 500 + 500, x1) AS x1, greatest(g.j * 8, y0) AS y0, least(g.j * 8 + 8, y1) AS y1, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (i, j)""")
 def q142_contact_chunks(spark, d):
-    """Cells of a contact layer clipped to a box, in order."""
-    c = boxes.exact_chunks(spark, (5, 3), (61, 20), (16, 8))
-    place = F.floor(F.col("x0") / 16) * 4 + F.floor(F.col("y0") / 8)
-    return c.select(*(F.col(n).cast("long").alias(n) for n in ("x0", "x1", "y0", "y1")), place.alias("place"))
+    """Cells of a contact layer clipped to the extent of its contacts, with the contacts of each."""
+    li = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    m = li.agg(F.floor(F.min("x")), F.ceil(F.max("x")), F.floor(F.min("y")), F.ceil(F.max("y"))).first()
+    c = boxes.exact_chunks(spark, (m[0], m[2]), (m[1], m[3]), (500, 8)) if m[0] is not None else boxes.exact_chunks(spark, (0, 0), (0, 0), (500, 8))
+    cell = lambda a, s: F.floor(F.col(a) / s)
+    n = li.groupBy(cell("x", 500).alias("i"), cell("y", 8).alias("j")).agg(F.count("*").alias("n"))
+    return c.withColumns({"i": cell("x0", 500), "j": cell("y0", 8)}).join(n, ["i", "j"], "left").select(*(F.col(k).cast("long").alias(k) for k in ("x0", "x1", "y0", "y1")), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"WITH v AS ({VOXELS}) SELECT a.x, a.y, a.z, b.label AS other, CAST(abs(a.x - b.x) + abs(a.y - b.y) AS BIGINT) AS distance FROM v a JOIN v b ON a.z = b.z AND a.label <> 0 AND b.label <> 0 AND a.label <> b.label AND abs(a.x - b.x) + abs(a.y - b.y) <= 2 QUALIFY row_number() OVER (PARTITION BY a.x, a.y, a.z ORDER BY abs(a.x - b.x) + abs(a.y - b.y), b.y, b.x) = 1")

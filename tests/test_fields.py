@@ -306,3 +306,20 @@ def test_cubic_weights_equal_the_kernel(spark):
     for r in resample.weights(spark, 10, 7, "cubic").collect():
         got[r["o"], r["i"]] += r["w"]
     assert np.allclose(got, want)
+
+
+def test_nested_documents_of_any_depth(spark):
+    import json
+
+    from lattica.operators import docstore
+
+    rows = [(1, "a.b.c.d", "x"), (1, "a.b.e", 'quo"te\n'), (1, "a", "gone"), (1, "z", "1"), (2, "only", None), (2, "[odd].n", "y"), (3, "a.b", "u"), (3, "a.b", "v")]
+    docs = docstore.nested(spark.createDataFrame(rows, "id long, path string, value string"), "id")
+    got = {r["id"]: json.loads(r["doc"]) for r in docs.collect()}
+    assert got == {1: {"a": {"b": {"c": {"d": "x"}, "e": 'quo"te\n'}}, "z": "1"}, 2: {"only": None, "[odd]": {"n": "y"}}, 3: {"a": {"b": "v"}}}
+    flat = {(r["id"], r["path"], r["value"]) for r in docstore.leaves(docs, "id").collect()}
+    assert flat == {(1, "a.b.c.d", "x"), (1, "a.b.e", 'quo"te\n'), (1, "z", "1"), (2, "only", None), (2, "[odd].n", "y"), (3, "a.b", "v")}
+    change = spark.createDataFrame([(1, "a.b", "flat"), (1, "z.deep", "w"), (9, "new", "n")], "id long, path string, value string")
+    merged = {(r["id"], r["path"], r["value"]) for r in docstore.merged_leaves(docstore.leaves(docs, "id"), change, "id").collect()}
+    assert merged == {(1, "a.b", "flat"), (1, "z.deep", "w"), (2, "only", None), (2, "[odd].n", "y"), (3, "a.b", "v"), (9, "new", "n")}
+    assert docstore.nested(spark.createDataFrame([], "id long, path string, value string"), "id").collect() == []
