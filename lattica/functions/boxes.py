@@ -174,3 +174,19 @@ def index_of(request, resolution: Sequence[float] = (1, 1, 1)) -> dict:
     if len(request) != len(resolution):
         raise ValueError(f"{len(resolution)} slices are needed")
     return {"box": from_slices(request, resolution), "resolution": tuple(resolution)}
+
+
+def scaled_index(start: Sequence, stop: Sequence, factors: Sequence[float], allow_rounding: bool = False) -> list[tuple[Column, Column]]:
+    """(start, stop) of each axis in voxels ``factors`` times as large.
+
+    A box that does not end on whole new voxels raises on the executors, or is rounded (half to even) if that is allowed.
+    """
+    out = []
+    for a, b, f in zip(_lits(start), _lits(stop), factors):
+        ends = []
+        for end in (a, b):
+            new = F.round(end / F.lit(float(f)), DIGITS)
+            whole = F.bround(new, 0)
+            ends.append((whole if allow_rounding else F.when(new == whole, whole).otherwise(F.raise_error("the box is not whole at the new resolution").cast("double"))).cast("long"))
+        out.append(tuple(ends))
+    return out

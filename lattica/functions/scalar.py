@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -129,3 +130,13 @@ def resolution_key(*axes: Column) -> Column:
 def chain(df: DataFrame, *steps) -> DataFrame:
     """Steps (DataFrame -> DataFrame) applied in order."""
     return reduce(lambda d, step: d.transform(step), steps, df)
+
+
+def reprefixed(name: Column, prefix: str) -> Column:
+    """An id whose leading letters up to ``_r`` give way to another prefix; others stay."""
+    return F.regexp_replace(name, "^[a-zA-Z_]+_r", f"{prefix}_r")
+
+
+def skip_empty(df: DataFrame, fn: Callable[[DataFrame], DataFrame], column: str = "v") -> DataFrame:
+    """``fn`` of an array in long form, or the array itself if it has no value other than zero: one look for a single row."""
+    return df if df.where(F.col(column) != 0).isEmpty() else fn(df)

@@ -88,3 +88,19 @@ def equalised_tiles(df: DataFrame, by: Sequence[str], size: tuple[int, int], til
     rest = [c for c in df.columns if c != column]
     blended = seen.join(tables, [*by, "tx", "ty", "bin"]).groupBy(*rest, "bin").agg(F.bround(F.round(F.sum(F.col("level") * F.col("w")), 9), 0).alias("level"))
     return blended.select(*rest, F.when(F.col("bin") == 0, 0).otherwise(F.col("level")).cast("int").alias(column))
+
+
+def at_resolution(df: DataFrame, sizes: dict[str, int], have: dict[str, float], want: dict[str, float], mode: str = "linear", threshold: float | None = None, column: str = "v") -> DataFrame:
+    """An array read at resolution ``have``, brought to resolution ``want``; with a threshold as a mask of zeros and ones.
+
+    New sizes must be whole.
+    """
+    wanted = {}
+    for a, n in sizes.items():
+        new = n * have[a] / want[a]
+        if abs(new - round(new)) > 1e-6 or round(new) < 1:
+            raise ValueError(f"{a} has {new} positions at the wanted resolution")
+        if round(new) != n:
+            wanted[a] = round(new)
+    out = resampled(df, sizes, wanted, mode, column=column) if wanted else df
+    return out if threshold is None else out.withColumn(column, (F.col(column) > threshold).cast("int"))

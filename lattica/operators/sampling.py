@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.spatial import cells_of
+
 
 def strided_boxes(spark: SparkSession, start: Sequence[int], stop: Sequence[int], size: Sequence[int], stride: Sequence[int]) -> DataFrame:
     """(n, x0, x1, ...): all boxes of a size that lie in a region, at a stride; x fastest."""
@@ -68,6 +70,32 @@ def hierarchical(df: DataFrame, key: str, levels: int, per_level: float, seed: i
     return df.withColumn("level", level)
 
 
+def subdivided(df: DataFrame, id_col: str, bounds: Sequence[tuple[str, str]], sizes: Sequence[Sequence[float]], rates: Sequence[float], seed: int) -> DataFrame:
+    """Rows dealt over the levels of a spatial index, cell by cell: level, cx, cy, cz, then the row.
+
+    On each level a cell shows its rows at the level's rate and pushes every other one to those
+    of its child cells that the row's closed box touches; the last level shows all.  A row that
+    several cells hold is drawn in each by itself.  Sizes divide each other; draws come from
+    the MD5 of seed, id, level and cell.  One pass for each level, no cell is collected.
+    """
+    names = ("cx", "cy", "cz")
+    if len(rates) != len(sizes):
+        raise ValueError("a rate for each level is needed")
+    out, now = None, cells_of(df, bounds, sizes[0], names)
+    for level, (size, rate) in enumerate(zip(sizes, rates)):
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col), F.lit(str(level)), *names)), 1, 8), 16, 10).cast("long")
+        shown = F.lit(True) if level == len(sizes) - 1 else draw < F.lit(int(rate * (1 << 32)))
+        part = now.where(shown).withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+        if level + 1 < len(sizes):
+            inner = ("_cx", "_cy", "_cz")
+            pushed = cells_of(now.where(~shown), bounds, sizes[level + 1], inner)
+            for outer, c, parent, child in zip(names, inner, size, sizes[level + 1]):
+                pushed = pushed.where(F.floor(F.col(c) * child / parent) == F.col(outer))
+            now = pushed.drop(*names).withColumnsRenamed(dict(zip(inner, names)))
+    return out.select("level", *names, *df.columns)
+
+
 def zipped(left: DataFrame, right: DataFrame, left_order: Column, right_order: Column, by: Sequence[str] = ()) -> DataFrame:
     """Rows of two datasets side by side by their position within each group, up to the shorter."""
     a = left.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(left_order)))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from ..operators import annotations, blocks, distance, docstore, grids, matching, resample
+from ..functions import scalar
+from ..operators import annotations, blocks, distance, docstore, grids, matching, resample, sampling
 from ..session import checkpointed
-from ..sources import datasource
+from ..sources import chunked, datasource
 from ..streaming import ordered
 from .flows import scratch, stream_of
 from .layers import _LINES as LINES
+from .layers import _lines as layer_lines
 from .layers import _stored as stored
 from .volume import VOXELS, voxels
 
@@ -203,3 +205,52 @@ def q178_deep_documents(spark, d):
     new = e.groupBy("u", spot.alias("path")).agg(F.max("k").cast("string").alias("value"))
     merged = docstore.merged_leaves(have, new, "u")
     return docstore.leaves(docstore.nested(merged, "u"), "u")
+
+
+def _subdivided_sql() -> str:
+    draw = lambda k: f"('0x' || substr(md5('7:' || id || ':{k}:' || cx || ':' || cy || ':0'), 1, 8))::BIGINT"
+    cells = lambda sx, sy, n, of: f"SELECT t.id, x0, x1, y0, y1, a.i AS cx, b.i AS cy{n} FROM {of} t, LATERAL (SELECT unnest(generate_series(CAST(floor(x0 / {sx}) AS BIGINT), CAST(floor(x1 / {sx}) AS BIGINT))) AS i) a, LATERAL (SELECT unnest(generate_series(CAST(floor(y0 / {sy}) AS BIGINT), CAST(floor(y1 / {sy}) AS BIGINT))) AS i) b"
+    return f"""WITH l AS ({LINES}), a AS ({cells(64, 32, '', 'l')}), a1 AS (SELECT *, {draw(0)} < {int(0.2 * (1 << 32))} AS shown FROM a),
+        b AS (SELECT id, x0, x1, y0, y1, cx, cy FROM ({cells(16, 8, ', t.cx AS px, t.cy AS py', '(SELECT * FROM a1 WHERE NOT shown)')}) WHERE floor(cx / 4) = px AND floor(cy / 4) = py), b1 AS (SELECT *, {draw(1)} < {int(0.5 * (1 << 32))} AS shown FROM b),
+        c AS (SELECT id, x0, x1, y0, y1, cx, cy FROM ({cells(4, 2, ', t.cx AS px, t.cy AS py', '(SELECT * FROM b1 WHERE NOT shown)')}) WHERE floor(cx / 4) = px AND floor(cy / 4) = py)
+        SELECT 0 AS level, cx, cy, id FROM a1 WHERE shown UNION ALL SELECT 1, cx, cy, id FROM b1 WHERE shown UNION ALL SELECT 2, cx, cy, id FROM c"""
+
+
+@query(_subdivided_sql())
+def q179_subdivided(spark, d):
+    """Annotations dealt over three levels, each cell at its level's rate."""
+    rows = layer_lines(spark, d).groupBy("id").agg(F.min(F.struct("x0", "x1", "y0", "y1")).alias("r")).select("id", "r.*").withColumns({"z0": F.lit(0.0), "z1": F.lit(0.0)})
+    out = sampling.subdivided(rows, "id", [("x0", "x1"), ("y0", "y1"), ("z0", "z1")], [(64, 32, 1), (16, 8, 1), (4, 2, 1)], [0.2, 0.5, 1.0], 7)
+    return out.select("level", "cx", "cy", "id")
+
+
+@query("SELECT p_partkey, regexp_replace('part_x_r' || p_partkey || '_p' || p_size, '^[a-zA-Z_]+_r', 'net_r') AS id, regexp_replace(CAST(p_partkey AS VARCHAR) || '_r', '^[a-zA-Z_]+_r', 'net_r') AS other FROM part")
+def q180_reprefixed_ids(spark, d):
+    p = table(spark, d, "part")
+    name = F.concat(F.lit("part_x_r"), F.col("p_partkey"), F.lit("_p"), F.col("p_size"))
+    return p.select("p_partkey", scalar.reprefixed(name, "net").alias("id"), scalar.reprefixed(F.concat(F.col("p_partkey"), F.lit("_r")), "net").alias("other"))
+
+
+@query("""SELECT 'csv' AS format, CAST(c_custkey AS VARCHAR) || ',' || c_name AS line FROM customer UNION ALL SELECT 'json', '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' FROM customer""")
+def q181_serialised_rows(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    csv, json = (chunked.serialised(c, fmt).select(F.lit(fmt).alias("format"), "line") for fmt in ("csv", "json"))
+    return csv.unionByName(json)
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (floor(l_quantity / 16) = 1 AND floor(round(l_discount * 100, 0) / 4) = 1 AND floor(round(l_tax * 100, 0) / 4) = 0)")
+def q182_deleted_chunk(spark, d):
+    """A layer of which one chunk has been deleted."""
+    root = scratch(spark)
+    chunked.write_info(spark, root, chunked.LayerInfo((1.0, 1.0, 1.0), (0, 0, 0), (64, 16, 16), (16, 4, 4), "l_orderkey long, l_linenumber int, x double, y double, z double"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100, 0).alias("y"), F.round(F.col("l_tax") * 100, 0).alias("z"))
+    chunked.write_rows(rows, root, ["x", "y", "z"])
+    chunked.delete_chunks(spark, root, [(1, 1, 0), (99, 0, 0)])
+    return chunked.read_box(spark, root, ["x", "y", "z"], (0, 0, 0), (64, 16, 16)).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH v AS ({VOXELS}) SELECT x // 2 AS x, y // 2 AS y, z, CASE WHEN sum(v) / 4 > 1200 THEN 1 ELSE 0 END AS v FROM v GROUP BY ALL")
+def q183_data_resolution(spark, d):
+    """Slices read at one resolution and given as a mask at half of it."""
+    v = voxels(spark, d).select("x", "y", "z", "v")
+    return resample.at_resolution(v, {"x": 10, "y": 10}, {"x": 4.0, "y": 4.0}, {"x": 8.0, "y": 8.0}, "area", 1200)

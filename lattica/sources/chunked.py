@@ -104,3 +104,30 @@ def read_text_table(spark: SparkSession, path: str, schema: str, fmt: str) -> Da
     df = raw.option("header", True).csv(path) if fmt == "csv" else raw.option("primitivesAsString", True).json(path)
     types = spark.createDataFrame([], schema).schema
     return df.select(*[F.col(f.name).try_cast(f.dataType.simpleString()).alias(f.name) for f in types.fields])
+
+
+def delete_chunks(spark: SparkSession, root: str, chunks: Sequence[Sequence[int]]) -> int:
+    """Removes the given chunks (cx, cy, cz) and says how many there were; rows of others stay."""
+    found = 0
+    for cx, cy, cz in chunks:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/data/cx={cx}/cy={cy}/cz={cz}")
+        found += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return found
+
+
+def serialised(df: DataFrame, fmt: str) -> DataFrame:
+    """Every row as one text (column ``line``): csv fields or a json record, in the order of the columns; nulls are empty or left out."""
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"no text format {fmt}")
+    return df.select((F.to_csv if fmt == "csv" else F.to_json)(F.struct(*df.columns)).alias("line"))
+
+
+def write_text_table(df: DataFrame, path: str, fmt: str) -> None:
+    """Rows as csv files with a header, or as json records."""
+    writer = df.write.mode("overwrite")
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
+    elif fmt == "json":
+        writer.json(path)
+    else:
+        raise ValueError(f"no text format {fmt}")

@@ -323,3 +323,35 @@ def test_nested_documents_of_any_depth(spark):
     merged = {(r["id"], r["path"], r["value"]) for r in docstore.merged_leaves(docstore.leaves(docs, "id"), change, "id").collect()}
     assert merged == {(1, "a.b", "flat"), (1, "z.deep", "w"), (2, "only", None), (2, "[odd].n", "y"), (3, "a.b", "v"), (9, "new", "n")}
     assert docstore.nested(spark.createDataFrame([], "id long, path string, value string"), "id").collect() == []
+
+
+def test_scaled_boxes_and_guards(spark):
+    from pyspark.sql import functions as F
+
+    from lattica.functions import boxes, scalar
+    from lattica.operators import resample
+    from lattica.sources import chunked
+
+    df = spark.createDataFrame([(4, 8), (5, 8)], "a int, b int")
+    rounded = boxes.scaled_index([F.col("a")], [F.col("b")], [2.0], allow_rounding=True)[0]
+    assert [tuple(r) for r in df.select(*rounded).collect()] == [(2, 4), (2, 4)]
+    exact = boxes.scaled_index([F.col("a")], [F.col("b")], [2.0])[0]
+    assert tuple(df.where("a = 4").select(*exact).first()) == (2, 4)
+    with pytest.raises(Exception, match="not whole"):
+        df.select(*exact).collect()
+    zeros = spark.createDataFrame([(0, 0.0), (1, 0.0)], "x long, v double")
+    assert scalar.skip_empty(zeros, lambda d: d.withColumn("v", F.lit(9.0))).agg(F.max("v")).first()[0] == 0
+    assert scalar.skip_empty(zeros.withColumn("v", F.col("x") * 1.0), lambda d: d.withColumn("v", F.lit(9.0))).agg(F.max("v")).first()[0] == 9
+    with pytest.raises(ValueError):
+        resample.at_resolution(zeros, {"x": 3}, {"x": 4.0}, {"x": 8.0})
+    with pytest.raises(ValueError):
+        chunked.serialised(zeros, "xml")
+
+
+def test_text_tables_round_trip(spark, tmp_path):
+    from lattica.sources import chunked
+
+    df = spark.createDataFrame([(2**60 + 1, "a,b"), (-5, 'q"uote')], "id long, name string")
+    for fmt in ("csv", "json"):
+        chunked.write_text_table(df, str(tmp_path / fmt), fmt)
+        assert sorted(map(tuple, chunked.read_text_table(spark, str(tmp_path / fmt), "id long, name string", fmt).collect())) == sorted(map(tuple, df.collect()))
