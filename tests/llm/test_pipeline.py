@@ -38,7 +38,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in now.collect()} == {d: len(coder.encode(r.text)) // 4 for d, r in texts.items()}
     whole = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == ids[4]
-    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def awkward(i):
