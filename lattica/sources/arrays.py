@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
+
 AXES = ("x", "y", "z")
 CELLS = ("cx", "cy", "cz")
 
@@ -39,6 +41,41 @@ def write_array(df: DataFrame, path: str, chunk: Sequence[int], value: str = "v"
     rows.repartitionByRange(*CELLS).write.mode("append").parquet(path)
 
 
+def commit_chunks(df: DataFrame, path: str, chunk: Sequence[int], value: str = "v", bounds: Sequence[tuple[int, int]] | None = None, fill: float = 0, delete_empty: bool = False, unsigned: bool = False, base: int | None = None) -> int:
+    """Writes chunks as one commit of a layer with versions (see ``commits``) and gives its number.
+
+    ``delete_empty`` deletes chunks that hold nothing but ``fill``; ``unsigned`` raises on a negative value.
+    """
+    spark = df.sparkSession
+    base = commits.latest(spark, path) if base is None else base
+    if unsigned:
+        df = df.withColumn(value, F.when(F.col(value) < 0, F.raise_error(F.lit("negative value in an unsigned layer")).cast(df.schema[value].dataType)).otherwise(F.col(value)))
+    rows = chunked(df, chunk, value, fill, bounds)
+    kept = rows.where(F.exists("data", lambda v: v != fill)) if delete_empty else rows
+    touched = rows.select(*CELLS) if base else None
+    return commits.commit(spark, path, {"chunks": kept}, CELLS, touched, base)
+
+
+def delete_chunks(spark: SparkSession, path: str, cells: DataFrame, base: int | None = None) -> int:
+    """Deletes the chunks of given numbers (cx, cy, cz) in one commit; chunks that are not there are no error."""
+    base = commits.latest(spark, path) if base is None else base
+    none = commits.read(spark, path, "chunks", CELLS, base).where("false")
+    return commits.commit(spark, path, {"chunks": none}, CELLS, cells.select(*[F.col(c).cast("long") for c in CELLS]), base)
+
+
+def compact_chunks(spark: SparkSession, path: str) -> int:
+    """Writes the newest version as a whole one, so that reads join nothing; gives its number."""
+    return commits.compacted(spark, path, ["chunks"], CELLS)
+
+
+def version_chunks(spark: SparkSession, path: str, version: int | None = None, box: Sequence[tuple[int, int]] | None = None, chunk: Sequence[int] | None = None) -> DataFrame:
+    """The chunks of a version, those that a box touches where one is given."""
+    df = commits.read(spark, path, "chunks", CELLS, version)
+    for n, (lo, hi), c in zip(CELLS, box or (), chunk or ()):
+        df = df.where((F.col(n) >= math.floor(lo / c)) & (F.col(n) <= math.floor((hi - 1) / c)))
+    return df
+
+
 def read_chunks(spark: SparkSession, path: str, box: Sequence[tuple[int, int]], chunk: Sequence[int]) -> DataFrame:
     """The newest version of each chunk that a box touches."""
     df = spark.read.parquet(path)

@@ -8,9 +8,9 @@ import pandas as pd
 import pytest
 
 from lattica.catalog import TABLES
-from lattica.plans import annotated, arrays, fields, flows, layers, relational, taskdb, training, volume
+from lattica.plans import annotated, arrays, fields, flows, layers, relational, taskdb, training, versions, volume
 
-PLANS = (volume, relational, annotated, flows, arrays, layers, taskdb, training, fields)
+PLANS = (volume, relational, annotated, flows, arrays, layers, taskdb, training, fields, versions)
 QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
