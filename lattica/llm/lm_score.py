@@ -418,20 +418,15 @@ def _absolute(steps: np.ndarray, tops: np.ndarray) -> np.ndarray:
 
 
 def _deal(word_shards: int, shards: int, n: int, v: int):
-    """Chunks with their words' counts and numbers -> a row of sums for each chunk, and blobs of triples for the shards."""
+    """Chunks with their words' counts and numbers -> blobs of triples for the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 0):
             chunk = rows[0]["chunk"]
-            sizes, train, counts, grams = _chunk_of(rows, word_shards)
-            log_p = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
-            firsts = np.cumsum(sizes) - sizes
-            base = np.add.reduceat(log_p[grams.tokens], firsts)
-            known = np.add.reduceat((counts[grams.tokens] > 0).astype(np.int64), firsts)
-            m, numbers = len(grams.order), grams.numbers.astype(np.int64)
+            _, _, counts, grams = _chunk_of(rows, word_shards)
+            numbers = grams.numbers.astype(np.int64)
             first = np.searchsorted(grams.of, np.arange(len(grams.pair) + 1))
             uses = np.diff(first)
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - chunk]), pa.array([chunk]), *(pa.array([b], pa.binary()) for b in (_pack(known.astype("<u4")), _pack(grams.order.astype("<u4")), _pack(counts[:m].astype("<u8")), _pack(np.diff(numbers[:m], prepend=0).astype("<u8")), _pack(base)))], names=_DEALT)
             for s, own in _by_shard(grams.shard(counts, shards, n), shards):
                 one, two = grams.pair[own] >> 32, grams.pair[own] & 0xFFFFFFFF
                 tops = _tops(one)
@@ -441,14 +436,13 @@ def _deal(word_shards: int, shards: int, n: int, v: int):
                 seconds = np.concatenate([_relative(numbers[two], tops), below])
                 thirds = _relative(numbers[grams.third[entry]], np.cumsum(below) - below)
                 blobs = [_pack(x.astype("<u8")) for x in (heads, seconds, thirds)] + [_pack(grams.learnt[entry])]
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([chunk]), *(pa.array([b], pa.binary()) for b in blobs), pa.array([b""], pa.binary())], names=_DEALT)
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([chunk]), *(pa.array([b], pa.binary()) for b in blobs)], names=_DEALT)
 
     return run
 
 
-#: Columns of what is dealt.  A chunk's own row (its shard is negative) has known words, order, counts and numbers of its
-#: words and base scores in the last five; what shards return has the codes of pairs and of triples in the first two of them.
-_DEALT = ["shard", "chunk", "firsts", "seconds", "thirds", "learnt", "sums"]
+#: Columns of what is dealt.
+_DEALT = ["shard", "chunk", "firsts", "seconds", "thirds", "learnt"]
 
 
 class _Shard:
@@ -491,60 +485,49 @@ class _Shard:
 
 
 def _score_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All triples of one shard -> for each chunk the shares of its pairs and triples; the chunks' own rows pass."""
+    """All triples of one shard -> for each chunk the shares of its pairs and triples."""
     for rows in _grouped(batches, 0):
-        shard = rows[0]["shard"]
-        if shard < 0:
-            blobs = [[r[c] for c in _DEALT[2:]] for r in rows]
-        else:
-            blobs = [[_pack(x), _pack(y), b"", b"", b""] for x, y in _Shard(rows).answers()]
-        n = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([int(shard >= 0)] * n, pa.int32()), pa.array([shard] * n, pa.int64()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(5))], names=["chunk", "kind", "shard", *_DEALT[2:]])
+        blobs = [[_pack(x), _pack(y)] for x, y in _Shard(rows).answers()]
+        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([rows[0]["shard"]] * len(rows), pa.int64()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(2))], names=["chunk", "shard", "pairs", "triples"])
 
 
 def _shard_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _grouped(batches, 0):
-        if rows[0]["shard"] >= 0:
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["shard"]]), pa.array([_Shard(rows).trie.tobytes()], pa.binary())], names=["shard", "trie"])
-
-
-def _documents(shards: int, n: int, v: int, id_type: pa.DataType):
-    """A chunk, its sums and the shares of its pairs and triples, in the order of their shards -> its documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, 0):
-            head = rows[0]
-            words = _unpack(head["words"], "<u8")
-            sizes, train = _unpack(head["sizes"], "<u4").astype(np.int64), _unpack(head["train"], "u1")
-            docs, m = len(sizes), len(words)
-            known, order, counts, in_order, base = (_unpack(rows[1][c], t) for c, t in zip(_DEALT[2:], ("<u4", "<u4", "<u8", "<u8", "<f8")))
-            numbers = np.empty(m, np.uint64)
-            numbers[order] = np.cumsum(in_order)
-            grams = _Grams(_unpack_tokens(head["tokens"], m), sizes, numbers, int(np.searchsorted(words, END)), train)
-            counts = grams.counts(counts.astype(np.int64))
-            first = np.searchsorted(grams.of, np.arange(len(grams.pair) + 1))
-            two, three = np.empty(len(grams.pair), "<u2"), np.empty(len(grams.of), "<u2")
-            for (_, own), r in zip(_by_shard(grams.shard(counts, shards, n), shards), rows[2:]):
-                two[own] = _unpack(r["firsts"], "<u2")
-                three[_spread(first[own], np.diff(first)[own])] = _unpack(r["seconds"], "<u2")
-            p_word = (counts + 0.1) / (n + 0.1 * (v + 1))
-            one, word = grams.pair >> 32, grams.pair & 0xFFFFFFFF
-            share = np.where(two < _STEPS, 10.0 ** restored(two), 0)
-            p_pair = share + MU / (counts[one] + MU) * p_word[word]
-            pair_count = share * (counts[one] + MU)
-            real = np.flatnonzero(grams.third < m)
-            of, third = grams.of[real], grams.third[real]
-            backed = p_pair[np.searchsorted(grams.pair, word[of] << 32 | third)]
-            logs = np.zeros(len(grams.of))
-            logs[real] = np.log10(np.where(three[real] < _STEPS, 10.0 ** restored(three[real]), 0) + MU3 / (pair_count[of] + MU3) * backed)
-            score = np.bincount(np.repeat(np.arange(docs), sizes), weights=logs[grams.at], minlength=docs)
-            yield pa.RecordBatch.from_arrays([pa.array(head["ids"], id_type), pa.array(train == 0), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(docs, n)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0]["shard"]]), pa.array([_Shard(rows).trie.tobytes()], pa.binary())], names=["shard", "trie"])
+
+
+def _documents(word_shards: int, shards: int, n: int, v: int, id_type: pa.DataType):
+    """A chunk with its words' counts and numbers, and the shares of its pairs and triples -> its documents."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        own = sorted(chunk.to_pylist(), key=lambda r: r["part"])
+        sizes, train, counts, grams = _chunk_of(own, word_shards)
+        docs, m, starts = len(sizes), len(grams.order), np.cumsum(sizes) - sizes
+        base = np.add.reduceat(np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))[grams.tokens], starts)
+        known = np.add.reduceat((counts[grams.tokens] > 0).astype(np.int64), starts)
+        first = np.searchsorted(grams.of, np.arange(len(grams.pair) + 1))
+        two, three = np.empty(len(grams.pair), "<u2"), np.empty(len(grams.of), "<u2")
+        for (_, at), r in zip(_by_shard(grams.shard(counts, shards, n), shards), sorted(answers.to_pylist(), key=lambda r: r["shard"])):
+            two[at] = _unpack(r["pairs"], "<u2")
+            three[_spread(first[at], np.diff(first)[at])] = _unpack(r["triples"], "<u2")
+        p_word = (counts + 0.1) / (n + 0.1 * (v + 1))
+        one, word = grams.pair >> 32, grams.pair & 0xFFFFFFFF
+        share = np.where(two < _STEPS, 10.0 ** restored(two), 0)
+        p_pair = share + MU / (counts[one] + MU) * p_word[word]
+        pair_count = share * (counts[one] + MU)
+        real = np.flatnonzero(grams.third < m)
+        of, third = grams.of[real], grams.third[real]
+        backed = p_pair[np.searchsorted(grams.pair, word[of] << 32 | third)]
+        logs = np.zeros(len(grams.of))
+        logs[real] = np.log10(np.where(three[real] < _STEPS, 10.0 ** restored(three[real]), 0) + MU3 / (pair_count[of] + MU3) * backed)
+        score = np.bincount(np.repeat(np.arange(docs), sizes), weights=logs[grams.at], minlength=docs)
+        return pa.Table.from_arrays([pa.array(own[0]["ids"], id_type), pa.array(train == 0), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(np.full(docs, n)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, int, int, str]:
-    """(chunks, dealt triples, shards, N, V, type of the ids as carried)."""
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, int, int, int, str]:
+    """(chunks with their words, dealt triples, shards of words and of triples, N, V, type of the ids as carried)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     carried = "string" if id_type == "string" else "bigint"
@@ -557,9 +540,10 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     parts = chunks.mapInArrow(_word_parts(words), "part int, chunk long, words binary, counts binary")
     counted = checkpointed(parts.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(_count_words(words), "chunk long, part int, counts binary, numbers binary, n long, v long"))
     n, v = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    both = chunks.drop("ids").unionByName(counted.drop("n", "v"), allowMissingColumns=True)
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_deal(words, shards, n, v), "shard long, chunk long, firsts binary, seconds binary, thirds binary, learnt binary, sums binary")
-    return chunks, dealt.repartition("shard").sortWithinPartitions("shard", "chunk"), shards, n, v, carried
+    # dealt by chunk once: the shuffle is read for the triples and again for the documents
+    both = chunks.unionByName(counted.drop("n", "v"), allowMissingColumns=True).repartition("chunk")
+    dealt = both.sortWithinPartitions("chunk", "part").mapInArrow(_deal(words, shards, n, v), "shard long, chunk long, firsts binary, seconds binary, thirds binary, learnt binary")
+    return both, dealt.repartition("shard").sortWithinPartitions("shard", "chunk"), words, shards, n, v, carried
 
 
 def tries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -570,10 +554,8 @@ def tries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    chunks, dealt, shards, n, v, carried = _dealt(docs, id_col, text_col)
-    scored = dealt.mapInArrow(_score_shards, "chunk long, kind int, shard long, firsts binary, seconds binary, thirds binary, learnt binary, sums binary")
-    whole = chunks.select("chunk", F.lit(-1).alias("kind"), "sizes", "train", "words", "tokens", "ids")
-    parts = whole.unionByName(scored, allowMissingColumns=True)
+    both, dealt, words, shards, n, v, carried = _dealt(docs, id_col, text_col)
+    scored = dealt.mapInArrow(_score_shards, "chunk long, shard long, pairs binary, triples binary")
     arrow_id = pa.string() if carried == "string" else pa.int64()
-    out = parts.repartition("chunk").sortWithinPartitions("chunk", "kind", "shard").mapInArrow(_documents(shards, n, v, arrow_id), f"id {carried}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = both.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInArrow(_documents(words, shards, n, v, arrow_id), f"id {carried}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").cast(id_type).alias(id_col), *out.columns[1:])
