@@ -4,9 +4,12 @@
 layer it finds until nothing new appears, scans each layer and maps its spans
 back to code points of the outermost text.
 
-Defined cases: a null text counts as empty (no spans); repeated rows give equal
-results; an empty table gives an empty result; texts are never cut; other
+Defined cases: a null text counts as empty (no spans); repeated rows give results; an empty table gives an empty result; texts are never cut; other
 columns of the input are not looked at; a span found twice is listed once.
+Bytes that are no text do not hide what stands among them: they are kept as
+marks, in layers of every size alike.  Content that unpacks to more than PIECE
+bytes without a line that holds a blank is cut at PIECE with an overlap: secrets
+are still found, an encoded run longer than the overlap may be lost there.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import zlib
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from html.entities import html5
 from itertools import chain
 from urllib.parse import unquote_to_bytes
 
@@ -38,10 +42,15 @@ _RULES = (
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
 #: RE2 forms that every text with a finding or a layer matches; they spare the rest the Python scan.
-_GATE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[uU]\{?[0-9A-Fa-f]|&#[xX]?[0-9A-Fa-f]|[A-Za-z0-9+/_-]{16}"
+_GATE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\[uU]\{?[0-9A-Fa-f]|&#[xX]?[0-9A-Fa-f]|&[A-Za-z]|[A-Za-z0-9+/_-]{16}"
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|&([A-Za-z][A-Za-z0-9]{1,31};)")
+#: The gate in Python: what it does not match holds neither a secret nor an encoded layer.
+_WORTH = re.compile(_GATE.encode())
+_WORTH_TEXT = re.compile(_GATE)
+#: ASCII in two-byte units, of either order.
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){6,}|(?:\x00[\t\n\r\x20-\x7e]){6,}")
 #: Escapes that stand for one byte, those of byte literals included.
 _BYTE_ESCAPE = re.compile(_ESCAPE.pattern + r"""|\\([nrtabfv0'"\\])""")
 _BYTE_OF = dict(zip("nrtabfv0'\"\\", b"\n\r\t\a\b\f\v\0'\"\\"))
@@ -55,8 +64,6 @@ _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7z
 _PLAIN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9a-f]+|[0-9]+")
 #: Before such a line nothing that is sought goes on.
 _PLAIN_LINE = re.compile(rb"\n(?=[^\n]* [^\n]*\n)")
-#: Bytes of a binary head that may stand before a text in one base64 run.
-_HEAD = 16
 #: An unpacked layer is looked at in pieces of about this size, so that no bomb fills the memory.
 PIECE = 16 << 20
 
@@ -73,38 +80,42 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 def _text_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """A byte layer as text: it must be UTF-8 (or UTF-16 with a mark) that is mostly printable; a few bytes of a binary
-    head before it are passed over."""
-    skip = 0
+    """A byte layer that as a whole is text: UTF-8 (or UTF-16, with a mark or by its zero bytes) that is mostly printable."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff") or (len(raw) >= 8 and not len(raw) % 2 and (not any(raw[1:8:2]) or not any(raw[0:8:2]))):
-        wide = "utf-16" if raw[:1] > b"\xf0" else "utf-16-le" if not raw[1] else "utf-16-be"
+        wide = "utf-16-be" if raw[:2] == b"\xfe\xff" or (raw[:1] <= b"\xf0" and not raw[0]) else "utf-16-le"
+        skip = 2 * (raw[:2] in (b"\xff\xfe", b"\xfe\xff"))
         try:
-            text = raw.decode(wide)
+            text = raw[skip : len(raw) - len(raw) % 2].decode(wide)
         except UnicodeDecodeError:
             return None
-        if any(ord(c) > 0xFFFF for c in text):
-            return None
-        first = np.arange(len(raw) // 2 - len(text), len(raw) // 2) * 2
-        return (text, starts[first], ends[first + 1]) if _printable(text) else None
+        units = 1 + (np.frombuffer(text.encode("utf-32-le"), "<u4") > 0xFFFF).astype(np.int64)
+        last = skip + 2 * np.cumsum(units)
+        return (text, starts[last - 2 * units], ends[last - 1]) if _printable(text) else None
     try:
         text = raw.decode("utf-8")
-    except UnicodeDecodeError as x:
-        while skip < min(_HEAD, len(raw)) and x.start < len(raw):
-            skip += x.start + 1
-            try:
-                text = raw[skip:].decode("utf-8")
-                break
-            except UnicodeDecodeError as y:
-                x = y
-        else:
-            return None
+    except UnicodeDecodeError:
+        return None
     if not _printable(text):
         return None
-    first = np.flatnonzero((np.frombuffer(raw, np.uint8)[skip:] & 0xC0) != 0x80) + skip
+    first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
     last = np.append(first[1:], len(raw)) - 1
     return text, starts[first], ends[last]
 
 
+def _among(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Layers of bytes that are not text as a whole: whatever stands among them that may hold a secret, ASCII in two-byte
+    units and compressed streams."""
+    if _WORTH.search(raw):
+        yield raw.decode("latin-1"), starts, ends
+    if b"\0" in raw:
+        for m in _WIDE.finditer(raw):
+            text = m[0].replace(b"\0", b"").decode("ascii")
+            if _WORTH_TEXT.search(text):
+                yield text, starts[m.start() : m.end() : 2], ends[m.start() + 1 : m.end() : 2]
+    if _MAGIC.search(raw, 1):
+        yield from _streams(raw, starts, ends, at=1)
+
+
 def _printable(text: str) -> bool:
     return bool(text) and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text)
 
@@ -129,7 +140,7 @@ class _Packed:
             return bz2.BZ2Decompressor()
         return lzma.LZMADecompressor(lzma.FORMAT_XZ) if head[:6] == b"\xfd7zXZ\x00" else None
 
-    def pieces(self, size: int = PIECE) -> Iterator[bytes]:
+    def pieces(self) -> Iterator[bytes]:
         kind = None
         while self.used < len(self.raw):
             head = bytes(self.raw[self.used : self.used + 6])
@@ -141,7 +152,7 @@ class _Packed:
             zip_like = hasattr(member, "unconsumed_tail")
             try:
                 while not member.eof:
-                    out = member.decompress(data, size)
+                    out = member.decompress(data, PIECE)
                     data = member.unconsumed_tail if zip_like else b""
                     if out:
                         yield out
@@ -153,53 +164,92 @@ class _Packed:
             self.used, self.whole = len(self.raw) - len(member.unused_data), True
 
 
+def _members(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of compressed bytes that come in pieces, itself in pieces; never more than about one of each is held."""
+    data, member, kind = b"", None, None
+    for chunk in chunks:
+        data += chunk
+        while data:
+            if member is None:
+                member = _Packed._member(data[:6])
+                if member is None or (kind is not None and data[:2] != kind):
+                    return
+                kind = data[:2]
+            try:
+                zip_like = hasattr(member, "unconsumed_tail")
+                while True:
+                    out = member.decompress(data, PIECE)
+                    data = member.unconsumed_tail if zip_like else b""
+                    if out:
+                        yield out
+                    if member.eof or (not data and len(out) < PIECE if zip_like else member.needs_input):
+                        break
+            except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+                return
+            if not member.eof:
+                break
+            data, member = member.unused_data, None
+
+
+def _unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces unpacked for as long as they are compressed themselves; a stream that holds itself ends."""
+    heads = set()
+    while (first := next(pieces, None)) is not None:
+        head = hashlib.sha1(first).digest()
+        pieces = chain([first], pieces)
+        if not _MAGIC.match(first):
+            yield from pieces
+        elif head not in heads:
+            heads.add(head)
+            pieces = _members(pieces)
+            continue
+        return
+
+
 def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
-    """Bytes that come in pieces as texts, cut where no secret and no encoded run can go on: before a line that holds a blank."""
+    """Bytes that come in pieces as texts, cut where no secret and no encoded run can go on: before a line that holds a
+    blank.  Where there is none, each text repeats the end of the one before."""
     rest = b""
     for piece in pieces:
         rest += piece
         if len(rest) < PIECE:
             continue
         cut = max((m.start() + 1 for m in _PLAIN_LINE.finditer(rest, max(len(rest) - (1 << 20), 0))), default=0)
-        if cut:
-            yield from _decoded_text(rest[:cut])
-            rest = rest[cut:]
+        yield from _decoded_text(rest[:cut] if cut else rest)
+        rest = rest[cut or -(PIECE // 16) :]
     if rest:
         yield from _decoded_text(rest)
 
 
 def _decoded_text(raw: bytes) -> Iterator[str]:
+    """Text as UTF-8 or, as all that is sought is ASCII, character by byte; ASCII in two-byte units besides."""
     try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError as x:
-        if x.reason != "unexpected end of data" or x.start < len(raw) - 3:
-            return
-        text = raw[: x.start].decode("utf-8")  # cut off within a character
-    if _printable(text):
-        yield text
+        yield raw.decode("utf-8")
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1")
+    if b"\0" in raw:
+        yield from (m[0].replace(b"\0", b"").decode("ascii") for m in _WIDE.finditer(raw))
 
 
 def _content(raw: bytes | memoryview, start: int, end_of) -> tuple[list, int] | None:
     """Layers of a compressed byte string, all of whose content maps to the whole packed span, and the bytes it takes.
 
-    Nested streams are unpacked in turn.  ``end_of(n)`` is the outer end of the first n bytes.
+    Nested streams are unpacked in turn, piece by piece; of equal texts one is kept, and none that cannot hold a secret.
+    ``end_of(n)`` is the outer end of the first n bytes.
     """
     packed = _Packed(raw)
     first = next(pieces := packed.pieces(), None)
     if first is None:
         return None
-    if _MAGIC.match(first):
-        inner = _content(first + b"".join(pieces), start, lambda n: 0)
-        layers = [t for t, _, _ in inner[0]] if inner else []
-    else:
-        layers = list(_texts(chain([first], pieces)))
+    layers = dict.fromkeys(t for t in _texts(_unpacked(chain([first], pieces))) if _WORTH_TEXT.search(t))
+    for _ in pieces:  # where the stream ends, even if its content was left early
+        pass
     end = end_of(packed.used)
     return [(t, np.broadcast_to(np.int64(start), len(t)), np.broadcast_to(np.int64(end), len(t))) for t in layers], packed.used
 
 
-def _streams(raw: bytes, starts: np.ndarray, ends: np.ndarray, plus: bool = False):
+def _streams(raw: bytes, starts: np.ndarray, ends: np.ndarray, plus: bool = False, at: int = 0):
     """A layer for every compressed stream inside a byte string, prose around it or not; ``plus`` also tries + as a space."""
-    at = 0
     while m := _MAGIC.search(raw, at):
         a = m.start()
         got = _content(memoryview(raw)[a:], int(starts[a]), lambda n, a=a: int(ends[a + n - 1]))
@@ -233,7 +283,9 @@ def _packed(text: str, starts: np.ndarray, ends: np.ndarray):
     if _ESCAPE.search(text):
         tokens = []
         for m in _BYTE_ESCAPE.finditer(text):
-            byte = _BYTE_OF[m[7]] if m[7] else int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
+            if m[7]:
+                continue
+            byte = _BYTE_OF[m[8]] if m[8] else int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
             if byte < 256:
                 tokens.append((*m.span(), byte))
         raw, first, last = _as_bytes(text, tokens)
@@ -271,14 +323,20 @@ def _percent(text: str, starts: np.ndarray, ends: np.ndarray):
 
 
 def _escapes(text: str, starts: np.ndarray, ends: np.ndarray):
-    r"""The text with \uXXXX, \xXX and numeric character references decoded; None without any."""
+    r"""The text with \uXXXX, \xXX and character references decoded; None without any."""
     parts, s, e, at = [], [], [], 0
     for m in _ESCAPE.finditer(text):
-        code = int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
-        if code > 0x10FFFF:
-            continue
+        if m[7]:
+            char = html5.get(m[7], "")
+            if len(char) != 1:
+                continue
+        else:
+            code = int(m[5]) if m[5] else int(next(g for g in m.groups() if g), 16)
+            if code > 0x10FFFF:
+                continue
+            char = chr(code)
         a, b = m.span()
-        parts += [text[at:a], chr(code)]
+        parts += [text[at:a], char]
         s += [starts[at:a], starts[a : a + 1]]
         e += [ends[at:a], ends[b - 1 : b]]
         at = b
@@ -296,15 +354,24 @@ def _bytes_of(run: str) -> bytes | None:
         return None
 
 
-def _decoded(raw: bytes, places: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
-    """The layers of bytes whose base64 symbols stand at ``places``: their text, or the content of what is compressed."""
+def _decoded(raw: bytes, places: np.ndarray, starts: np.ndarray, ends: np.ndarray, loose: bool = False) -> list:
+    """The layers of bytes whose base64 symbols stand at ``places``: their text, or the content of what is compressed;
+    ``loose`` also takes what stands among other bytes."""
     i = np.arange(len(raw))
     s, e = starts[places[i * 8 // 6]], ends[places[((i + 1) * 8 + 5) // 6 - 1]]
-    if _MAGIC.match(raw):
-        got = _content(raw, int(s[0]), lambda n: int(e[n - 1]))
-        return got[0] if got else []
+    if _MAGIC.match(raw) and (got := _content(raw, int(s[0]), lambda n: int(e[n - 1]))) and (got[0] or got[1] == len(raw)):
+        return got[0]
     layer = _text_of(raw, s, e)
-    return [layer] if layer else []
+    return [layer] if layer else list(_among(raw, s, e)) if loose else []
+
+
+def _loose(run: str, at: int, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """What stands among the bytes of a run that is neither text nor compressed as a whole, from each of its four alignments."""
+    for first in range(4):
+        part = run[first : len(run) - ((len(run) - first) % 4 == 1)]
+        raw = _bytes_of(part)
+        if raw and (_WORTH.search(raw) or b"\0" in raw or _MAGIC.search(raw)):
+            yield from _decoded(raw, np.arange(at + first, at + first + len(part)), starts, ends, True)
 
 
 def _likely(raw: bytes | None) -> bool:
@@ -363,9 +430,10 @@ def _base64s(text: str, starts: np.ndarray, ends: np.ndarray):
     """A layer for every base64 run that decodes to text or to a compressed layer; wrapped lines are one run."""
     joined_up: list[tuple[int, int]] = []
     for block in _blocks(text):
-        for lines in (block, block[:-1]):  # the last line may be a word below the block
-            raw = _bytes_of("".join(text[a:b] for a, b in lines)) if len(lines) > 1 else None
-            layers = raw and _decoded(raw, np.concatenate([np.arange(a, b) for a, b in lines]), starts, ends)
+        for lines, loose in ((block, False), (block[:-1], False), (block, True)):  # the last line may be a word below the block
+            run = "".join(text[a:b] for a, b in lines)
+            raw = _bytes_of(run[: len(run) - (loose and len(run) % 4 == 1)]) if len(lines) > 1 else None
+            layers = raw and _decoded(raw, np.concatenate([np.arange(a, b) for a, b in lines]), starts, ends, loose)
             if layers:
                 yield from layers
                 joined_up.append((lines[0][0], lines[-1][1]))
@@ -384,6 +452,7 @@ def _base64s(text: str, starts: np.ndarray, ends: np.ndarray):
             yield from layers
         else:
             yield from _realigned(run, a, starts, ends)
+            yield from _loose(run, a, starts, ends)
 
 
 def scan_text(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -376,3 +376,55 @@ def test_all_visible_text_is_kept():
             parts.append(f"w{i} ")
             words.append(f"w{i}")
         assert sorted(html_text.render("".join(parts)).split()) == sorted(w for w in words) or set(html_text.render("".join(parts)).replace(".", " ").split()) >= set(words)
+
+
+_SECRET_BYTES = _HIDDEN.encode()
+_ROUGH_LAYERS = {
+    "latin-1 in gzip": gzip.compress(b"caf\xe9 notes " + _SECRET_BYTES, mtime=0),
+    "latin-1 after": _SECRET_BYTES + b" caf\xe9",
+    "latin-1 before": b"caf\xe9 notes " + _SECRET_BYTES,
+    "binary tail": _SECRET_BYTES + bytes(range(128, 256)),
+    "binary head of 60 bytes": bytes(range(190, 250)) + _SECRET_BYTES,
+    "control characters": _SECRET_BYTES + b"\x01\x02\x03\x04\x05\x06",
+    "utf-16 beyond two bytes": ("notes \U0001f600 " + _HIDDEN).encode("utf-16-le"),
+    "utf-16 with a mark": ("notes \U0001f600 " + _HIDDEN).encode("utf-16"),
+    "utf-16 in binary": bytes(range(190, 250)) + _HIDDEN.encode("utf-16-be") + b"\xff\xfe\xfd",
+    "utf-16 in gzip": gzip.compress(_HIDDEN.encode("utf-16-le"), mtime=0),
+    "gzip in binary": bytes(range(190, 250)) + _GZIP,
+    "gzip thrice": gzip.compress(bz2.compress(lzma.compress(_SECRET_BYTES)), mtime=0),
+}
+
+
+@pytest.mark.parametrize("name", _ROUGH_LAYERS)
+def test_bytes_that_are_no_text_hide_nothing(name):
+    b64 = base64.b64encode(_ROUGH_LAYERS[name]).decode()
+    for before in ("see ", "see x/"):
+        text = f"{before}{b64} end of it"
+        spans = secret_scan.scan_text(text)[1]
+        assert any(k == "assign" and 4 <= a < b <= len(before) + len(b64) for k, a, b in spans), (before, spans)
+        assert _HIDDEN not in secret_scan.replaced(text, spans) and pc.match_substring_regex(pa.array([text]), secret_scan._GATE)[0].as_py()
+
+
+def test_span_of_a_secret_among_bytes():
+    """The span is that of the base64 symbols that hold the secret's bytes."""
+    raw = bytes(range(190, 220)) + _SECRET_BYTES + b"\xff\xfe\xfd"
+    text = "see " + base64.b64encode(raw).decode()
+    assert secret_scan.scan_text(text)[1] == [("assign", 4 + 30 * 8 // 6, 4 + ((30 + len(_HIDDEN)) * 8 + 5) // 6)]
+
+
+def test_named_references():
+    text = "password&equals;Sup3rS3cretValue and &nothing; &amp; &lt;"
+    assert secret_scan.scan_text(text)[1] == [("assign", 0, text.index(" "))]
+
+
+def test_unpacking_is_bounded(monkeypatch):
+    """Content without a line end is cut with an overlap, nested streams are unpacked piece by piece, equal pieces are kept once."""
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 16)
+    body = b"x" * 3_000_000 + b" " + _SECRET_BYTES
+    pieces = list(secret_scan._unpacked(iter([gzip.compress(lzma.compress(bz2.compress(body)))])))
+    assert b"".join(pieces) == body and max(map(len, pieces)) <= 1 << 16
+    assert max(len(t) for t in secret_scan._texts(iter(pieces))) <= 2 << 16
+    for raw in (gzip.compress(body), gzip.compress(gzip.compress(body))):
+        assert {k for k, _, _ in secret_scan.scan_text("see " + base64.b64encode(raw).decode())[1]} == {"assign"}
+    layers, _ = secret_scan._content(gzip.compress(b"token=abcdef12" * 1_000_000), 0, lambda n: n)
+    assert len(layers) <= 32 and sum(len(t) for t, _, _ in layers) <= 32 << 16
