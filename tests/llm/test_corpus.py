@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
 from lattica.llm import lm_score, minhash, quality, simhash, suffix_dedup
+from lattica.operators.components import connected_components
 
 from .rows import documents, empty, prose, texts
 
@@ -332,6 +334,40 @@ def test_links_in_hot_bands(spark, monkeypatch):
     assert got == {str(i).zfill(3): str(c).zfill(3) for i, c in enumerate(brute_groups(texts_))}
 
 
+def test_one_shared_band_in_large_groups(spark, monkeypatch):
+    """Pairs that meet in no more than one band keep their links, however many texts it holds."""
+    base = prose(400, 91).split()
+    texts_ = {}
+    for k in range(100):
+        for j in range(2):  # copies of one text at a similarity above 0.8, all others below
+            w = list(base)
+            w[:150] = prose(150, 1000 + k).split()[:150]
+            w[390 - j] = f"other{k}"
+            texts_[2 * k + j] = " ".join(w)
+    banded = minhash._banded
+
+    def one_band(batches):
+        for rows in banded(batches):
+            rows = rows.filter(pc.equal(rows.column(1), pa.scalar(0, pa.int8())))
+            yield rows.set_column(0, "band", pa.array([1] * rows.num_rows, pa.int64()))
+
+    monkeypatch.setattr(minhash, "_banded", one_band)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(texts_.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in texts_}
+
+
+@pytest.mark.parametrize("paired", [3, 1000])
+def test_group_links_connect_all(spark, monkeypatch, paired):
+    """Components by brute force, of one group with near copies, unrelated and empty texts, whole and block by block."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    common = prose(150, 78)
+    texts_ = [*edited_copies(12, 4), *edited_copies(12, 9), *(f"{common} {prose(20 + k, k)}" for k in range(20)), "", "  ", prose(90, 3)]
+    rows = [(i, t) for i, t in enumerate(texts_)] * 2
+    links = minhash.group_links(spark.createDataFrame([(7, i, 200, 0) for i, _ in enumerate(texts_)], "band long, node long, size int, pivot long"), spark.createDataFrame(rows, "node long, text string"))
+    found = {r.node: r.component for r in connected_components(links).collect()}
+    assert [found.get(i, i) for i in range(len(texts_))] == list(brute_groups(texts_))
+
+
 # --- language model
 
 
