@@ -10,7 +10,8 @@ is lost.  Equal keys meet in a shuffle and every candidate is verified.
 
 ``near_duplicates`` links fingerprints of four-word shingles; ``keep_first`` finds
 candidates by four fingerprints of the different words, which small edits leave
-close together, and verifies the Jaccard similarity of their five-word shingles.
+close together, and verifies the Jaccard similarity of their five-word shingles:
+all pairs that links of fingerprints connect are settled, however many they are.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero, which is linked like any other; rows that share a doc_id are separate
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, forest
-from .minhash import shingle_sets, verified_pairs
+from .minhash import group_links
 from .textkit import LOWER, byte_chunks, checkpointed, mix, span_hashes, text_rows, word_spans
 
 SHINGLE_WORDS = 4
@@ -286,18 +287,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Of 321 links of 0.8 or more among 8690 texts, one finds 0.685, two 0.869, three 0.966, four 0.994.
 WORD_FINGERPRINTS = 4
 SIMILARITY = 0.8
-#: Texts of a set of linked fingerprints that all others of it are verified against.
-PIVOTS = 8
 
 
 def word_fingerprints(texts: pa.Array) -> np.ndarray:
     """(texts, WORD_FINGERPRINTS) fingerprints over the different words of each text, so that common words, which
     unrelated texts share, count once; zero without words."""
-    out = np.zeros((len(texts), WORD_FINGERPRINTS), np.uint64)
-    for a, _, buf, offsets in byte_chunks(texts):
+    return _words_of(texts)[0]
+
+
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word fingerprints, and the words of each text counted with repeats."""
+    out, sizes = np.zeros((len(texts), WORD_FINGERPRINTS), np.uint64), np.zeros(len(texts), np.int32)
+    for a, b, buf, offsets in byte_chunks(texts):
         low = LOWER[buf]
         starts, ends, firsts = word_spans(low, offsets)
         words, text = span_hashes(low, starts, ends), np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        sizes[a:b] = np.diff(firsts)
         order = np.lexsort((words, text))
         words, text = words[order], text[order]
         new = np.append(True, (words[1:] != words[:-1]) | (text[1:] != text[:-1]))[: len(words)]
@@ -307,13 +312,14 @@ def word_fingerprints(texts: pa.Array) -> np.ndarray:
             bits = np.unpackbits(mix(words ^ np.uint64(k + 1)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             ones = np.add.reduceat(bits, top, axis=0, dtype=np.int32)
             out[a + some, k] = np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel()
-    return out
+    return out, sizes
 
 
 def _text_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = word_fingerprints(batch.column(3)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(fps.ravel(), WORD_FINGERPRINTS).cast(pa.list_(pa.int64()))], names=["id", "x", "y", "fps"])
+        fps, sizes = _words_of(batch.column(3))
+        fps = fps.view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.FixedSizeListArray.from_arrays(fps.ravel(), WORD_FINGERPRINTS).cast(pa.list_(pa.int64())), pa.array(sizes)], names=["id", "x", "y", "fps", "size"])
 
 
 def _digest(text: Column) -> tuple[Column, Column]:
@@ -322,43 +328,30 @@ def _digest(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of ``node`` to verify, at most a few for each node: along two links of each of its fingerprints, and with
-    PIVOTS nodes of everything that the links reach (two copies of a text may differ more than each does from a third)."""
-    has = checkpointed(classes.select("node", F.explode(F.array_distinct("fps")).alias("fp")))
-    links = checkpointed(link_fingerprints(has.select("fp")))
-    reach = connected_components(links).withColumnRenamed("node", "fp")
-    placed = has.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    pivots = F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(PIVOTS)))
-    hubs = placed.groupBy("component").agg(F.array_distinct(pivots).alias("hubs"), F.count("*").alias("m")).where("m > 1")
-    firsts = has.groupBy("fp").agg(F.min("node").alias("first"))
-    pairs = placed.join(hubs, "component").select("node", F.explode("hubs").alias("other"))
-    pairs = pairs.unionByName(has.join(firsts, "fp").select("node", F.col("first").alias("other")))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    some = both.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"))).alias("b")).select("a", F.explode("b").alias("b"))
-    along = some.join(firsts.withColumnRenamed("fp", "a").withColumnRenamed("first", "node"), "a").join(firsts.withColumnRenamed("fp", "b").withColumnRenamed("first", "other"), "b")
-    pairs = pairs.unionByName(along.select("node", "other")).where("node <> other")
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _groups(classes: DataFrame) -> DataFrame:
+    """(band, node, size, pivot): the nodes of each set of fingerprints that links connect, with the smallest of them."""
+    has = checkpointed(classes.select("node", "size", F.explode(F.array_distinct("fps")).alias("fp")))
+    reach = connected_components(link_fingerprints(has.select("fp"))).withColumnRenamed("node", "fp")
+    placed = has.join(reach, "fp", "left").select(F.coalesce("component", "fp").alias("band"), "node", "size").distinct()
+    firsts = placed.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
+    return checkpointed(placed.join(firsts, "band").select("band", "node", "size", "pivot"))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(x, y, id, n, group) of every different text: its digest, its smallest id, rows with that id, and the number of its group.
 
-    Texts fall into a group if links of verified Jaccard similarity (five words, SIMILARITY) connect them.
+    Texts fall into a group if links of verified Jaccard similarity (five words, SIMILARITY) connect them.  They are
+    compared under the first of their two hashes.
     """
     x, y = _digest(docs[text_col])
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = text_rows(docs, docs[id_col].alias("id"), x.alias("x"), y.alias("y"), docs[text_col].alias("text"))
-    keyed = checkpointed(rows.mapInArrow(_text_fingerprints, f"id {id_type}, x long, y long, fps array<long>"))
-    per_id = keyed.groupBy("x", "y", "id").agg(F.count("*").alias("n"), F.any_value("fps").alias("fps"))
+    keyed = checkpointed(rows.mapInArrow(_text_fingerprints, f"id {id_type}, x long, y long, fps array<long>, size int"))
+    per_id = keyed.groupBy("x", "y", "id").agg(F.count("*").alias("n"), F.any_value("fps").alias("fps"), F.any_value("size").alias("size"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
-    classes = per_id.groupBy("x", "y").agg(least.alias("least"), F.any_value("fps").alias("fps"))
-    classes = checkpointed(classes.select("x", "y", "least.id", "least.n", "fps", F.monotonically_increasing_id().alias("node")))
-    pairs = checkpointed(_candidates(classes))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = classes.join(wanted, "node").select("x", "y", "id", "node")
-    texts = rows.alias("r").join(chosen.alias("c"), F.expr("r.x = c.x and r.y = c.y and r.id <=> c.id")).select("node", "text").dropDuplicates(["node"])
-    links = verified_pairs(pairs, shingle_sets(texts), SIMILARITY)
+    classes = per_id.groupBy("x", "y").agg(least.alias("least"), F.any_value("fps").alias("fps"), F.any_value("size").alias("size"))
+    classes = checkpointed(classes.select("x", "y", "least.id", "least.n", "fps", "size", F.col("x").alias("node")))
+    links = group_links(_groups(classes), rows.select(F.col("x").alias("node"), F.coalesce("text", F.lit("")).alias("text")), SIMILARITY)
     groups = connected_components(links).withColumnRenamed("component", "group")
     return classes.join(groups, "node", "left").select("x", "y", "id", "n", F.coalesce("group", "node").alias("group"))
 

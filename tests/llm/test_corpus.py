@@ -155,6 +155,19 @@ def test_near_copies_are_found_by_word_fingerprints(spark):
     assert len(got - want) <= 0.02 * len(texts_) and want <= got
 
 
+def test_links_between_many_texts_of_one_fingerprint(spark, monkeypatch):
+    """Pairs whose fingerprints are those of many other texts too are all verified."""
+    texts_ = [t for k in range(60) for t in edited_copies(3, 300 + k, 2)]
+    monkeypatch.setattr(simhash, "_text_fingerprints", _one_fingerprint)
+    got = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")).collect()}
+    assert got == set(brute_groups(texts_))
+
+
+def _one_fingerprint(batches):
+    for rows in simhash._text_fingerprints(batches):
+        yield rows.set_column(3, "fps", pa.array([[5] * simhash.WORD_FINGERPRINTS] * rows.num_rows, pa.list_(pa.int64())))
+
+
 # --- suffix arrays
 
 
