@@ -111,6 +111,10 @@ class EliasFano:
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Index of the first element >= each value (n if there is none)."""
+        return self.seek(values)[0]
+
+    def seek(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first element >= each value (n if there is none), and whether it is equal to it."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.width)).astype(np.int64)
         low = values & np.uint64((1 << self.width) - 1)
@@ -121,22 +125,23 @@ class EliasFano:
         stop = _select(flipped, self.zeros, h) - h
         lo, hi = np.where(known, start, self.n), np.where(known, stop, self.n)
         lo, hi = np.minimum(lo, self.n), np.minimum(hi, self.n)
+        end = hi.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
-                return lo
+                break
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < low[open_]
             lo[open_] = np.where(less, mid + 1, lo[open_])
             hi[open_] = np.where(less, hi[open_], mid)
+        equal = lo < end  # the elements before ``end`` have the value's high bits
+        equal[equal] = self._low(lo[equal]) == low[equal]
+        return lo, equal
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, or -1."""
-        i = self.successor(values)
-        ok = i < self.n
-        if self.n:
-            ok[ok] = self.access(i[ok]) == values[ok].astype(np.uint64)
-        return np.where(ok, i, -1)
+        i, equal = self.seek(values)
+        return np.where(equal, i, -1)
 
     def parts(self) -> list[np.ndarray]:
         return [np.array([self.n, self.width, len(self.low), len(self.high)], "<i8").view(np.uint8), np.append(self.low, np.zeros(-len(self.low) % 8, np.uint8)), self.high.view(np.uint8)]
@@ -180,11 +185,11 @@ class Trie:
         some = np.flatnonzero((number >= 0) & (word >= 0))
         if len(some) and level.n:
             k, w = number[some], word[some]
-            first, last = pointers.access(k).astype(np.int64), pointers.access(k + 1).astype(np.int64)
-            want = k.astype(np.uint64) * np.uint64(self.vocabulary.n) + w.astype(np.uint64)
-            at = level.successor(want)
-            inside = (at >= first) & (at < last)
-            inside[inside] = level.access(at[inside]) == want[inside]
+            tops = _tops(k)
+            times = np.diff(np.append(tops, len(k)))
+            first, last = (np.repeat(pointers.access(k[tops] + j).astype(np.int64), times) for j in (0, 1))
+            at, equal = level.seek(k.astype(np.uint64) * np.uint64(self.vocabulary.n) + w.astype(np.uint64))
+            inside = equal & (at >= first) & (at < last)
             out[some[inside]] = at[inside]
         return out
 
@@ -194,7 +199,17 @@ class Trie:
 
     def shares(self, pair: np.ndarray, third: np.ndarray | None = None) -> np.ndarray:
         """Quantised log10 shares of pairs by index, or of the triples that end in ``third``; the lowest for unknown ones."""
-        at = pair if third is None else self._within(self.third, self.third_of, pair, self.vocabulary.find(third))
+        return self._codes(pair, None if third is None else self.vocabulary.find(third))
+
+    def all_shares(self, contexts: np.ndarray, vocabulary: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of pairs (place in ``contexts`` << 32 | place in ``vocabulary``) and of triples (place in ``pairs`` << 32 |
+        place in ``vocabulary``); each context and word is looked up once."""
+        context, word = self.contexts.find(contexts), self.vocabulary.find(vocabulary)
+        at = self._within(self.second, self.second_of, context[pairs >> 32], word[pairs & 0xFFFFFFFF])
+        return self._codes(at, None), self._codes(at[triples >> 32], word[triples & 0xFFFFFFFF])
+
+    def _codes(self, pair: np.ndarray, third: np.ndarray | None) -> np.ndarray:
+        at = pair if third is None else self._within(self.third, self.third_of, pair, third)
         codes = self.second_codes if third is None else self.third_codes
         return np.where(at >= 0, codes[np.maximum(at, 0)] if len(codes) else _STEPS, _STEPS).astype("<u2")
 
@@ -472,14 +487,11 @@ class _Shard:
         log2 = np.log10(pair_count[seen] / (context_count[pairs[seen] >> 32] + MU))
         log3 = np.log10(count[kept] / (pair_count[of[kept]] + MU3))
         self.trie = Trie.build(contexts[used], vocabulary, np.searchsorted(used, pairs[seen] >> 32), pairs[seen] & 0xFFFFFFFF, log2, np.searchsorted(seen, of[kept]), triples[kept] & 0xFFFFFFFF, log3)
-        self.asked_pairs = contexts[pairs >> 32], vocabulary[pairs & 0xFFFFFFFF]
-        self.asked_triples = of, vocabulary[triples & 0xFFFFFFFF]
+        self.asked = contexts, vocabulary, pairs, triples
 
     def answers(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each chunk the codes of its pairs and of its triples, looked up in the trie."""
-        trie = Trie(self.trie)
-        at = trie.pairs(*self.asked_pairs)
-        two, three = trie.shares(at), trie.shares(at[self.asked_triples[0]], self.asked_triples[1])
+        two, three = Trie(self.trie).all_shares(*self.asked)
         for a, b, x, y in zip(self.pair_ends, self.pair_ends[1:], self.triple_ends, self.triple_ends[1:]):
             yield two[self.pair_at[a:b]], three[self.triple_at[x:y]]
 

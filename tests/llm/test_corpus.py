@@ -472,3 +472,10 @@ def test_trie_from_a_mapped_file(tmp_path):
     every = np.arange(len(pairs) * 50)
     assert (trie.shares(every // 50, vocabulary[every % 50])[~np.isin(every, triples)] == 65535).all()
     assert (trie.pairs(contexts, np.full(20, 1 << 41)) == -1).all() and (trie.pairs(contexts + 1, np.full(20, vocabulary[0])) == -1).all()
+    # all at once, every context and word looked up once; unknown ones among them
+    more = np.unique(np.concatenate([vocabulary, vocabulary[:3] + 1]))
+    asked = np.arange(len(contexts)).repeat(len(more)) << 32 | np.tile(np.arange(len(more)), len(contexts))
+    ends = np.arange(len(asked)) << 32 | np.arange(len(asked)) % len(more)
+    at = trie.pairs(contexts[asked >> 32], more[asked & 0xFFFFFFFF])
+    two, three = trie.all_shares(contexts, more, asked, ends)
+    assert (two == trie.shares(at)).all() and (three == trie.shares(at, more[ends & 0xFFFFFFFF])).all() and (two < 65535).any()
