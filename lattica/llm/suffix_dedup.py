@@ -7,11 +7,14 @@ Only pieces whose anchor occurs again can hold a repeated window, and equal
 pieces are repeated as a whole, so a shuffle by anchor leaves few texts to sort.
 
 Sorting them.  The remaining pieces are dealt by their anchor and the bytes that
-all their windows share, many groups to a shard.  A group larger than a shard (the
-edges of a passage that very many texts hold in different surroundings) is split
-first: its pieces are cut into ranges of windows, which share more bytes, down to
-single windows, which are equal if their keys are; so no task holds more than a
-shard and one group.  A shard's suffix array is built
+all their windows share, many groups to a shard.  Their texts, and those that are
+left in the end, come from one shuffle of the documents, which both joins read.
+Only anchors with more than a shard of pieces (the edges of a passage that very
+many texts hold in different surroundings) are taken first: one of their equal
+pieces each is cut from the documents where they are read, and groups that are
+still larger than a shard are cut into ranges of windows, which share more bytes,
+down to single windows, which are equal if their keys are; so no task holds more
+than a shard and one group.  A shard's suffix array is built
 by induced sorting: suffixes are classified as smaller or larger than their
 successor, the leftmost-smaller (LMS) substrings are sorted by one induction and
 named, the string of names is sorted, and a second induction, linear in the
@@ -167,16 +170,35 @@ def _with_end(batches):
     yield None
 
 
+def _pieces_of(large: np.ndarray):
+    """Documents -> their pieces at the anchors in ``large`` (sorted hashes), with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = batch.column(2).to_numpy()
+            for a, b, buf, offsets in byte_chunks(batch.column(1)):
+                found = anchors(buf, offsets)
+                some = large[np.minimum(np.searchsorted(large, found[4]), len(large) - 1)] == found[4]
+                if not some.any():
+                    continue
+                doc, first, last, place, h, ph = (x[some] for x in found)
+                pos = (first - offsets[doc]) << 32 | (last - first) << 24 | (place - first) << 16
+                texts = [buf[x : y + LENGTH].tobytes() for x, y in zip(first.tolist(), last.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ph), batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(tags[a:b][doc]), pa.array(pos), pa.array(texts, pa.binary())], names=["h", "ph", "id", "tag", "pos", "bytes"])
+
+    return run
+
+
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (id, tag, text, pieces) -> two parts of each piece, keyed by anchor and shared side."""
+    """(id, tag, text, pieces, at) -> two parts of each piece, keyed by anchor and shared side; the text begins at ``at`` of its document."""
     for batch in batches:
         keys, ids, firsts, fars, kinds, texts = [], [], [], [], [], []
-        raws = batch.column(2).cast(pa.binary())
-        for row in range(batch.num_rows):
+        raws, ats = batch.column(2).cast(pa.binary()), batch.column(4).to_pylist()
+        for row, at in enumerate(ats):
             raw, pieces = raws[row].as_py() or b"", batch.column(3)[row].values
             hs, poss, kind = (pieces.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             sums = _prefix(np.frombuffer(raw, np.uint8))
-            first, windows, far = poss >> 32, (poss >> 24 & 255) + 1, poss >> 16 & 255
+            first, windows, far = (poss >> 32) - at, (poss >> 24 & 255) + 1, poss >> 16 & 255
             place = first + far
             # a window with its first byte SIDE or more before the anchor holds those SIDE bytes; else SIDE bytes after it
             n_left = np.clip(far - SIDE + 1, 0, windows)
@@ -185,7 +207,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(some):
                     continue
                 keys.append((_span(sums, x[some], y[some]) ^ (hs[some].view(np.uint64) * np.uint64(2 * salt + 1))).view(np.int64))
-                firsts.append(lo[some])
+                firsts.append(lo[some] + at)
                 fars.append((place - lo)[some])
                 ids.append(np.full(len(some), row))
                 kinds.append(kind[some])
@@ -513,10 +535,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = checkpointed(pieces.repartition(F.coalesce("spread", "h")).sortWithinPartitions("h", "ph").mapInArrow(_repeats, f"h long, id {id_type}, tag long, pos long, kind byte"))
     first = F.shiftrightunsigned("pos", 32)
     whole = again.where("kind = 1").select("id", "tag", first.alias("start"), (first + F.shiftright("pos", 24).bitwiseAND(255) + LENGTH).alias("stop"))
-    wanted = again.where("kind <> 1").groupBy("id", "tag").agg(F.collect_list(F.struct("h", "pos", "kind")).alias("pieces"))
-    texts = rows.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.tag = w.tag")).select(F.col("d.id").alias("id"), F.col("d.tag").alias("tag"), F.col("d.text").alias("text"), "pieces")
     schema = f"key long, id {id_type}, tag long, first long, kind byte, bytes binary, far int"
-    parts, spans = _split_groups(checkpointed(texts.mapInArrow(_cut_texts, schema)), schema, SHARD_BYTES)
+    several = again.where("kind <> 1")
+    # no key has more bytes than its anchor; there are fewer large anchors than shards
+    windows = F.shiftright("pos", 24).bitwiseAND(255) + 1
+    large = checkpointed(several.groupBy("h").agg(F.sum(windows + LENGTH - 1).alias("size")).where(F.col("size") > SHARD_BYTES).select("h"))
+    hashes = [r.h for r in large.collect()]
+    if hashes:
+        several = several.join(F.broadcast(large), "h", "left_anti")
+    wanted = several.groupBy("id", "tag").agg(F.collect_list(F.struct("h", "pos", "kind")).alias("pieces"))
+    texts = rows.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.tag = w.tag")).select(F.col("d.id").alias("id"), F.col("d.tag").alias("tag"), F.col("d.text").alias("text"), "pieces", F.lit(0).cast("long").alias("at"))
+    parts, spans = texts.mapInArrow(_cut_texts, schema), None
+    if hashes:
+        one = rows.mapInArrow(_pieces_of(np.array(sorted(hashes), np.int64)), f"h long, ph long, id {id_type}, tag long, pos long, bytes binary")
+        one = one.groupBy("h", "ph").agg(F.count("*").alias("n"), F.any_value(F.struct("id", "tag", "pos", "bytes")).alias("r"))
+        piece = F.struct("h", F.col("r.pos").alias("pos"), F.when(F.col("n") > 1, 2).otherwise(0).cast("byte").alias("kind"))
+        one = one.select("r.id", "r.tag", F.col("r.bytes").alias("text"), F.array(piece).alias("pieces"), F.shiftrightunsigned("r.pos", 32).alias("at"))
+        split, spans = _split_groups(checkpointed(one.mapInArrow(_cut_texts, schema)), schema, SHARD_BYTES)
+        parts = parts.unionByName(split)
     found = parts.drop("far").repartition("key").sortWithinPartitions("key").mapInArrow(_shards, f"id {id_type}, tag long, start long, stop long")
     found = found if spans is None else found.unionByName(spans)
     return whole.unionByName(found)

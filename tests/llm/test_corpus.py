@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -212,6 +214,40 @@ def test_passages_in_many_surroundings(spark, monkeypatch):
     assert got == sorted(brute_dedup([t.encode() for t in odd], 200)) and sum(x[1] for x in got) > 10_000
 
 
+def test_large_anchors_with_copies(spark, monkeypatch):
+    """Anchors beyond the limit, with whole copies of texts and passages, null texts and rows without an id."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    passage = prose(90, 83)
+    odd = [f"{prose(15, 4000 + i)} {passage[i % 5 * 20 : 420]} {prose(15, 5000 + i)}" for i in range(60)]
+    odd = odd + odd[:20] + [passage, passage, "é" * 150 + passage[:250], "", None, "ab" * 3000]
+    df = spark.createDataFrame([(None if i % 4 == 0 else i // 2, t) for i, t in enumerate(odd)], "doc_id long, text string").repartition(5)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df).collect())
+    assert got == sorted(brute_dedup([(t or "").encode() for t in odd], 200)) and sum(x[1] for x in got) > 10_000
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """Of texts that do not compress, half of them with a part of a passage, one copy and the hashes of the pieces are shuffled."""
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choices(string.ascii_letters + string.digits, k=n))
+    passage = noise(260)
+    odd = [noise(6000) + (passage[i % 50 : 230 + i % 30] if i % 2 else "") + noise(6000) for i in range(400)]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got = suffix_dedup.deduplicate(spark.read.parquet(f"{tmp_path}/t")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(x.n_removed for x in got) > 20_000
+    assert shuffled() - before < 2 * sum(map(len, odd))
+
+
 def test_rows_without_ids_keep_their_own_spans(spark):
     odd = [prose(60, i) + (" " + prose(60, 0) if i % 4 == 0 else "") for i in range(600)]
     df = spark.createDataFrame([(None, t) for t in odd], "doc_id long, text string").repartition(5)
