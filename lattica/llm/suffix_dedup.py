@@ -171,15 +171,18 @@ def _with_end(batches):
 
 
 def _pieces_of(large: np.ndarray):
-    """Documents -> their pieces at the anchors in ``large`` (sorted hashes), with their bytes."""
+    """Documents -> their pieces at the anchors in ``large`` (sorted hashes), with their bytes; of equal pieces about two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)
         for batch in batches:
             tags = batch.column(2).to_numpy()
             for a, b, buf, offsets in byte_chunks(batch.column(1)):
                 found = anchors(buf, offsets)
-                some = large[np.minimum(np.searchsorted(large, found[4]), len(large) - 1)] == found[4]
-                if not some.any():
+                some = np.flatnonzero(large[np.minimum(np.searchsorted(large, found[4]), len(large) - 1)] == found[4])
+                told, known = _beyond_two(found[4][some], found[5][some], known)
+                some = some[~told]
+                if not len(some):
                     continue
                 doc, first, last, place, h, ph = (x[some] for x in found)
                 pos = (first - offsets[doc]) << 32 | (last - first) << 24 | (place - first) << 16

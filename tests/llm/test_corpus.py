@@ -225,6 +225,20 @@ def test_large_anchors_with_copies(spark, monkeypatch):
     assert got == sorted(brute_dedup([(t or "").encode() for t in odd], 200)) and sum(x[1] for x in got) > 10_000
 
 
+def test_long_runs_at_large_anchors(spark, monkeypatch):
+    """A run of one character, long in one text and short in many surroundings, is cut out about twice, not at every place."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    odd = [f"{prose(20, 6000 + i)} {'a' * (150 + i)} {prose(20, 7000 + i)}" for i in range(60)] + [prose(5, 1) + "a" * 30_000 + prose(5, 2)]
+    text = pa.array(odd[-1:])
+    h = np.unique(suffix_dedup.anchors(np.frombuffer(odd[-1].encode(), np.uint8), np.array([0, len(odd[-1])]))[4])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), text, pa.array([2])], names=["id", "text", "tag"])
+    cut = list(suffix_dedup._pieces_of(h)([batch, batch]))
+    assert 0 < sum(x.num_rows for x in cut) < 1000
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").repartition(5)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df).collect())
+    assert got == sorted(brute_dedup([t.encode() for t in odd], 200))
+
+
 def test_texts_are_shuffled_once(spark, tmp_path):
     """Of texts that do not compress, half of them with a part of a passage, one copy and the hashes of the pieces are shuffled."""
     r = random.Random(6)
