@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from lattica.operators import matching
-from lattica.plans import relational
+from lattica.plans import fields, relational
 
 
 def line_items(n, copies, seed=3):
@@ -50,3 +50,37 @@ def test_copies_are_matched_as_classes(spark, tmp_path, monkeypatch):
     assert tuple(got[0])[:3] == (tp, a.count() - tp, b.count() - tp) and tp > 50
     assert tuple(got[1])[:3] == tuple(4 * x for x in tuple(got[0])[:3])
     assert pairs[0] == pairs[1] > 50
+
+
+def test_copies_are_counted_once(spark, tmp_path, monkeypatch):
+    """Four copies of all points (q173): each repeated place counts once, as in a walk over all points, from as many pairs as of one copy."""
+    pairs, chosen, real = [], [], matching.matched
+    monkeypatch.setattr(matching, "matched", lambda df: pairs.append(df.count()) or chosen.append(real(df).toPandas()) or spark.createDataFrame(chosen[-1]))
+    got = []
+    for copies in (1, 4):
+        at = tmp_path / str(copies)
+        at.mkdir()
+        items = line_items(200, copies, 5)
+        items.to_parquet(at / "lineitem.parquet")
+        got.append(fields.q173_dedup_scores(spark, str(at)).first().asDict())
+    assert pairs[0] == pairs[1] > 20
+    assert all(got[1][k] == 4 * got[0][k] for k in ("tp", "fp", "fn")) and got[0]["tp"] > 20
+    p = items.assign(id=items.l_orderkey * 8 + items.l_linenumber, x=items.l_extendedprice, y=items.l_quantity * 10, z=items.l_discount * 1000, key=items.l_linenumber % 3, side=items.l_suppkey % 2)
+    p = p.sort_values(["id", "x", "y", "z", "key", "side"]).drop_duplicates("id")
+    for side, column, names in ((0, "a", ("dup_tp", "dup_fp")), (1, "b", ("dup_fn_matched", "dup_fn_unmatched"))):
+        own = p[p.side == side]
+        place = {r.id: (r.x, r.y, r.z, r.key) for r in own.itertuples()}
+        left, hit = chosen[1].groupby(column)["n"].sum().to_dict(), set()
+        left = {place[k]: n for k, n in left.items()}
+        for i in reversed(sorted(place)):  # which members are matched makes no difference
+            if left.get(place[i], 0):
+                left[place[i]] -= 1
+                hit.add(i)
+        near = lambda i, j: place[i][3] == place[j][3] and sum((u - v) ** 2 for u, v in zip(place[i][:3], place[j][:3])) < 625
+        own = [i for i in sorted(place) if place[i][3]]
+        again = {i for i in own if i not in hit and any(j in hit and near(i, j) for j in own)}
+        kept = []
+        for i in own:
+            if i not in hit and i not in again and not any(near(i, j) for j in kept):
+                kept.append(i)
+        assert tuple(got[1][n] for n in names) == (len(again), len(own) - len(hit & set(own)) - len(again) - len(kept))
