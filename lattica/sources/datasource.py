@@ -9,7 +9,8 @@ cannot hold a row, and every partition is a run of neighbouring chunks of one
 shard, read by its byte range.  Writing makes a shard for each task; a commit
 moves the shards in place and then swaps the manifest, so readers see all of a
 write or nothing; an abort removes what was written.  Deal the rows by chunk
-(``dealt``) before writing, so that a chunk lies in one shard; it may lie in several.
+(``dealt``) before writing, so that a chunk lies in one run of a shard; large ones lie in several runs and shards.
+Writers and readers hold HELD_BYTES of rows at a time, however large a chunk or a shard is.
 
 Paths are local or of any store that pyarrow opens; driver and executors must share them.
 Options: path; chunk (sizes ``sx,sy,sz``, for writing).  Rows: id, seg_a, seg_b,
@@ -18,6 +19,7 @@ centre x, y, z (float32 in the file), faces (x, y, z, affinity).  Null faces are
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import uuid
@@ -26,12 +28,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from .binary import contacts_from_bytes, contacts_to_bytes
+from .binary import contact_bytes, contact_rows
 
 FORMAT = "lattica_contacts"
 SCHEMA = "id bigint, seg_a bigint, seg_b bigint, x double, y double, z double, faces array<array<float>>"
@@ -39,6 +42,8 @@ AXES = ("x", "y", "z")
 MANIFEST = "_manifest.json"
 #: Bytes of one partition of a read, at least one chunk.
 PART_BYTES = 16 << 20
+#: Bytes of rows that a writer or reader holds at once.
+HELD_BYTES = 4 << 20
 _INDEX = np.dtype([("chunk", "<i8", 3), ("offset", "<u8"), ("length", "<u8"), ("rows", "<u8")])
 _ARROW = pa.schema([("id", pa.int64()), ("seg_a", pa.int64()), ("seg_b", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64()), ("faces", pa.list_(pa.list_(pa.float32())))])
 
@@ -120,10 +125,18 @@ class ContactReader(DataSourceReader):
             return
         store, root = opened(self.path)
         with store.open_input_file(f"{root}/{partition.path}") as f:
-            rows = contacts_from_bytes(f.read_at(partition.length, partition.offset))
-        for i in range(0, len(rows), 4096):
-            part = rows[i : i + 4096]
-            yield pa.RecordBatch.from_pylist([{"id": r["id"], "seg_a": r["seg_a"], "seg_b": r["seg_b"], "faces": r["faces"], **dict(zip(AXES, r["com"]))} for r in part], _ARROW)
+            rest, at, end = b"", partition.offset, partition.offset + partition.length
+            while at < end:
+                raw = rest + f.read_at(min(HELD_BYTES, end - at), at)
+                at += min(HELD_BYTES, end - at)
+                head, faces, used = contact_rows(raw)
+                rest = raw[used:]
+                count = np.concatenate([[0], np.cumsum(head["n"], dtype=np.int64)])
+                each = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(faces) + 1, 4), pa.int32()), pa.array(faces.ravel()))
+                columns = [pa.array(np.ascontiguousarray(head[n])) for n in ("id", "seg_a", "seg_b")] + [pa.array(head["com"][:, k].astype(np.float64)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(count, pa.int32()), each)], schema=_ARROW)
+            if rest:
+                raise ValueError(f"the last contact of a part of {partition.path} is cut off")
 
 
 @dataclass
@@ -136,31 +149,62 @@ class ContactWriter(DataSourceArrowWriter):
         self.path, self.chunk, self.overwrite, self.job = path, chunk, overwrite, uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        """One shard of all rows of the task, chunk by chunk."""
-        held: dict[tuple[int, ...], list[bytes]] = {}
-        for batch in batches:
-            com = np.column_stack([batch.column(a).to_numpy(zero_copy_only=False).astype(np.float32) for a in AXES]) if batch.num_rows else np.zeros((0, 3))
-            at = np.floor(com / np.asarray(self.chunk, np.float64)).astype(np.int64)
-            if np.isnan(com).any() or any(batch.column(c).null_count for c in ("id", "seg_a", "seg_b")):
-                raise ValueError("a contact needs ids and a centre")
-            for cell, c, id_, a, b, faces in zip(map(tuple, at.tolist()), com.tolist(), *(batch.column(n).to_pylist() for n in ("id", "seg_a", "seg_b", "faces"))):
-                held.setdefault(cell, []).append(contacts_to_bytes([(id_, a, b, c, faces or [])]))
-        if not held:
-            return Written(None)
+        """One shard of all rows of the task, written as they come: those of a chunk together as far as they are held at once."""
         store, root = opened(self.path)
-        name = f"{uuid.uuid4().hex}.shard"
-        store.create_dir(f"{root}/_temporary/{self.job}", recursive=True)
-        index = np.zeros(len(held), _INDEX)
-        with store.open_output_stream(f"{root}/_temporary/{self.job}/{name}") as f:
-            offset = 0
-            for k, (cell, parts) in enumerate(sorted(held.items())):
-                raw = b"".join(parts)
-                f.write(raw)
-                index[k] = (cell, offset, len(raw), len(parts))
-                offset += len(raw)
-            f.write(index.tobytes() + np.array([len(index)], "<u8").tobytes())
+        folder, name = f"{root}/_temporary/{self.job}", f"{uuid.uuid4().hex}.shard"
+        index: list[list] = []  # chunk, offset, length, rows of each run
+        held: list[pa.RecordBatch] = []
+        with contextlib.ExitStack() as stack:
+            out, offset = None, 0
+
+            def put() -> None:
+                nonlocal out, offset
+                cells, sizes, raw = self._encoded(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held.clear()
+                if out is None:
+                    store.create_dir(folder, recursive=True)
+                    out = stack.enter_context(store.open_output_stream(f"{folder}/{name}"))
+                out.write(raw)
+                first = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(axis=1)))
+                for cell, length, n in zip(map(tuple, cells[first].tolist()), np.add.reduceat(sizes, first).tolist(), np.diff(np.append(first, len(cells))).tolist()):
+                    if index and index[-1][0] == cell and index[-1][2] + length <= PART_BYTES:
+                        index[-1][2:] = index[-1][2] + length, index[-1][3] + n
+                    else:
+                        index.append([cell, offset, length, n])
+                    offset += length
+
+            for batch in batches:
+                for part in (batch.slice(i, 1 << 14) for i in range(0, batch.num_rows, 1 << 14)):
+                    held.append(part)
+                    if sum(h.nbytes for h in held) >= HELD_BYTES:
+                        put()
+            if held:
+                put()
+            if out is None:
+                return Written(None)
+            rows = np.array([tuple(r) for r in index], _INDEX)
+            out.write(rows.tobytes() + np.array([len(rows)], "<u8").tobytes())
         return Written(name)
 
+    def _encoded(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, memoryview]:
+        """(chunk of each row, its length, the bytes of all) in the order of chunks."""
+        if any(batch.column(c).null_count for c in ("id", "seg_a", "seg_b", *AXES)):
+            raise ValueError("a contact needs ids and a centre")
+        com = np.column_stack([batch.column(a).to_numpy(zero_copy_only=False).astype(np.float32) for a in AXES])
+        if np.isnan(com).any():
+            raise ValueError("a contact needs ids and a centre")
+        cells = np.floor(com / np.asarray(self.chunk, np.float64)).astype(np.int64)
+        order = np.lexsort(cells.T[::-1])
+        batch = batch.take(pa.array(order))
+        faces = batch.column("faces")
+        each = faces.flatten()
+        values = each.flatten()
+        if each.null_count or values.null_count or (pc.list_value_length(each).to_numpy(zero_copy_only=False) != 4).any():
+            raise ValueError("a face needs x, y, z and an affinity")
+        n = pc.fill_null(pc.list_value_length(faces), 0).to_numpy(zero_copy_only=False)
+        sizes, raw = contact_bytes(*(batch.column(c).to_numpy() for c in ("id", "seg_a", "seg_b")), com[order], n, values.to_numpy(zero_copy_only=False).reshape(-1, 4))
+        return cells[order], sizes, raw
+
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.path)
         store.create_dir(root, recursive=True)
@@ -208,6 +252,7 @@ def register(spark: SparkSession) -> None:
 
 
 def dealt(contacts: DataFrame, chunk: tuple[float, float, float]) -> DataFrame:
-    """The rows of SCHEMA, dealt so that every chunk lies in one task."""
-    cells = [F.floor(F.col(a).cast("float") / s) for a, s in zip(AXES, chunk)]
-    return contacts.select("id", "seg_a", "seg_b", *[F.col(a).cast("double").alias(a) for a in AXES], F.col("faces").cast("array<array<float>>").alias("faces")).repartition(F.xxhash64(*cells))
+    """The rows of SCHEMA, dealt and sorted by chunk; chunks that are large for a task are split into several."""
+    names = [f"_{a}" for a in AXES]
+    rows = contacts.select("id", "seg_a", "seg_b", *[F.col(a).cast("double").alias(a) for a in AXES], F.col("faces").cast("array<array<float>>").alias("faces"), *[F.floor(F.col(a).cast("float") / s).alias(n) for n, a, s in zip(names, AXES, chunk)])
+    return rows.hint("rebalance", *[F.col(n) for n in names]).sortWithinPartitions(*names).drop(*names)

@@ -1,10 +1,14 @@
 """Copies of points, and layers whose chunks, shards and cells are larger than what a task may hold."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from lattica.operators import matching
 from lattica.plans import fields, relational
+from lattica.sources import datasource
 
 
 def line_items(n, copies, seed=3):
@@ -84,3 +88,42 @@ def test_copies_are_counted_once(spark, tmp_path, monkeypatch):
             if i not in hit and i not in again and not any(near(i, j) for j in kept):
                 kept.append(i)
         assert tuple(got[1][n] for n in names) == (len(again), len(own) - len(hit & set(own)) - len(again) - len(kept))
+
+
+def test_contact_shards_are_written_and_read_in_pieces(tmp_path, monkeypatch):
+    """One chunk of many rows: what a writer or reader holds doesn't grow with it (q171)."""
+    monkeypatch.setattr(datasource, "HELD_BYTES", 1 << 17)
+    rng, path = np.random.default_rng(6), str(tmp_path / "layer")
+
+    def batches(n):
+        for k in range(n):
+            faces = [None if i % 5 == 0 else [[float(i), 1.0, 2.0, 0.5]] * (i % 3) for i in range(500)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(500) + 500 * k), pa.array(np.full(500, k)), pa.array(np.full(500, 3)), *(pa.array(rng.uniform(0, 10, 500)) for _ in range(3)), pa.array(faces, datasource._ARROW.field("faces").type)], schema=datasource._ARROW)
+
+    peaks = []
+    for n in (30, 240):
+        writer = datasource.ContactWriter(path, [10.0, 10.0, 10.0], True)
+        tracemalloc.start()
+        said = writer.write(batches(n))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        writer.commit([said])
+    assert peaks[1] < 1.3 * peaks[0]
+    reader = datasource.ContactReader(path)
+    parts = reader.partitions()
+    got = [b for p in parts for b in reader.read(p)]
+    assert len(got) > 20 and max(b.nbytes for b in got) < 1 << 19
+    rows = pa.Table.from_batches(got).sort_by("id").to_pylist()
+    assert [r["id"] for r in rows] == list(range(120_000)) and all(r["faces"] == ([[float(i % 500), 1.0, 2.0, 0.5]] * (i % 500 % 3) if i % 5 else []) and r["seg_a"] == i // 500 for i, r in enumerate(rows))
+
+
+def test_large_chunks_are_dealt_to_several_tasks(spark):
+    """A chunk with most of the rows doesn't lie in one task."""
+    df = spark.range(200_000).selectExpr("id", "id as seg_a", "id as seg_b", "1.0d as x", "2.0d as y", "id % 3 as z", "array(array(1.0, 2.0, 3.0, rand(1))) as faces")
+    held = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        sizes = datasource.dealt(df, (10, 10, 10)).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", held)
+    assert sum(sizes) == 200_000 and max(sizes) < 150_000
