@@ -5,10 +5,11 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from lattica.operators import matching
 from lattica.plans import fields, relational
-from lattica.sources import datasource
+from lattica.sources import datasource, shards
 
 
 def line_items(n, copies, seed=3):
@@ -127,3 +128,38 @@ def test_large_chunks_are_dealt_to_several_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", held)
     assert sum(sizes) == 200_000 and max(sizes) < 150_000
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_shard_files_in_parts(spark, tmp_path, monkeypatch, few):
+    """The blocks of a shard are the file that one task would encode, and no row holds a whole shard (q135)."""
+    monkeypatch.setattr(shards, "FEW_PARTS", few)
+    rng = np.random.default_rng(7)
+    rows = [(int(i), None if i % 11 == 0 else bytes([i % 251]) * int(i % 9)) for i in rng.permutation(150_000)] + [(2**40 + 16 * i, bytes([i]) * 700_000) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, data binary").repartition(3)
+    files = shards.write_shards(df, str(tmp_path / "s"), "id", "data", 1, 2, 1)
+    assert files.agg({"n_chunks": "sum"}).first()[0] == len(rows)
+    blocks = shards.file_blocks(spark, str(tmp_path / "s")).toPandas()
+    assert blocks["bytes"].map(len).max() <= shards.PART_BYTES + 700_000
+    for s, own in blocks.sort_values("at").groupby("shard"):
+        assert (own["at"] == own["bytes"].map(len).cumsum().shift(fill_value=0)).all()
+        mine = sorted((i >> 1 & 3, i, d or b"") for i, d in rows if i >> 3 & 1 == s)
+        mini, ids, data = zip(*mine)
+        raw = b"".join(own["bytes"])
+        assert raw == shards.encoded(np.array(mini), np.array(ids), list(data), 2)
+        assert list(shards.decoded(raw, 2)) == mine
+    assert sorted((r.id, bytes(r.data)) for r in shards.read_shards(spark, str(tmp_path / "s"), 2).collect()) == sorted((i, d or b"") for i, d in rows)
+    assert [f.name for f in tmp_path.iterdir()] == ["s"]
+    assert shards.write_shards(df.limit(0), str(tmp_path / "e"), "id", "data", 1, 2, 1).count() == shards.read_shards(spark, str(tmp_path / "e"), 2).count() == 0
+
+
+def test_runs_do_not_hold_a_shard():
+    """What is held while the runs of one minishard are cut doesn't grow with it."""
+    peaks = []
+    for n in (20, 160):
+        tracemalloc.start()
+        batches = (pa.RecordBatch.from_arrays([pa.array(np.zeros(5000, np.int64)), pa.array(np.zeros(5000, np.int64)), pa.array(np.arange(5000) + 5000 * k), pa.array([b"abc"] * 5000)], names=["shard", "mini", "id", "data"]) for k in range(n))
+        assert sum(sum(b.column("n").to_pylist()) for b in shards._runs(batches)) == 5000 * n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + (8 << 20)
