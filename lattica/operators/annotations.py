@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from ..functions.spatial import cells_of
 from ..session import checkpointed
 
 AXES = ("x", "y", "z")
+CELL = ("cx", "cy", "cz")
+#: Cells of a change that are broadcast (some 100 bytes each).
+FEW_CELLS = 1 << 16
 #: Fixed value: the DNS namespace of name-based ids.
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -31,14 +36,17 @@ def cell_limits(index: DataFrame) -> DataFrame:
 def write_layer(df: DataFrame, path: str, bounds: Sequence[tuple[str, str]], sizes: Sequence[Sequence[float]], id_col: str = "id") -> None:
     """An annotation layer: a spatial index with a folder for each cell of each level, and an index sorted by id.
 
-    Repeated rows of one id count once, the first in the order of all columns.
+    Repeated rows of one id count once, the first in the order of all columns.  Rows are shuffled by id, then, once for all
+    levels, by the finest cell in which they begin; a large cell is written by several tasks.
     """
-    one = df.groupBy(id_col).agg(F.min(F.struct(*[c for c in df.columns if c != id_col])).alias("r")).select(id_col, "r.*").select(*df.columns)
-    cells = spatial_index(one, bounds, sizes)
+    spark = df.sparkSession
     levels = [(k, *map(float, size)) for k, size in enumerate(sizes)]
-    df.sparkSession.createDataFrame(levels, "level int, sx double, sy double, sz double").coalesce(1).write.mode("overwrite").parquet(f"{path}/levels")
-    cells.repartition("level", "cx", "cy", "cz").write.mode("overwrite").partitionBy("level", "cx", "cy", "cz").parquet(f"{path}/spatial")
-    one.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
+    spark.createDataFrame(levels, "level int, sx double, sy double, sz double").coalesce(1).write.mode("overwrite").parquet(f"{path}/levels")
+    one = df.repartitionByRange(id_col).groupBy(id_col).agg(F.min(F.struct(*[c for c in df.columns if c != id_col])).alias("r")).select(id_col, "r.*").select(*df.columns)
+    one.sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
+    begin = {f"_{c}": F.floor(F.col(lo) / s) for c, (lo, _), s in zip(CELL, bounds, sizes[-1])}
+    near = spark.read.schema(df.schema).parquet(f"{path}/by_id").withColumns(begin).hint("rebalance", *[F.col(c) for c in begin]).drop(*begin)
+    spatial_index(near, bounds, sizes).write.mode("overwrite").partitionBy("level", *CELL).parquet(f"{path}/spatial")
 
 
 def read_all(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
@@ -65,29 +73,46 @@ def replace_cell(spark: SparkSession, path: str, bounds: Sequence[tuple[str, str
     """One cell's annotations replaced by ``change`` of them, in every cell of every level that the old or new ones touch.
 
     New annotations outside the cell are left out (``filter_bounds``).  Only touched cells
-    are written again, all by one write; those that end up empty go with their folders.  The index by id follows.
+    are written again, all by one write, their other rows without a shuffle; those that end up empty go with their folders.
+    The index by id is written beside the old one and takes its place at the end.
     """
-    names = ("cx", "cy", "cz")
-    at = " and ".join(f"{c} = {v}" for c, v in (("level", level), *zip(names, cell)))
-    rows = spark.read.parquet(f"{path}/spatial")
-    old = checkpointed(rows.where(at).drop("level", *names))
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    aside, keys = f"{path}/_aside-{uuid.uuid4().hex}", ["level", *CELL]
+    at = " and ".join(f"{c} = {v}" for c, v in (("level", level), *zip(CELL, cell)))
+    rows, by_id = spark.read.parquet(f"{path}/spatial"), spark.read.parquet(f"{path}/by_id")
+    sizes = [tuple(r)[1:] for r in spark.read.parquet(f"{path}/levels").orderBy("level").collect()]
+    old = rows.where(at).drop(*keys)
     new = change(old)
     for (a, b), c, s in zip(bounds, cell, size) if filter_bounds else ():
         new = new.where((F.col(b) >= c * s) & (F.floor(F.col(a) / s) <= c))
-    new = checkpointed(new)
-    ids = checkpointed(old.select(id_col).unionByName(new.select(id_col)).distinct())
-    sizes = [tuple(r)[1:] for r in spark.read.parquet(f"{path}/levels").orderBy("level").collect()]
-    placed = spatial_index(new, bounds, sizes)
-    keys = ["level", *names]
+    new.write.parquet(f"{aside}/new")
+    new = spark.read.schema(new.schema).parquet(f"{aside}/new")
+    # an annotation lies in every cell that its box meets, so its bounds tell whether it is one of the cell's; others are known by id
+    inside = reduce(and_, ((F.floor(F.col(a) / s) <= c) & (F.floor(F.col(b) / s) >= c) for (a, b), c, s in zip(bounds, cell, sizes[level])))
+    gone = F.coalesce(inside, F.lit(False))
+    moved = checkpointed(new.select(id_col).distinct().join(old.select(id_col), id_col, "left_anti"))
+    some_moved = not moved.isEmpty()
+
+    def without(df: DataFrame) -> DataFrame:
+        return df.where(~gone).join(moved, id_col, "left_anti") if some_moved else df.where(~gone)
+
     here = rows.select(*[F.col(k).cast("long").alias(k) for k in keys], *[c for c in rows.columns if c not in keys])
-    touched = checkpointed(here.join(ids, id_col, "left_semi").select(keys).unionByName(placed.select(*[F.col(k).cast("long").alias(k) for k in keys])).distinct())
-    after = checkpointed(here.join(touched, keys, "left_semi").join(ids, id_col, "left_anti").unionByName(placed.withColumns({k: F.col(k).cast("long") for k in keys})))
-    by_id = checkpointed(spark.read.parquet(f"{path}/by_id").join(ids, id_col, "left_anti").unionByName(new))
-    after.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/spatial")
-    for k, x, y, z in touched.join(after.select(keys).distinct(), keys, "left_anti").collect():  # cells of one cell's annotations
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/spatial/level={k}/cx={x}/cy={y}/cz={z}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    by_id.repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(f"{path}/by_id")
+    placed = spatial_index(new, bounds, sizes).withColumns({k: F.col(k).cast("long") for k in keys})
+    marks = here.select(*keys, gone.alias("gone")) if not some_moved else here.join(moved.withColumn("moved", F.lit(True)), id_col, "left").select(*keys, (gone | F.col("moved").isNotNull()).alias("gone"))
+    marks = marks.select(*keys, F.col("gone").alias("changed"), (~F.col("gone")).alias("left")).unionByName(placed.select(*keys, F.lit(True).alias("changed"), F.lit(True).alias("left")))
+    touched = checkpointed(marks.groupBy(*keys).agg(F.max("changed").alias("changed"), F.max("left").alias("left")).where("changed"))
+    own = F.broadcast(touched.select(keys)) if touched.count() <= FEW_CELLS else touched.select(keys)
+    without(by_id).unionByName(new).repartitionByRange(id_col).sortWithinPartitions(id_col).write.parquet(f"{aside}/by_id")
+    # read and written in place: a dynamic overwrite moves its files when all of them are there
+    after = without(here.join(own, keys, "left_semi")).unionByName(placed.repartition(*keys))
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/spatial")
+    files = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, x, y, z in touched.where("not left").select(keys).collect():  # cells of one cell's annotations
+        files.delete(folder(f"{path}/spatial/level={k}/cx={x}/cy={y}/cz={z}"), True)
+    files.delete(folder(f"{path}/by_id"), True)
+    if not files.rename(folder(f"{aside}/by_id"), folder(f"{path}/by_id")):
+        raise RuntimeError(f"the new index by id of {path} stays in {aside}")
+    files.delete(folder(aside), True)
 
 
 def related_index(df: DataFrame, relation: str, id_col: str) -> DataFrame:

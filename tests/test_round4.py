@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from lattica.operators import matching
+from lattica.operators import annotations, matching
 from lattica.plans import fields, relational
 from lattica.sources import datasource, shards
 
@@ -163,3 +163,31 @@ def test_runs_do_not_hold_a_shard():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0] + (8 << 20)
+
+
+def test_replaced_cell_checkpoints_little(spark, tmp_path, monkeypatch):
+    """Annotations of a cell changed, moved in from elsewhere, added and removed: all readers and cells follow, and no copy of the layer
+    is checkpointed (q134)."""
+    held, real = [], annotations.checkpointed
+    monkeypatch.setattr(annotations, "checkpointed", lambda df: held.append(df.count()) or real(df))
+    rng = np.random.default_rng(8)
+    bounds, sizes = [("x0", "x1"), ("y0", "y1"), ("z0", "z1")], [(64, 64, 1), (16, 8, 1)]
+    model = {i: (float(x), float(x + w), float(y), float(y + h), 0.0, 0.0) for i, (x, y, w, h) in enumerate(zip(rng.integers(0, 120, 900), rng.integers(0, 60, 900), rng.integers(0, 20, 900), rng.integers(0, 9, 900)))}
+    model[900] = (130.0, 131.0, 130.0, 131.0, 0.0, 0.0)  # alone in its cells
+    schema = "id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double"
+    path = str(tmp_path / "layer")
+    annotations.write_layer(spark.createDataFrame([(k, *v) for k, v in model.items()], schema).repartition(3), path, bounds, sizes)
+    in_cell = lambda v, c: all(int(v[2 * k] // s) <= i <= int(v[2 * k + 1] // s) for k, (i, s) in enumerate(zip(c, sizes[1])))
+    far = [i for i, v in model.items() if v[0] > 100][:3]
+    fresh = [(2000, 20.0, 40.0, 3.0, 9.0, 0.0, 0.0), (2001, 500.0, 501.0, 3.0, 4.0, 0.0, 0.0), *((i, 17.0, 18.0, 1.0, 2.0, 0.0, 0.0) for i in far)]
+    for cell, added, keep in (((1, 0, 0), fresh, 2), ((8, 16, 0), [], 7), ((3, 2, 0), [], 3)):
+        annotations.replace_cell(spark, path, bounds, 1, cell, sizes[1], lambda old: old.where(f"id % {keep} = 0").unionByName(spark.createDataFrame(added, schema)))
+        model = {i: v for i, v in model.items() if not in_cell(v, cell) or i % keep == 0}
+        model |= {r[0]: r[1:] for r in added if in_cell(r[1:], cell)}
+        want = sorted((k, *v) for k, v in model.items())
+        for got in (annotations.read_all(spark, path), annotations.read_by_id(spark, path)):
+            assert sorted(map(tuple, got.select(*schema.replace(",", "").split()[::2]).collect())) == want
+        index = annotations.spatial_index(spark.createDataFrame(want, schema), bounds, sizes).select("level", "cx", "cy", "cz", "id")
+        assert sorted(map(tuple, spark.read.parquet(f"{path}/spatial").select(index.columns).collect())) == sorted(map(tuple, index.collect()))
+    assert 900 not in model and 2000 in model and not (tmp_path / "layer/spatial/level=1/cx=8/cy=16").joinpath("cz=0").exists()
+    assert max(held) < 100 < len(model) and not list((tmp_path / "layer").glob("_aside*"))
